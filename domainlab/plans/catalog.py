@@ -195,3 +195,170 @@ select original_domain, processed_domain, processed_domain2, source_file from ba
 where len(string_split(original_domain, '.')) = 3""")
 def q_audit_three_part(spark, sf):
     return _audit(spark, sf)[1]
+
+
+# ---------------------------------------------------------------- A4-A8 metrics
+from domainlab.operators import metrics as MX  # noqa: E402
+
+_COUNTS_SQL = """count(*) as n,
+       count_if(y_true = 0 and y_pred = 0) as tn, count_if(y_true = 0 and y_pred = 1) as fp,
+       count_if(y_true = 1 and y_pred = 0) as fn, count_if(y_true = 1 and y_pred = 1) as tp,
+       count_if(y_true = y_pred) as n_eq"""
+
+
+def _rates_sql(src: str) -> str:
+    def r(a, b):
+        return f"round(case when ({b}) = 0 then null else cast({a} as double) / ({b}) end, 6)"
+    return f"""n, tn, fp, fn, tp, {r('n_eq', 'n')} as accuracy,
+       coalesce({r('tp', 'tp + fp')}, 0.0) as precision, coalesce({r('tp', 'tp + fn')}, 0.0) as recall,
+       coalesce({r('2 * tp', '2 * tp + fp + fn')}, 0.0) as f1,
+       {r('fp', 'fp + tn')} as fpr, {r('fn', 'fn + tp')} as fnr from {src}"""
+
+
+@query("confusion", O.with_(O.PREDICTIONS) + f"""
+select n, tn, fp, fn, tp from (select {_COUNTS_SQL} from predictions) c""")
+def q_confusion(spark, sf):
+    return MX.confusion(FX.predictions(spark, sf))
+
+
+@query("metrics_overall", O.with_(O.PREDICTIONS, f"""
+c as (select {_COUNTS_SQL} from predictions)""") + "select " + _rates_sql("c"))
+def q_metrics_overall(spark, sf):
+    return MX.metrics_overall(FX.predictions(spark, sf))
+
+
+@query("metrics_by_year", O.with_(O.PREDICTIONS, f"""
+c as (select case when grouping(year) = 1 then 'overall' else cast(year as varchar) end as year, {_COUNTS_SQL}
+      from predictions group by grouping sets ((year), ()))""") + "select year, " + _rates_sql("c"))
+def q_metrics_by_year(spark, sf):
+    return MX.metrics_by(FX.predictions(spark, sf), "year", overall=True)
+
+
+@query("metrics_by_family", O.with_(O.PREDICTIONS, f"""
+c as (select family, {_COUNTS_SQL} from predictions group by family)""") + "select family, " + _rates_sql("c"))
+def q_metrics_by_family(spark, sf):
+    return MX.metrics_by(FX.predictions(spark, sf), "family")
+
+
+# ---------------------------------------------------------------- A9-A13, W1, W2, W4
+from domainlab.operators import trainlog as TL  # noqa: E402
+
+
+@query("batch_ids", O.with_(O.TRAIN_LOG) + """
+select run, step, task, loss,
+       cast(floor((row_number() over (partition by run order by step) - 1) / 128) as bigint) as batch_id
+from train_log""")
+def q_batch_ids(spark, sf):
+    return TL.batch_ids(FX.train_log(spark, sf), ["step"], 128, ["run"])
+
+
+@query("batch_mean_loss", O.with_(O.TRAIN_LOG, """
+b as (select run, loss, floor((row_number() over (partition by run order by step) - 1) / 128) as batch_id
+      from train_log),
+per as (select run, batch_id, avg(loss) as m, count(*) as c from b group by run, batch_id)""") + """
+select run, round(avg(m), 6) as batch_mean_loss, count(*) as n_batches, sum(c) as n_rows from per group by run""")
+def q_batch_mean_loss(spark, sf):
+    r = TL.batch_mean_loss(FX.train_log(spark, sf), ["step"], "loss", 128, ["run"])
+    return r.withColumn("batch_mean_loss", F.round("batch_mean_loss", 6))
+
+
+@query("total_loss", O.with_(O.TRAIN_LOG) + """
+select run, step, round(sum(loss), 6) as total_loss, count(*) as n_tasks from train_log group by run, step""")
+def q_total_loss(spark, sf):
+    return TL.total_loss(FX.train_log(spark, sf)).withColumn("total_loss", F.round("total_loss", 6))
+
+
+@query("interval_loss", O.with_(O.TRAIN_LOG) + """
+select run, cast(floor((step - 1) / 1000) as bigint) as interval, round(avg(loss), 6) as mean_loss,
+       max(step) as end_step
+from train_log group by run, cast(floor((step - 1) / 1000) as bigint) having count(distinct step) = 1000""")
+def q_interval_loss(spark, sf):
+    return TL.interval_loss(FX.train_log(spark, sf), 1000).withColumn("mean_loss", F.round("mean_loss", 6))
+
+
+@query("best_checkpoint", O.with_(O.TRAIN_LOG) + """
+select run, step, task, loss from (
+  select *, min(loss) over (partition by run order by step rows between unbounded preceding and 1 preceding) as pm
+  from train_log) t
+where pm is null or loss < pm""")
+def q_best_checkpoint(spark, sf):
+    return TL.best_checkpoints(FX.train_log(spark, sf))
+
+
+@query("running_loss", O.with_(O.TRAIN_LOG) + """
+select run, step, task, loss,
+       round(avg(loss) over (partition by run order by step rows between unbounded preceding and current row), 6)
+         as running_mean
+from train_log""")
+def q_running_loss(spark, sf):
+    return TL.running_loss(FX.train_log(spark, sf)).withColumn("running_mean", F.round("running_mean", 6))
+
+
+@query("masked_ce", O.with_(O.LOGITS, """
+ce as (select label, list_max(logits) + ln(list_sum(list_transform(logits, lambda x: exp(x - list_max(logits)))))
+                     - logits[label + 1] as ce
+       from logits where label <> -100)""") + """
+select label, round(avg(ce), 6) as mean_ce, count(*) as n from ce group by label""")
+def q_masked_ce(spark, sf):
+    r = TL.masked_ce(FX.logits(spark, sf), "logits", "label", -100, by=["label"])
+    return r.withColumn("mean_ce", F.round("mean_ce", 6))
+
+
+@query("argmax", O.with_(O.LOGITS) + """
+select id, label, cast(list_position(logits, list_max(logits)) - 1 as int) as pred from logits""")
+def q_argmax(spark, sf):
+    lg = FX.logits(spark, sf)
+    return lg.select("id", "label", TL.argmax("logits").alias("pred"))
+
+
+# ---------------------------------------------------------------- O3, A17, S10, S11
+from domainlab.operators import split as SP  # noqa: E402
+
+SPLIT_TRAIN, SPLIT_VAL, SPLIT_SEED = 8000, 800, 42
+
+_SPLIT_SQL = O.with_(O.PREPARED, f"""
+ranked as (
+  select year, label, domain,
+         row_number() over (partition by year, label order by md5('{SPLIT_SEED}' || ':' || domain), domain) as rn
+  from domains),
+splits as (
+  select year, label, domain,
+         case when rn <= {SPLIT_TRAIN} then 'train' when rn <= {SPLIT_TRAIN + SPLIT_VAL} then 'val' else 'test' end
+           as split
+  from ranked)""")
+
+
+def _splits(spark, sf):
+    d = domains(spark, sf).select("year", "label", "domain")
+    return SP.exact_split(d, "domain", ["year", "label"], SPLIT_TRAIN, SPLIT_VAL, SPLIT_SEED)
+
+
+@query("split_exact", _SPLIT_SQL + "select year, label, domain, split from splits")
+def q_split_exact(spark, sf):
+    return _splits(spark, sf)
+
+
+@query("check_split", _SPLIT_SQL + """
+select year, label, count_if(split = 'train') as n_train, count_if(split = 'val') as n_val,
+       count_if(split = 'test') as n_test, count(*) as n_total,
+       count_if(split = 'train') + count_if(split = 'val') + count_if(split = 'test') = count(*) as conserved
+from splits group by year, label""")
+def q_check_split(spark, sf):
+    return SP.check_split(_splits(spark, sf), ["year", "label"])
+
+
+@query("split_report", _SPLIT_SQL + """,
+per as (select domain, count(distinct split) as ns from splits group by domain)
+select split, count(*) as rows, count_if(ns > 1) as overlap_rows from splits join per using (domain)
+group by split""")
+def q_split_report(spark, sf):
+    return SP.split_report(_splits(spark, sf))
+
+
+@query("ingest_report", O.with_(O.RAW_DOMAINS) + """
+select family as source_file, count(*) as rows,
+       sum(count(*)) over (order by family rows between unbounded preceding and current row) as running_total
+from raw_domains where not coalesce(contains(lower(domain), '_'), false) group by family""")
+def q_ingest_report(spark, sf):
+    raw = prep.drop_underscore(FX.raw_domains(spark, sf)).withColumnRenamed("family", "source_file")
+    return SP.ingest_report(raw, "source_file")

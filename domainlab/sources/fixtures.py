@@ -17,6 +17,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash-partition ``df`` on ``key`` only when its scan yields fewer partitions
+    than the cluster's task slots (a few large row groups feeding a row-multiplying
+    step). Large inputs already arrive in many splits and are left alone, so no
+    shuffle is added at scale."""
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < slots:
+        return df.repartition(slots, key)
+    return df
+
+
 # Suffix chosen by doc_id % 8, in order 0..7.
 FIXTURE_SUFFIXES = ["com", "net", "org", "co.kr", "co.uk", "io", "github.io", "zzz.qqq"]
 
@@ -24,7 +35,7 @@ FIXTURE_SUFFIXES = ["com", "net", "org", "co.kr", "co.uk", "io", "github.io", "z
 def raw_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(domain, doc_id, year, family, label)``: one row per word of every document,
     word + optional ``_x`` + one of eight suffixes; label from ``labels.toxic``."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), "doc_id")
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
     j = docs.join(labels, "doc_id", "left")
     words = j.select("doc_id", "source", "toxic",
