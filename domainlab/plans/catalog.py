@@ -362,3 +362,183 @@ from raw_domains where not coalesce(contains(lower(domain), '_'), false) group b
 def q_ingest_report(spark, sf):
     raw = prep.drop_underscore(FX.raw_domains(spark, sf)).withColumnRenamed("family", "source_file")
     return SP.ingest_report(raw, "source_file")
+
+
+# ---------------------------------------------------------------- V1-V5, W3, S9
+from domainlab.functions.util import ids_text  # noqa: E402
+from domainlab.operators import encode as EN  # noqa: E402
+from domainlab.operators import samples as SM  # noqa: E402
+
+CHAR_L = 82
+_SPECIALS_SQL = ", ".join(f"('{t}', {i}, 'special')" for i, t in enumerate(vocab.SPECIAL_TOKENS))
+_CHARS_SQL = ", ".join(f"('{c}', {i})" for i, c in enumerate(vocab.CHAR_ALPHABET))
+
+
+def _train_tlds(spark, sf):
+    d = domains(spark, sf).where(F.col("year").between(2017, 2019))
+    return vocab.tld_counts(d, "domain", 10)
+
+
+def _char_vocab(spark, sf):
+    return vocab.char_vocab(_train_tlds(spark, sf))
+
+
+_VOCAB_SQL = O.with_(O.PREPARED, O.vocab_ctes(), f"""
+specials(token, id, kind) as (values {_SPECIALS_SQL}),
+chars(token, pos) as (values {_CHARS_SQL}),
+tldvocab as (select token, id, 'special' as kind from specials union all select token, id, 'tld' from tldv),
+charvocab as (select * from tldvocab union all
+              select token, cast(pos + (select count(*) from tldvocab) as int) as id, 'char' from chars)""")
+
+
+@query("tld_vocab", _VOCAB_SQL + " select token, id, kind from tldvocab")
+def q_tld_vocab(spark, sf):
+    return vocab.tld_vocab(_train_tlds(spark, sf))
+
+
+@query("char_vocab", _VOCAB_SQL + " select token, id, kind from charvocab")
+def q_char_vocab(spark, sf):
+    return _char_vocab(spark, sf)
+
+
+@query("max_special_id", _VOCAB_SQL + """
+select cast(max(id) as int) as max_special_id from charvocab where kind in ('special', 'tld')""")
+def q_max_special_id(spark, sf):
+    return vocab.max_special_id(_char_vocab(spark, sf))
+
+
+@query("vocab_roundtrip", _VOCAB_SQL + " select token, id, kind from charvocab")
+def q_vocab_roundtrip(spark, sf):
+    from domainlab.session import scratch_path
+    path = scratch_path(spark, "vocab")
+    v = _char_vocab(spark, sf)
+    vocab.save_vocab(v, path)
+    n = v.count()
+    return vocab.load_vocab(spark, path, expect_size=n)
+
+
+@query("word_counts", O.with_(O.PREPARED, f"""
+corpus as (select distinct domain from domains where year between 2017 and 2019 and domain is not null)""") + f"""
+select word, count(*) as count
+from (select unnest(regexp_extract_all(lower(domain), '{TK.WORD_PATTERN.replace("(?U)", "")}', 1)) as word from corpus) t
+group by word""")
+def q_word_counts(spark, sf):
+    d = domains(spark, sf).where(F.col("year").between(2017, 2019))
+    return vocab.word_counts(d, "domain")
+
+
+# ---------------------------------------------------------------- J1-J3, K1, K3, K4, K6, K8
+_ENC_SQL = O.with_(O.PREPARED, O.vocab_ctes(), O.encoded_cte())
+
+
+def _encoded(spark, sf):
+    v = EN.Vocab.from_table(_char_vocab(spark, sf))
+    d = domains(spark, sf).select("year", "label", "domain")
+    return d, v
+
+
+@query("encode_char", _ENC_SQL + f" select year, label, domain, {O.txt('ids')} as ids from enc")
+def q_encode_char(spark, sf):
+    d, v = _encoded(spark, sf)
+    return d.select("year", "label", "domain", ids_text(EN.encode_char("domain", v)).alias("ids"))
+
+
+@query("encode_tld", O.with_(O.PREPARED, O.vocab_ctes()) + f"""
+select year, label, domain,
+       array_to_string(list_transform(regexp_extract_all(lower(domain), '{O.TLD_RE}'),
+                                      lambda t: cast(coalesce(vinfo.m[t], 6) as int)), ' ') as tld_ids
+from domains, vinfo""")
+def q_encode_tld(spark, sf):
+    d, v = _encoded(spark, sf)
+    return d.select("year", "label", "domain", ids_text(EN.tld_ids("domain", v)).alias("tld_ids"))
+
+
+@query("decode", O.with_(O.PREPARED, O.vocab_ctes(), O.encoded_cte(), f"""
+specials(token, id) as (values {", ".join(f"('{t}', {i})" for i, t in enumerate(vocab.SPECIAL_TOKENS))}),
+chars(token, pos) as (values {_CHARS_SQL}),
+allv as (select token, id from specials union all select token, id from tldv
+         union all select token, cast(pos + (select off from vinfo) as int) from chars),
+idmap as (select map_from_entries(list(struct_pack(k := id, v := token))) as im from allv)""") + """
+select year, label, domain,
+       array_to_string(list_transform(ids, lambda i: coalesce(im[i], '[UNK]')), ' ') as tokens
+from enc, idmap""")
+def q_decode(spark, sf):
+    d, v = _encoded(spark, sf)
+    return d.select("year", "label", "domain", EN.decode(EN.encode_char("domain", v), v).alias("tokens"))
+
+
+@query("pack_pretrain", _ENC_SQL + f"""
+select year, label, domain, {O.txt(O.pack_pretrain_sql('ids', CHAR_L))} as ids from enc""")
+def q_pack_pretrain(spark, sf):
+    d, v = _encoded(spark, sf)
+    return d.select("year", "label", "domain",
+                    ids_text(EN.pack_pretrain(EN.encode_char("domain", v), CHAR_L)).alias("ids"))
+
+
+@query("pack_finetune", _ENC_SQL + f"""
+select year, label, domain, {O.txt(O.pack_finetune_sql('ids', CHAR_L))} as ids from enc""")
+def q_pack_finetune(spark, sf):
+    d, v = _encoded(spark, sf)
+    return d.select("year", "label", "domain",
+                    ids_text(EN.pack_finetune(EN.encode_char("domain", v), CHAR_L)).alias("ids"))
+
+
+@query("template", _ENC_SQL + f"""
+select year, label, domain, {O.txt('list_concat([2], ids, [3])')} as ids from enc""")
+def q_template(spark, sf):
+    d, v = _encoded(spark, sf)
+    return d.select("year", "label", "domain", ids_text(EN.template(EN.encode_char("domain", v))).alias("ids"))
+
+
+@query("pad_mask", _ENC_SQL + f"""
+select year, label, domain,
+       {O.txt(f"list_transform({O.pack_finetune_sql('ids', CHAR_L)}, lambda x: cast(x = 0 as int))")} as mask
+from enc""")
+def q_pad_mask(spark, sf):
+    d, v = _encoded(spark, sf)
+    m = F.transform(EN.pad_mask(EN.pack_finetune(EN.encode_char("domain", v), CHAR_L)), lambda b: b.cast("int"))
+    return d.select("year", "label", "domain", ids_text(m).alias("mask"))
+
+
+# ---------------------------------------------------------------- M1-M4
+_SAMPLES_SQL = O.with_(O.PREPARED, O.vocab_ctes(), O.encoded_cte(), O.samples_ctes(CHAR_L))
+
+
+def _packed(spark, sf):
+    d, v = _encoded(spark, sf)
+    d = d.withColumn("_ids", EN.encode_char("domain", v))
+    return d.withColumn("p", EN.pack_pretrain("_ids", CHAR_L)).drop("_ids"), v
+
+
+@query("make_mtp", _SAMPLES_SQL + f"""
+select year, label, domain, {O.txt('x_mtp')} as x_mtp, {O.txt('y_mtp')} as y_mtp from samples""")
+def q_make_mtp(spark, sf):
+    p, v = _packed(spark, sf)
+    s = SM.add_mtp(p, "p", "domain", v.max_special_id)
+    return s.select("year", "label", "domain", ids_text("x_mtp").alias("x_mtp"), ids_text("y_mtp").alias("y_mtp"))
+
+
+@query("make_tpp", _SAMPLES_SQL + f"""
+select year, label, domain, {O.txt('x_tpp')} as x_tpp, {O.txt('y_tpp')} as y_tpp from samples""")
+def q_make_tpp(spark, sf):
+    p, v = _packed(spark, sf)
+    s = SM.add_tpp(p, "p", "domain", v.max_special_id)
+    return s.select("year", "label", "domain", ids_text("x_tpp").alias("x_tpp"), ids_text("y_tpp").alias("y_tpp"))
+
+
+@query("make_tov", _SAMPLES_SQL + f"""
+select year, label, domain, {O.txt('x_tov')} as x_tov, y_tov from samples""")
+def q_make_tov(spark, sf):
+    p, v = _packed(spark, sf)
+    s = SM.add_tov(p, "p", "domain", v.max_special_id, CHAR_L)
+    return s.select("year", "label", "domain", ids_text("x_tov").alias("x_tov"), "y_tov")
+
+
+@query("pretrain_samples", _SAMPLES_SQL + f"""
+select year, label, domain, {O.txt('x_mtp')} as x_mtp, {O.txt('y_mtp')} as y_mtp, {O.txt('x_tpp')} as x_tpp,
+       {O.txt('y_tpp')} as y_tpp, {O.txt('x_tov')} as x_tov, y_tov from samples""")
+def q_pretrain_samples(spark, sf):
+    p, v = _packed(spark, sf)
+    s = SM.pretrain_samples(p, "p", "domain", v.max_special_id, CHAR_L)
+    return s.select("year", "label", "domain", *[ids_text(c).alias(c) for c in
+                                                 ("x_mtp", "y_mtp", "x_tpp", "y_tpp", "x_tov")], "y_tov")

@@ -126,3 +126,89 @@ domains as (
 
 def with_(*ctes: str) -> str:
     return "with " + ",".join(c.strip().rstrip(",") for c in ctes)
+
+
+ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789-."
+TLD_RE = r"\[\.[a-zA-Z0-9-]+\]"
+
+
+def vocab_ctes(train_filter: str = "year between 2017 and 2019", th: int = 10) -> str:
+    """tldc (tld, c), tldv (token, id), vinfo (off, m) from the prepared train years."""
+    return f"""
+tldc as (
+  select tld, count(*) as c
+  from (select unnest(regexp_extract_all(domain, '{TLD_RE}')) as tld from domains where {train_filter}) t
+  where tld is not null group by tld having count(*) >= {th}
+),
+tldv as (select tld as token, cast(6 + row_number() over (order by c desc, tld) as int) as id from tldc),
+vinfo as (select cast(7 + count(*) as int) as off, map_from_entries(list(struct_pack(k := token, v := id))) as m
+          from tldv)"""
+
+
+def encoded_cte(src: str = "domains") -> str:
+    return f"""
+enc as (
+  select d.year, d.label, d.domain, vinfo.off,
+         list_concat(
+           list_transform(regexp_extract_all(d.sld, '(?s).', 0),
+                          lambda c: cast(case when strpos('{ALPHABET}', c) > 0
+                                              then vinfo.off + strpos('{ALPHABET}', c) - 1 else 1 end as int)),
+           list_transform(d.tl, lambda t: cast(coalesce(vinfo.m[t], 6) as int))) as ids
+  from (select *, regexp_extract_all(lower(domain), '{TLD_RE}') as tl,
+               list_reduce(list_prepend(lower(domain), regexp_extract_all(lower(domain), '{TLD_RE}')),
+                           lambda a, t: replace(a, t, '')) as sld
+        from {src}) d, vinfo
+)"""
+
+
+def pads(n: str) -> str:
+    return f"list_transform(range(greatest({n}, 0)), lambda z: 0)"
+
+
+def pack_pretrain_sql(ids: str, L: int) -> str:
+    return (f"(case when len({ids}) > {L - 2} then list_concat([5], {ids}[len({ids}) - {L - 2} + 1:], [3]) "
+            f"else list_concat({ids}, [3], {pads(f'{L} - len({ids}) - 1')}) end)")
+
+
+def pack_finetune_sql(ids: str, L: int) -> str:
+    return (f"(case when len({ids}) > {L - 3} then list_concat([2, 5], {ids}[len({ids}) - {L - 3} + 1:], [3]) "
+            f"else list_concat([2], {ids}, [3], {pads(f'{L} - len({ids}) - 2')}) end)")
+
+
+def txt(lst: str) -> str:
+    return f"array_to_string({lst}, ' ')"
+
+
+def samples_ctes(L: int, seed: int = 42) -> str:
+    """packed (p), eligibility (e, maxsp) and the three permutations."""
+    def perm(task):
+        return (f"list_transform(list_sort(list_transform(e, lambda i: struct_pack(h := md5('{seed}' || ':{task}:' "
+                f"|| domain || ':' || cast(i as varchar)), i := i))), lambda s: s.i)")
+    return f"""
+packed as (select year, label, domain, off - 1 as maxsp, {pack_pretrain_sql('ids', L)} as p from enc),
+elig as (select *, list_filter(range(len(p)), lambda i: p[i + 1] = 1 or p[i + 1] > maxsp) as e from packed),
+perms as (select *, {perm('mtp')} as pm, {perm('tpp')} as pt, {perm('tov')} as pv,
+                 cast(len(e) > 1 and substr(md5('{seed}' || ':tov:' || domain), 1, 1) < '8' as int) as y_tov
+          from elig),
+s1 as (
+  select *,
+    list_transform(p, lambda v, j: case when len(e) > 1 and list_contains(pm[1:greatest(1, len(e) * 15 // 100)], j - 1)
+                                       then 4 else v end) as x_mtp,
+    list_transform(p, lambda v, j: case when len(e) > 1 and list_contains(pm[1:greatest(1, len(e) * 15 // 100)], j - 1)
+                                       then v else -100 end) as y_mtp,
+    list_transform(p, lambda v, j: case when len(e) > 1 and list_contains(e, j - 1)
+                                       then p[e[list_position(pt, j - 1)] + 1] else v end) as x_tpp,
+    list_transform(p, lambda v: case when v = 0 then -100 else v end) as y_tpp,
+    list_filter(case when y_tov = 1
+                     then list_transform(p, lambda v, j: case when list_contains(e, j - 1)
+                                                             then p[e[list_position(pv, j - 1)] + 1] else v end)
+                     else p end, lambda v: v = 1 or v >= 6) as pure
+  from perms
+),
+s2 as (
+  select *, list_concat([2],
+      case when list_contains(p, 5) or len(pure) > {L - 3}
+           then list_concat([5], pure[greatest(len(pure) - {L - 3} + 1, 1):]) else pure end, [3]) as body
+  from s1
+),
+samples as (select *, list_concat(body, {pads(f'{L} - len(body)')}) as x_tov from s2)"""

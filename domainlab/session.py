@@ -30,6 +30,9 @@ def get_spark(master: str | None = None, partitions: int | None = None,
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("DOMAINLAB_DRIVER_MEM", "16g"))
         .config("spark.sql.files.maxPartitionBytes", str(64 * 1024 * 1024))
+        # post-shuffle stages here are CPU-heavy per row; do not fold small
+        # shuffles into a single task
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
