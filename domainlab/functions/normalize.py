@@ -12,6 +12,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from domainlab.functions.util import to_col
 
@@ -23,7 +24,7 @@ def _nfd_lower_strip(s: str) -> str:
     return "".join(ch for ch in d if unicodedata.category(ch) != "Mn")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfd_lower_strip(s: pd.Series) -> pd.Series:
     return s.map(lambda v: None if v is None else _nfd_lower_strip(v))
 

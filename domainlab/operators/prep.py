@@ -79,5 +79,12 @@ def assemble(df: DataFrame) -> DataFrame:
 
 def prepared_domains(raw: DataFrame, index: "S.SuffixIndex") -> DataFrame:
     """The per-(year, class) ingest result: lower, underscore filter, wrap, then
-    one row per (year, label, domain) keeping the smallest doc_id."""
-    return dedup(prepare(raw, index), ["year", "label", "domain"], ["doc_id"])
+    one row per (year, label, domain) keeping the smallest doc_id.
+
+    Ranked lists repeat the same names day after day, so rows are first reduced
+    per lower-cased name (map-side combined) and only the survivors are wrapped;
+    a second reduction merges names that wrap to the same string. Taking the
+    minimum in two steps equals taking it once."""
+    keys = ["year", "label", "domain"]
+    pre = dedup(drop_underscore(raw, "domain"), keys, ["doc_id"])
+    return dedup(S.wrap_tld(pre, "domain", index), keys, ["doc_id"])

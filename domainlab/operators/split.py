@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from domainlab.session import checkpoint_dir
+
 TRAIN_SIZE = 1_500_000
 VAL_SIZE = 150_000
 DIGITS = 3
@@ -93,7 +95,10 @@ def exact_split(df: DataFrame, key: str = "domain", by: list[str] | None = None,
                 local_rows: int = 50_000, out: str = "split") -> DataFrame:
     """O3: add ``out`` in {train, val, test}. ``key`` must be unique per group."""
     by = by or []
-    d = df.withColumn("_h", split_hash(key, seed))
+    # several passes read the hashed input: materialise it once in the shared
+    # checkpoint folder (also a lineage cut if executors are lost later)
+    checkpoint_dir(df.sparkSession)
+    d = df.withColumn("_h", split_hash(key, seed)).checkpoint(eager=True)
     counts = d.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).collect()
     if len(counts) > MAX_GROUPS:
         raise ValueError(f"{len(counts)} split groups; more than {MAX_GROUPS}")
