@@ -542,3 +542,74 @@ def q_pretrain_samples(spark, sf):
     s = SM.pretrain_samples(p, "p", "domain", v.max_special_id, CHAR_L)
     return s.select("year", "label", "domain", *[ids_text(c).alias(c) for c in
                                                  ("x_mtp", "y_mtp", "x_tpp", "y_tpp", "x_tov")], "y_tov")
+
+
+# ---------------------------------------------------------------- S1-S3, S5-S7
+from domainlab.session import scratch_path  # noqa: E402
+from domainlab.sources import readers as RD  # noqa: E402
+
+
+@query("scan_ranked", O.with_(O.RAW_DOMAINS) + """
+select doc_id as rank, domain, family || '.csv' as list_name from raw_domains where label = 0""")
+def q_scan_ranked(spark, sf):
+    """Write the benign rows as header-less ``rank,domain`` CSV, one folder per
+    source, then read them back through two globs in one scan."""
+    base = scratch_path(spark, "ranked")
+    raw = FX.raw_domains(spark, sf).where("label = 0")
+    (raw.select(F.col("doc_id").alias("rank"), "domain", F.col("family").alias("list"))
+        .write.partitionBy("list").option("header", False).csv(base))
+    df = RD.read_ranked_list(spark, [f"{base}/list=src1*/*.csv", f"{base}/list=src[02-9]*/*.csv"])
+    name = F.concat(F.regexp_extract(F.col("_metadata.file_path"), r"list=([^/]+)/", 1), F.lit(".csv"))
+    return df.select("rank", "domain", name.alias("list_name"))
+
+
+@query("scan_feed", O.with_(O.RAW_DOMAINS) + """
+select domain, make_timestamp(year, 1 + doc_id % 12, 1 + doc_id % 28, 0, 0, 0) as valid_from, family
+from raw_domains where label = 1""")
+def q_scan_feed(spark, sf):
+    """Write the DGA rows as a headered feed (domain first, ``valid_from`` as
+    text), read it back with the timestamp parsed."""
+    base = scratch_path(spark, "feed")
+    raw = FX.raw_domains(spark, sf).where("label = 1")
+    ts = F.make_timestamp(F.col("year"), 1 + F.col("doc_id") % 12, 1 + F.col("doc_id") % 28,
+                          F.lit(0), F.lit(0), F.lit(0))
+    (raw.select("domain", F.date_format(ts, "yyyy-MM-dd HH:mm:ss").alias("valid_from"), "family")
+        .write.option("header", True).csv(base))
+    return RD.read_feed(spark, [f"{base}/*.csv"]).select("domain", "valid_from", "family")
+
+
+@query("in_year_feed", O.with_(O.RAW_DOMAINS) + """
+select domain, valid_from from (
+  select domain, make_timestamp(year, 1 + doc_id % 12, 1 + doc_id % 28, 0, 0, 0) as valid_from
+  from raw_domains where label = 1) t
+where valid_from >= timestamp '2019-01-01' and valid_from < timestamp '2020-01-01'""")
+def q_in_year_feed(spark, sf):
+    """P4 on a feed: the half-open year filter after the CSV read."""
+    return prep.in_year(q_scan_feed(spark, sf), "valid_from", 2019).select("domain", "valid_from")
+
+
+@query("scan_split", _SPLIT_SQL + """
+select distinct domain, label from splits where year between 2017 and 2019 and split in ('train', 'test')""")
+def q_scan_split(spark, sf):
+    """S6 then S3: write the split dataset partitioned by year/label/split, read the
+    reference's training set (train + test files of 2017-2019) with partition
+    pruning, full-row distinct."""
+    base = scratch_path(spark, "splits")
+    SP.write_splits(_splits(spark, sf), base)
+    df = RD.read_split(spark, base, years=[2017, 2018, 2019], splits=["train", "test"])
+    return prep.assemble(df.select("domain", "label"))
+
+
+@query("scan_family", O.with_(O.PREPARED) + "select family, domain, label from domains")
+def q_scan_family(spark, sf):
+    base = scratch_path(spark, "families")
+    RD.write_families(domains(spark, sf).select("domain", "label", "family"), base)
+    return RD.read_families(spark, base).select("family", "domain", "label")
+
+
+@query("write_csv")
+def q_write_csv(spark, sf):
+    """The by-year metrics table written as CSV with a header and read back."""
+    base = scratch_path(spark, "metrics_csv")
+    RD.write_csv(MX.metrics_by(FX.predictions(spark, sf), "year", overall=True), base)
+    return RD.read_csv_table(spark, base)
