@@ -613,3 +613,104 @@ def q_write_csv(spark, sf):
     base = scratch_path(spark, "metrics_csv")
     RD.write_csv(MX.metrics_by(FX.predictions(spark, sf), "year", overall=True), base)
     return RD.read_csv_table(spark, base)
+
+
+# ---------------------------------------------------------------- A14-A16 (embeddings as vectors)
+from domainlab.operators import features as FE  # noqa: E402
+
+
+def _vt_sql(expr: str) -> str:
+    return f"array_to_string(list_transform({expr}, lambda x: printf('%.6f', x)), ' ')"
+
+
+_POOL_SQL = O.with_("""
+ex as (select label, vec_id, unnest(cast(embedding as double[])) as v,
+              unnest(generate_series(1, len(embedding))) as pos from embeddings)""", """
+agg as (select label, pos, max(v) as mx, avg(v) as mn from ex group by label, pos)""", """
+pooled as (select label, list(mx order by pos) || list(mn order by pos) as pooled from agg group by label)""", """
+cls as (select label, arg_min(cast(embedding as double[]), vec_id) as cls from embeddings group by label)""")
+
+
+@query("pool_vectors", _POOL_SQL + f" select label, {_vt_sql('pooled')} as pooled from pooled")
+def q_pool_vectors(spark, sf):
+    e = FX.table(spark, sf, "embeddings")
+    return FE.pool_rows(e, "label", "embedding").select("label", FE.vec_text("pooled").alias("pooled"))
+
+
+@query("cls_vector", _POOL_SQL + f" select label, {_vt_sql('cls')} as cls from cls")
+def q_cls_vector(spark, sf):
+    e = FX.table(spark, sf, "embeddings")
+    return FE.first_vector(e, "label", "embedding", "vec_id").select("label", FE.vec_text("cls").alias("cls"))
+
+
+@query("fuse", _POOL_SQL + f" select label, {_vt_sql('pooled || cls')} as fused from pooled join cls using (label)")
+def q_fuse(spark, sf):
+    e = FX.table(spark, sf, "embeddings")
+    p = FE.pool_rows(e, "label", "embedding")
+    c = FE.first_vector(e, "label", "embedding", "vec_id")
+    return p.join(c, "label").select("label", FE.vec_text(FE.fuse("pooled", "cls")).alias("fused"))
+
+
+# ---------------------------------------------------------------- D1-D6 (rows checks)
+from domainlab.plans import model as MD  # noqa: E402
+
+W2V_DIM = 16
+
+
+def _char_sequences(spark, sf):
+    p, v = _packed(spark, sf)
+    return p, v
+
+
+def _features(spark, sf, mode="pool"):
+    p, _ = _char_sequences(spark, sf)
+    vecs = MD.token_vectors(p.where(F.col("year").between(2017, 2019)), "p", W2V_DIM)
+    table = MD.vector_table(vecs)
+    return MD.domain_features(p, {"char": ("p", table, W2V_DIM)}, mode)
+
+
+@query("token_vectors")
+def q_token_vectors(spark, sf):
+    p, _ = _char_sequences(spark, sf)
+    vecs = MD.token_vectors(p.where(F.col("year").between(2017, 2019)), "p", W2V_DIM)
+    return vecs.select("id", FE.vec_text("vector").alias("vector"))
+
+
+@query("domain_features")
+def q_domain_features(spark, sf):
+    return _features(spark, sf).select("year", "label", "domain", F.size("features").alias("dim"),
+                                       FE.vec_text("features").alias("features"))
+
+
+@query("fit_classifier")
+def q_fit_classifier(spark, sf):
+    f = _features(spark, sf)
+    m = MD.fit_classifier(f.where(F.col("year").between(2017, 2019)))
+    lr = m.stages[-1]
+    coef = [float(x) for x in lr.coefficients.toArray()]
+    return spark.createDataFrame([(float(lr.intercept), len(coef), coef)],
+                                 "intercept double, n_features int, coefficients array<double>")
+
+
+@query("score_domains")
+def q_score_domains(spark, sf):
+    f = _features(spark, sf)
+    m = MD.fit_classifier(f.where(F.col("year").between(2017, 2019)))
+    return MD.score(m, f.where(F.col("year") >= 2020)).select("year", "domain", "y_true", "y_pred")
+
+
+@query("forward_chain")
+def q_forward_chain(spark, sf):
+    return MD.forward_chain(_features(spark, sf))
+
+
+@query("ablation")
+def q_ablation(spark, sf):
+    """One metrics row per variant (char branch pooled vs first position)."""
+    out = None
+    for mode in ("pool", "cls"):
+        f = _features(spark, sf, mode)
+        m = MD.fit_classifier(f.where(F.col("year").between(2017, 2019)))
+        r = MX.metrics_overall(MD.score(m, f.where(F.col("year") >= 2020))).withColumn("variant", F.lit(f"char_{mode}"))
+        out = r if out is None else out.unionByName(r)
+    return out
