@@ -714,3 +714,78 @@ def q_ablation(spark, sf):
         r = MX.metrics_overall(MD.score(m, f.where(F.col("year") >= 2020))).withColumn("variant", F.lit(f"char_{mode}"))
         out = r if out is None else out.unionByName(r)
     return out
+
+
+# ---------------------------------------------------------------- V3, K5, K2, K7, M5
+from domainlab.operators import wordpiece as WP  # noqa: E402
+
+WP_VOCAB_SIZE, WP_MIN_FREQ, SUBWORD_L = 300, 2, 35
+
+
+def _word_counts(spark, sf):
+    d = domains(spark, sf).where(F.col("year").between(2017, 2019))
+    return vocab.word_counts(d, "domain")
+
+
+@query("wordpiece_pairs", O.with_(O.PREPARED, f"""
+corpus as (select distinct domain from domains where year between 2017 and 2019 and domain is not null)""", f"""
+wc as (select word, count(*) as n
+       from (select unnest(regexp_extract_all(lower(domain), '{TK.WORD_PATTERN.replace("(?U)", "")}', 1)) as word
+             from corpus) t group by word)""", """
+sym as (select n, list_transform(regexp_extract_all(word, '(?s).', 0),
+                                 lambda c, i: case when i = 1 then c else '##' || c end) as s from wc)""", """
+pairs as (select n, unnest(list_transform(range(1, len(s)), lambda i: struct_pack(a := s[i], b := s[i + 1]))) as p
+          from sym where len(s) > 1)""") + """
+select p.a as l_sym, p.b as r_sym, sum(n) as count from pairs group by p.a, p.b""")
+def q_wordpiece_pairs(spark, sf):
+    """First-round pair counts of the WordPiece trainer (V3 input)."""
+    wc = _word_counts(spark, sf)
+    words = wc.select(F.col("count").cast("long").alias("n"), WP.initial_symbols("word").alias("symbols"))
+    return WP.pair_counts(words).select(F.col("left").alias("l_sym"), F.col("right").alias("r_sym"), "count")
+
+
+def _subword_vocab(spark, sf):
+    tl = [r["tld"] for r in _train_tlds(spark, sf).collect()]   # thresholded TLD table: bounded
+    return WP.train_wordpiece(_word_counts(spark, sf), WP_VOCAB_SIZE + len(tl), WP_MIN_FREQ,
+                              specials=vocab.SPECIAL_TOKENS + tl)
+
+
+@query("wordpiece_vocab")
+def q_wordpiece_vocab(spark, sf):
+    return _subword_vocab(spark, sf)
+
+
+def _subword_frame(spark, sf):
+    wv = _subword_vocab(spark, sf)
+    vd = WP.vocab_dict(wv)
+    cv = EN.Vocab.from_table(wv.where("kind = 'special'").withColumn(
+        "kind", F.when(F.col("id") >= len(vocab.SPECIAL_TOKENS), F.lit("tld")).otherwise(F.col("kind"))))
+    d = domains(spark, sf).select("year", "label", "domain").withColumn("_sld", TK.strip_tlds("domain"))
+    d = WP.wordpiece_encode(d, "_sld", vd, "_wp")
+    return d.withColumn("x_token_raw", F.concat("_wp", EN.tld_ids("domain", cv))).drop("_sld", "_wp"), vd
+
+
+@query("encode_subword")
+def q_encode_subword(spark, sf):
+    d, _ = _subword_frame(spark, sf)
+    return d.select("year", "label", "domain", ids_text("x_token_raw").alias("ids"))
+
+
+@query("encode_external")
+def q_encode_external(spark, sf):
+    wv = WP.vocab_dict(_subword_vocab(spark, sf))
+    d = domains(spark, sf).select("year", "label", "domain")
+    e = WP.encode_external(d, "domain", wv, SUBWORD_L)
+    return e.select("year", "label", "domain", ids_text("ext_ids").alias("ext_ids"),
+                    ids_text("ext_mask").alias("ext_mask"))
+
+
+@query("finetune_samples")
+def q_finetune_samples(spark, sf):
+    """M5: token ids (K2 + K4, L=35), char ids (K1 + K4, L=82), label."""
+    d, _ = _subword_frame(spark, sf)
+    v = EN.Vocab.from_table(_char_vocab(spark, sf))
+    d = d.withColumn("_c", EN.encode_char("domain", v))
+    return d.select("year", "domain", "label",
+                    ids_text(EN.pack_finetune("x_token_raw", SUBWORD_L)).alias("x_token"),
+                    ids_text(EN.pack_finetune("_c", CHAR_L)).alias("x_char"))
