@@ -35,7 +35,9 @@ def read_ranked_list(spark: SparkSession, paths: list[str], skip_bad: bool = Tru
           .withColumn("source_file", F.col("_metadata.file_name")))
     good = df.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
     if with_bad:
-        return good, df.where(F.col(CORRUPT).isNotNull()).select(CORRUPT, "source_file")
+        # parsed columns are selected too: Spark refuses a query over the corrupt
+        # record column alone
+        return good, df.where(F.col(CORRUPT).isNotNull()).select(CORRUPT, "rank", "domain", "source_file")
     return good
 
 
