@@ -45,7 +45,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
     Read from the session; only when it is unset (local tests) a private folder is
     created and registered, so that ``DataFrame.checkpoint()`` works everywhere."""
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # no driver-side context (remote session): use the conf only
+        conf = spark.conf.get("spark.checkpoint.dir", None)
+        if not conf:
+            conf = tempfile.mkdtemp(prefix="domainlab-ckpt-")
+            spark.conf.set("spark.checkpoint.dir", conf)
+        return conf
     current = sc.getCheckpointDir()
     if current:
         return current

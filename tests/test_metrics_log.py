@@ -60,3 +60,12 @@ def test_masked_ce_and_argmax(spark):
     r = TL.masked_ce(df).first()
     assert r.n == 2 and abs(r.mean_ce - 0.693147) < 1e-5
     assert [x.p for x in df.select(TL.argmax("logits").alias("p")).orderBy("id").collect()] == [0, 1, 0]
+
+
+def test_running_windows_are_blockwise(spark):
+    from domainlab.operators.scan import running
+    df = _log(spark, list(range(100)))
+    plan = running(df, ["run"], ["step"], F.col("loss"), "min", "m")._jdf.queryExecution().executedPlan().toString()
+    # the data window is partitioned by block id, never by the run alone
+    windows = [l for l in plan.split("\n") if "Window [" in l and "_local" in l]
+    assert windows and all("_blk" in l for l in windows)
