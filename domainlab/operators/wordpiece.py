@@ -8,8 +8,10 @@ which no symbol is the left side of one pair and the right side of another; a
 pair ``(a, a)`` or one whose result already exists goes alone. Merging ``(a, b)``
 only consumes occurrences of pairs ``(x, a)`` and ``(b, x)``, none of which can be
 in the batch, and a new pair ``(ab, x)`` counts at most as often as ``(b, x)``,
-which ranks below the batch; so a batch equals one-at-a-time merging (up to equal
-counts, which break by symbol order). The table is checkpointed every few rounds.
+which ranks at or below the point where the prefix stopped; keeping only members
+counted strictly above that point makes a batch equal to one-at-a-time merging
+(ties included; checked against a serial loop in the tests). The table is
+checkpointed every few rounds.
 
 Encoding is greedy longest-match-first per word with ``##`` continuations (a word
 with an unmatched piece, or longer than 100 characters, becomes ``[UNK]``). It is
@@ -54,27 +56,36 @@ def pair_counts(words: DataFrame) -> DataFrame:
     return ex.groupBy(F.col("p.l").alias("left"), F.col("p.r").alias("right")).agg(F.sum("n").alias("count"))
 
 
-def _select_batch(ranked: list[tuple[str, str, int]], known: set[str], room: int) -> list[tuple[str, str]]:
-    batch: list[tuple[str, str]] = []
+def _select_batch(ranked: list[tuple[str, str, int]], known: set[str], room: int,
+                  complete: bool) -> list[tuple[str, str]]:
+    """Longest conflict-free prefix of the ranking, then only the members whose
+    count is strictly above the count where the prefix stopped: any pair created
+    by a merge in the batch counts at most that much, so no member can lose a tie
+    to it and the batch equals one-at-a-time merging exactly. ``complete`` says
+    the ranking was not cut at ``top_k`` (then running off its end stops at 0)."""
+    batch: list[tuple[str, str, int]] = []
     lefts: set[str] = set()
     rights: set[str] = set()
     made: set[str] = set()
-    for l, r, _ in ranked:
+    stop = None
+    for l, r, c in ranked:
         if len(batch) >= room:
+            stop = c
             break
         m = merged_symbol(l, r)
-        alone = l == r or m in known or m in made
-        if alone:
-            if not batch:
-                batch.append((l, r))
+        if l == r or m in known or m in made or l in rights or r in lefts:
+            stop = c
             break
-        if l in rights or r in lefts:
-            break
-        batch.append((l, r))
+        batch.append((l, r, c))
         lefts.add(l)
         rights.add(r)
         made.add(m)
-    return batch
+    if stop is None:
+        stop = 0 if complete else ranked[-1][2]
+    if not batch:
+        return [ranked[0][:2]]
+    keep = [batch[0][:2]] + [(l, r) for l, r, c in batch[1:] if c > stop]
+    return keep[:room]
 
 
 def _apply(words: DataFrame, batch: list[tuple[str, str]]) -> DataFrame:
@@ -116,7 +127,7 @@ def train_wordpiece(word_counts: DataFrame, vocab_size: int, min_frequency: int
                   .orderBy(F.desc("count"), "left", "right").limit(top_k).collect()]
         if not ranked:
             break
-        batch = _select_batch(ranked, known, vocab_size - len(tokens))
+        batch = _select_batch(ranked, known, vocab_size - len(tokens), len(ranked) < top_k)
         for l, r in batch:
             m = merged_symbol(l, r)
             tokens.append(m)
