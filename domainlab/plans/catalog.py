@@ -789,3 +789,45 @@ def q_finetune_samples(spark, sf):
     return d.select("year", "domain", "label",
                     ids_text(EN.pack_finetune("x_token_raw", SUBWORD_L)).alias("x_token"),
                     ids_text(EN.pack_finetune("_c", CHAR_L)).alias("x_char"))
+
+
+# ---------------------------------------------------------------- T7, O4, V6
+from domainlab.functions import normalize as NZ  # noqa: E402
+
+
+@query("normalize_words", """
+select w as word, strip_accents(lower(w)) as normalized
+from (select distinct unnest(regexp_extract_all(text, '[^\\s]+')) as w from documents) t""")
+def q_normalize_words(spark, sf):
+    """T7 on every distinct whitespace-separated token of the documents (four
+    languages): ASCII tokens stay in the JVM, the rest go through the UDF."""
+    docs = FX.table(spark, sf, "documents").select("text")
+    words = docs.select(F.explode(F.regexp_extract_all("text", F.lit(r"(\S+)"), 1)).alias("word")).distinct()
+    return NZ.normalize_frame(words, "word", "normalized")
+
+
+EPOCH_SEED = 42
+
+
+@query("epoch_batches", O.with_(O.PREPARED) + f"""
+select domain, year, label, e.epoch,
+       cast(floor((row_number() over (partition by e.epoch
+                                      order by md5('{EPOCH_SEED}:' || cast(e.epoch as varchar) || ':' || domain),
+                                               domain, year, label) - 1) / 128) as bigint) as batch_id
+from (select distinct domain, year, label from domains where year between 2017 and 2019) d,
+     (select unnest([0, 1]) as epoch) e""")
+def q_epoch_batches(spark, sf):
+    """O4 + W4: a fresh seeded shuffle per epoch, cut into batches of 128."""
+    d = domains(spark, sf).where(F.col("year").between(2017, 2019)).select("domain", "year", "label").distinct()
+    e = spark.range(2).select(F.col("id").cast("int").alias("epoch"))
+    x = d.crossJoin(F.broadcast(e))   # epochs: a literal two-row table
+    x = x.withColumn("_o", F.md5(F.concat(F.lit(f"{EPOCH_SEED}:"), F.col("epoch").cast("string"),
+                                          F.lit(":"), F.col("domain"))))
+    return TL.batch_ids(x, ["_o", "domain", "year", "label"], 128, ["epoch"]).drop("_o")
+
+
+@query("wordpiece_vocab_basic")
+def q_wordpiece_vocab_basic(spark, sf):
+    """V6: the older variant, five specials and no TLD tokens."""
+    return WP.train_wordpiece(_word_counts(spark, sf), WP_VOCAB_SIZE, WP_MIN_FREQ,
+                              specials=["[PAD]", "[UNK]", "[CLS]", "[SEP]", "[MASK]"])
