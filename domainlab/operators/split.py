@@ -114,10 +114,16 @@ def exact_split(df: DataFrame, key: str = "domain", by: list[str] | None = None,
         k1 = cuts.get(g, {}).get(c1)
         k2 = cuts.get(g, {}).get(c2)
         rows.append((*g, *(k1 or (None, None)), *(k2 or (None, None))))
-    schema = ", ".join([f"{c} {df.schema[c].dataType.simpleString()}" for c in by] +
-                       ["_h1 string", "_k1 string", "_h2 string", "_k2 string"])
-    cut_df = F.broadcast(spark.createDataFrame(rows, schema))  # one row per group, bounded above
-    j = d.join(cut_df, by, "left") if by else d.crossJoin(cut_df)
+    cuts_cols = ["_h1", "_k1", "_h2", "_k2"]
+    if by:
+        schema = ", ".join([f"{c} {df.schema[c].dataType.simpleString()}" for c in by] +
+                           [f"{c} string" for c in cuts_cols])
+        cut_df = F.broadcast(spark.createDataFrame(rows, schema))  # one row per group, bounded above
+        j = d.join(cut_df, by, "left")
+    else:   # a single group: the cut keys are literals
+        j = d
+        for c, v in zip(cuts_cols, rows[0] if rows else [None] * 4):
+            j = j.withColumn(c, F.lit(v).cast("string"))
     h, k = F.col("_h"), F.col(key)
 
     def le(hc: str, kc: str) -> Column:  # (h, key) <= cut; no cut -> group shorter than rank

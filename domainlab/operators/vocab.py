@@ -48,9 +48,8 @@ def char_vocab(tld_table: DataFrame) -> DataFrame:
     base = tld_vocab(tld_table)
     spark = tld_table.sparkSession
     chars = spark.createDataFrame([(c, i) for i, c in enumerate(CHAR_ALPHABET)], "token string, pos int")
-    n_added = base.agg(F.count(F.lit(1)).alias("n"))  # one row: number of specials + TLDs
-    ch = chars.crossJoin(n_added).select("token", (F.col("pos") + F.col("n")).cast("int").alias("id"),
-                                         F.lit("char").alias("kind"))
+    n_added = base.select(F.count(F.lit(1))).scalar()   # scalar subquery: specials + TLDs
+    ch = chars.select("token", (F.col("pos") + n_added).cast("int").alias("id"), F.lit("char").alias("kind"))
     return base.unionByName(ch)
 
 

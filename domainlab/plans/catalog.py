@@ -819,8 +819,7 @@ from (select distinct domain, year, label from domains where year between 2017 a
 def q_epoch_batches(spark, sf):
     """O4 + W4: a fresh seeded shuffle per epoch, cut into batches of 128."""
     d = domains(spark, sf).where(F.col("year").between(2017, 2019)).select("domain", "year", "label").distinct()
-    e = spark.range(2).select(F.col("id").cast("int").alias("epoch"))
-    x = d.crossJoin(F.broadcast(e))   # epochs: a literal two-row table
+    x = d.withColumn("epoch", F.explode(F.array(F.lit(0), F.lit(1))))   # one copy per epoch
     x = x.withColumn("_o", F.md5(F.concat(F.lit(f"{EPOCH_SEED}:"), F.col("epoch").cast("string"),
                                           F.lit(":"), F.col("domain"))))
     return TL.batch_ids(x, ["_o", "domain", "year", "label"], 128, ["epoch"]).drop("_o")
