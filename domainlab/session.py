@@ -1,14 +1,15 @@
 """Session helpers: a tuned local session for tests/bench, shared scratch space,
-and a size-checked broadcast."""
+and the package's own code for Python workers."""
 
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
+import zipfile
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import SparkSession
 
 
 def get_spark(master: str | None = None, partitions: int | None = None,
@@ -43,15 +44,16 @@ def get_spark(master: str | None = None, partitions: int | None = None,
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Read from the session; only when it is unset (local tests) a private folder is
-    created and registered, so that ``DataFrame.checkpoint()`` works everywhere."""
+    Read from the session. Only a session whose executors run on this very machine
+    (``local[...]`` masters, as in tests) may do without the setting: it gets a private
+    temporary folder. Anywhere else a machine-local folder would be invisible to the
+    other machines, so a missing setting raises."""
     try:
         sc = spark.sparkContext
     except Exception:  # no driver-side context (remote session): use the conf only
         conf = spark.conf.get("spark.checkpoint.dir", None)
         if not conf:
-            conf = tempfile.mkdtemp(prefix="domainlab-ckpt-")
-            spark.conf.set("spark.checkpoint.dir", conf)
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share") from None
         return conf
     current = sc.getCheckpointDir()
     if current:
@@ -59,6 +61,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     conf = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
     if not conf:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         conf = tempfile.mkdtemp(prefix="domainlab-ckpt-")
     sc.setCheckpointDir(conf)
     return sc.getCheckpointDir() or conf
@@ -70,11 +74,22 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
     return f"{base}/{tag}-{uuid.uuid4().hex[:12]}"
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast ``df`` only when a count proves it has at most ``max_rows`` rows.
+_SHIPPED: set[str] = set()
 
-    Beyond the bound the frame is returned unhinted, so the join falls back to a
-    shuffle (sort-merge) join instead of shipping an unbounded table to every
-    executor. The probe reads at most ``max_rows + 1`` rows."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``domainlab`` importable in Python workers: zips the package's own sources
+    and hands them to Spark, once per application."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="domainlab-src-"), "domainlab.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(root):
+            for n in sorted(names):
+                if n.endswith(".py"):
+                    full = os.path.join(folder, n)
+                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
+    spark.sparkContext.addPyFile(path)
+    _SHIPPED.add(app)
