@@ -59,7 +59,7 @@ with p as (select page_id, coalesce(html, '') as body from pages),
 h as (select page_id, octet_length(encode(body)) as n, sha1(body) as x from p),
 f as (select *, min(page_id) over (partition by x) as first_id, count(*) over (partition by x) as k from h)
 select page_id, cast(n as bigint) as payload_bytes,
-       array_to_string(list_transform(range(0, 32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+       array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
            1 + ((cast('0x' || substr(x, cast(1 + 5 * (i // 4) as int), 5) as int) >> cast(15 - 5 * (i % 4) as int)) & 31), 1)), '')
            as payload_digest,
        case when k > 1 and page_id is distinct from first_id and first_id is not null then 'revisit' else 'response' end
@@ -82,11 +82,11 @@ def op3(spark, sf):
 
 
 @query("op4_balltree", """
-with v as (select vec_id, list_transform(embedding, x -> cast(floor(1024 * cast(x as double)) as bigint)) as e
+with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as e
            from embeddings where vec_id is not null and embedding is not null
-             and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0),
+             and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
 s as (select q.vec_id as query_id, c.vec_id,
-             list_sum(list_transform(list_zip(q.e, c.e), p -> p[1] * p[2])) as score
+             list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) as score
       from v q join v c on q.vec_id <> c.vec_id and len(q.e) = len(c.e) where q.vec_id % 100 = 0),
 r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
 select query_id, cast(rank as int) as rank, vec_id, cast(score as bigint) as score from r where rank <= 10""")
