@@ -17,9 +17,10 @@ texts that share a band share a bucket. No bucket is expanded into its pairs. Ea
 has a centre, the member with the most company over all its buckets; every text is checked
 exactly against the best-looking of its centres, which gives most of the components. Then,
 in buckets that still hold several components, the members outside the largest one are
-compared with all the others by signature, in blocks of bounded size, and what looks
-similar enough is checked exactly as well. So every two texts that share a bucket are in
-one class already or have been compared; nothing is capped.
+compared with all the others by their units, in blocks of bounded size; only links come out
+of a block, at most one between a text and another component, and are checked exactly as
+well. So every two texts that share a bucket are in one class already or have been
+compared; nothing is capped.
 
 Null texts and texts without words have no elements; each is a class of its own. A text of
 one to four words is a single element. Repeated rows and equal texts share a class. An
@@ -49,7 +50,7 @@ K = BANDS * ROWS
 #: look; at a similarity of 0.8 that is five and a half standard deviations down.
 LOOK = 0.62
 #: Rows of a bucket compared at a time: members, members outside the largest component.
-BLOCK, RESIDUAL = 2048, 256
+BLOCK, RESIDUAL = 1024, 256
 
 _U = np.uint64
 # Poisson(1) distribution function on the scale of 64-bit hashes
@@ -145,6 +146,20 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 names=["doc_id", "key", "has_words", "bands", "sig"])
 
 
+def _with_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, text) -> (key, text, small): its units, cut to 32 bits."""
+    for b in batches:
+        for c in TV.chunks(b.column(1)):
+            unit, doc = elements(c)
+            order = np.argsort(doc, kind="stable")
+            raw = TV.mix(unit[order]).astype("<u4")
+            cut = np.searchsorted(doc[order], np.arange(c.n + 1))
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).slice(c.first, c.n), b.column(1).slice(c.first, c.n),
+                 pa.array([raw[x:y].tobytes() for x, y in zip(cut, cut[1:])], pa.binary())],
+                names=["key", "text", "small"])
+
+
 def _agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(a, b, sig_a, sig_b) -> (a, b, share) of pairs worth a closer look."""
     for t in batches:
@@ -173,19 +188,38 @@ def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (bucket, i, j, outside, key, part, sig) sorted by (bucket, i, j) -> pairs (a, b)
-    of different components whose signatures agree enough."""
+    """Rows (bucket, i, j, outside, key, part, small) sorted by (bucket, i, j) -> pairs
+    (a, b) of different components that reach the link similarity. Every row outside the
+    largest component is compared with all members of its block at once: their units are
+    looked up in a table of its own, and the hits are summed per member."""
 
-    def found(rows: pa.Table) -> pa.Table:
+    def found(rows: pa.Table) -> tuple[pa.Array, pa.Array]:
         side = rows["outside"].to_numpy()
-        sig = np.frombuffer(b"".join(rows["sig"].to_pylist()), "<u2").reshape(-1, K)
+        units = [np.frombuffer(u, "<u4") for u in rows["small"].to_pylist()]
         part = np.unique(np.array(rows["part"].to_pylist(), object), return_inverse=True)[1]
         r, m = np.flatnonzero(side == 1), np.flatnonzero(side == 0)
         left, right = [], []
-        for x in r:
-            hit = m[(part[m] != part[x]) & ((sig[m] == sig[x]).mean(axis=1) >= LOOK)]
-            left.append(np.full(len(hit), x))
-            right.append(hit)
+        if len(r) and len(m):
+            known = np.unique(np.concatenate([units[x] for x in r]))
+            theirs = np.concatenate([units[y] for y in m])
+            size = np.array([len(units[y]) for y in m])
+            at = np.searchsorted(known, theirs)
+            at[at == len(known)] = 0
+            at = np.where(known[at] == theirs, at, len(known))
+            begin = np.cumsum(size) - size
+            flag = np.zeros(len(known) + 1, np.int32)
+            for x in r:
+                own = np.searchsorted(known, units[x])
+                flag[own] = 1
+                both = np.add.reduceat(flag[at], begin)
+                flag[own] = 0
+                hit = np.flatnonzero((part[m] != part[x])
+                                     & (both * LINK[1] >= LINK[0] * (size + len(units[x]) - both)))
+                # one link joins two components: the best of each
+                hit = hit[np.argsort(-both[hit], kind="stable")]
+                hit = hit[np.unique(part[m[hit]], return_index=True)[1]]
+                left.append(np.full(len(hit), x))
+                right.append(m[hit])
         left, right = np.concatenate(left or [[]]).astype(int), np.concatenate(right or [[]]).astype(int)
         key = rows["key"].combine_chunks()
         return key.take(pa.array(left)), key.take(pa.array(right))
@@ -271,8 +305,9 @@ def components(run: _Run, edges: DataFrame, name: str) -> DataFrame:
         label, step = new.select("a", "root"), step + 1
 
 
-def _mixed_pairs(members: DataFrame, part: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs (a, b) that share a bucket, lie in different components and look similar."""
+def _mixed_pairs(members: DataFrame, part: DataFrame, whole: DataFrame) -> DataFrame:
+    """Pairs (a, b) that share a bucket, lie in different components and are similar by
+    32-bit units, which can only overstate a similarity."""
     m = (members.join(part.select(F.col("a").alias("key"), F.col("root")), "key", "left")
          .select("bucket", "key", F.coalesce("root", "key").alias("part")))
     per = m.groupBy("bucket", "part").agg(F.count(F.lit(1)).alias("c"))
@@ -288,9 +323,9 @@ def _mixed_pairs(members: DataFrame, part: DataFrame, texts: DataFrame) -> DataF
     outside = (m.where("part <> largest").withColumn("i", F.pmod(h, F.col("ni")).cast("int"))
                .withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nj") - 1))).withColumn("outside", F.lit(1)))
     cols = ["bucket", "i", "j", "outside", "key", "part"]
-    rows = all_rows.select(*cols).unionByName(outside.select(*cols)).join(texts.select("key", "sig"), "key")
+    rows = all_rows.select(*cols).unionByName(outside.select(*cols)).join(whole.select("key", "small"), "key")
     pairs = (rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-             .select(*cols, "sig").mapInArrow(_compare, "a binary, b binary"))
+             .select(*cols, "small").mapInArrow(_compare, "a binary, b binary"))
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -325,14 +360,13 @@ def _classified(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame,
 
     wanted = members.select("key").distinct()
     whole = run.keep(keyed.select("key", "text").join(wanted, "key")
-                     .groupBy("key").agg(F.first("text").alias("text")), "whole")
+                     .groupBy("key").agg(F.first("text").alias("text"))
+                     .mapInArrow(_with_units, "key binary, text string, small binary"), "whole")
     forest = run.keep(_links(best, whole), "stars")
     part = _roots(run, forest, "roots")
-    part = run.keep(part.unionByName(part.select(F.col("root").alias("a"), "root").distinct())
-                    .groupBy("a").agg(F.first("root").alias("root")), "parts")
-    more = run.keep(_links(_mixed_pairs(members, part, texts), whole), "more")
+    more = run.keep(_links(_mixed_pairs(members, part, whole), whole), "more")
     if not more.isEmpty():
-        # links between components join them; a text without a component is its own
+        # links between components join them; a text without a pointer is its own root
         at = lambda c: part.select(F.col("a").alias(c), F.col("root").alias(f"_{c}"))
         tops = more.join(at("a"), "a", "left").join(at("b"), "b", "left").select(
             F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b"))

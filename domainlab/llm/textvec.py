@@ -101,9 +101,10 @@ def shingles(words: np.ndarray, doc: np.ndarray, width: int) -> tuple[np.ndarray
     full = np.ones(n, bool)
     for k in range(1, width):
         nxt = np.zeros(n, U64)
-        nxt[:n - k] = words[k:]
         same = np.zeros(n, bool)
-        same[:n - k] = doc[k:] == doc[:n - k]
+        if k < n:
+            nxt[:n - k] = words[k:]
+            same[:n - k] = doc[k:] == doc[:n - k]
         h = np.where(same, mix(h * U64(0xD6E8FEB86659FD93) + nxt), h)
         full &= same
     first = np.ones(n, bool)
