@@ -27,7 +27,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from domainlab.llm import files
-from domainlab.llm.wordcache import encoder, utf8
+from domainlab.llm import textvec as TV
+from domainlab.llm.wordcache import CHUNK, encoder
 from domainlab.session import scratch_path
 
 #: Ids in a block.
@@ -95,7 +96,6 @@ def write_flat(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_col
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part = encoder(tokenizer, True), TaskContext.get().partitionId()
-        end = np.array([end_id], enc.dtype).tobytes()
         first = next((b for b in batches if b.num_rows), None)
         if first is None:
             return
@@ -103,12 +103,11 @@ def write_flat(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_col
         done, n, b = [], 0, first
         with files.create(path) as out:
             while b is not None:
-                for lo in range(0, b.num_rows, 256):
-                    hi = min(lo + 256, b.num_rows)
-                    for raw in enc.encode(utf8(b.column(1), lo, hi)):
-                        out.write(raw)
-                        out.write(end)
-                        n += len(raw) + len(end)
+                for c in TV.chunks(b.column(1), CHUNK):
+                    ids, sizes = enc.encode(c)
+                    raw = np.insert(ids, np.cumsum(sizes), end_id).tobytes()
+                    out.write(raw)
+                    n += len(raw)
                 done.append(b.column(0))
                 b = next(batches, None)
         at = 0

@@ -112,3 +112,20 @@ def shingles(words: np.ndarray, doc: np.ndarray, width: int) -> tuple[np.ndarray
     short = first & (np.bincount(doc, minlength=doc[-1] + 1)[doc] < width)
     keep = full | short
     return h[keep], doc[keep]
+
+
+def distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index of one range of each hash, and for each range the number of its hash."""
+    _, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+    return first, inverse
+
+
+def expand(values: list[bytes], which: np.ndarray, dtype: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """values[which[0]], values[which[1]], ... one after the other as one array, and the
+    length of each. values: the bytes of arrays of the given type."""
+    flat = np.frombuffer(b"".join(values), dtype)
+    sizes = np.fromiter(map(len, values), np.int64, len(values)) // np.dtype(dtype).itemsize
+    begin = np.cumsum(sizes) - sizes
+    n = sizes[which]
+    shift = begin[which] - (np.cumsum(n) - n)
+    return flat[np.repeat(shift, n) + np.arange(int(n.sum()))], n

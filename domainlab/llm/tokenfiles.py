@@ -32,7 +32,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from domainlab.llm import files
-from domainlab.llm.wordcache import encoder, utf8
+from domainlab.llm import textvec as TV
+from domainlab.llm.wordcache import CHUNK, encoder
 from domainlab.session import scratch_path
 
 MAGIC = b"FWT1"
@@ -75,9 +76,10 @@ class Writer:
         # the counts are not known yet and stand in the tables as well
         out.write(_HEAD.pack(MAGIC, bits, 0, 0, block))
 
-    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
-        self.ids.append(doc_id)
-        self.starts.append(self.starts[-1] + len(ids))
+    def add(self, doc_ids: list[int | None], ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Whole documents: their ids one after the other, and how many each has."""
+        self.ids += doc_ids
+        self.starts += (self.starts[-1] + np.cumsum(sizes)).tolist()
         self.waiting.append(ids)
         self.n_waiting += len(ids)
         if self.n_waiting >= 64 * self.block:
@@ -152,7 +154,6 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, out, enc = TaskContext.get().partitionId(), None, encoder(tokenizer)
-        end = np.array([end_id], np.uint32)
         first = next((b for b in batches if b.num_rows), None)
         if first is None:
             return
@@ -161,11 +162,12 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_col: str
             out = Writer(stream, bits_for(enc.size), block)
             b = first
             while b is not None:
-                ids = b.column(0).to_pylist()
-                for lo in range(0, b.num_rows, 256):
-                    hi = min(lo + 256, b.num_rows)
-                    for i, raw in zip(ids[lo:hi], enc.encode(utf8(b.column(1), lo, hi))):
-                        out.add(i, np.concatenate([np.frombuffer(raw, enc.dtype).astype(np.uint32), end]))
+                doc_ids = b.column(0).to_pylist()
+                for c in TV.chunks(b.column(1), CHUNK):
+                    flat, n = enc.encode(c)
+                    stop = np.cumsum(n)
+                    closed = np.insert(flat.astype(np.uint32), stop, end_id)
+                    out.add(doc_ids[c.first:c.first + c.n], closed, n + 1)
                 b = next(batches, None)
             out.close()
         yield pa.RecordBatch.from_pydict({

@@ -14,12 +14,12 @@ Three machines are compiled once per vocabulary:
 
 An input is composed with the three lazily, one character after the other, and the
 shortest path in the tropical semiring is taken in that topological order. With the
-neighbour acceptor, every prefix of a text has exactly one path of finite weight, so one
-state per position is kept.
+neighbour acceptor, every prefix of a text has exactly one path of finite weight.
 
-Composition is independent between characters that no piece joins (in particular a
-character followed by U+2581), so texts are cut there, and the paths of short cuts are kept
-in a bounded cache per worker.
+Composition is independent on both sides of two neighbouring characters that no piece
+joins (a letter and U+2581, say), so texts are cut there, and the paths of short cuts are
+kept in a bounded cache per worker. The last chain of unknown characters of a vocabulary
+without byte fallback is one unknown id within a cut.
 
 Null texts count as empty; an empty text has no ids and decodes to an empty text. Repeated
 rows each get a row; an empty table gives an empty result; only the two named columns are
@@ -27,7 +27,6 @@ read, so extra columns do no harm."""
 
 from __future__ import annotations
 
-import re
 import struct
 from collections.abc import Iterator
 
@@ -35,12 +34,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from domainlab.llm import textvec as TV
+
 SPACE = "▁"
-#: Cuts longer than this are not cached; the caches are emptied at these sizes.
-CACHED_CHARS = 48
-CACHE_ROWS = 600_000
+#: Longer cuts are not cached; the caches are emptied at these sizes.
+CACHED_BYTES = 64
+CACHE_ROWS = 1_000_000
 PAIR_ROWS = 600_000
-_RUN = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
 
 class PieceTransducer:
@@ -55,16 +55,25 @@ class PieceTransducer:
         self.scores = scores
         self.longest = max(map(len, self.lexicon), default=1)
         self.floor = min((scores[i] for i in self.lexicon.values()), default=0.0)
-        # can a text be cut after a space, that is, does no piece hold one after another character
-        self.cuts = all(re.fullmatch(f"{SPACE}*[^{SPACE}]*", p) for p in self.lexicon)
-        # does no longer piece hold a newline
-        self.cut_lines = all("\n" not in p or p == "\n" for p in self.lexicon)
-        self._paths: dict[str, bytes] = {}
+        # neighbouring bytes between which no cut may be: a piece joins them, all characters
+        # beyond ASCII being taken as one
+        self._join = np.zeros((256, 256), bool)
+        self._join[128:, 128:] = True
+        for p in self.lexicon:
+            p = p.replace(SPACE, " ")
+            for a, b in zip(p, p[1:]):
+                self._join[ord(a) if a < "\x80" else slice(128, 256), ord(b) if b < "\x80" else slice(128, 256)] = True
+        self._join = self._join.ravel()
+        self._known: dict[bytes, bytes] = {}
         self._pairs: dict[str, dict[str, bool]] = {}
         self._n_pairs = 0
-        # the lexicon's states: what begins a piece; true where it is one
-        self._state = {p[:k]: False for p in self.lexicon for k in range(1, len(p))}
-        self._state |= dict.fromkeys(self.lexicon, True)
+        # the lexicon's states: the next state by character, and the piece that ends here
+        self._trie: dict = {}
+        for p in self.lexicon:
+            state = self._trie
+            for c in p:
+                state = state.setdefault(c, {})
+            state[""] = p
         self._of_byte = {b: k for k, b in enumerate(byte_ids)} if byte_ids else {}
         self._bytes = [bytes([self._of_byte[i]]) if i in self._of_byte else p.encode()
                        for i, p in enumerate(pieces)]
@@ -130,47 +139,58 @@ class PieceTransducer:
                 out.append(self.unknown)
         return out
 
-    def _path_bpe(self, s: str) -> list[str]:
-        """last[j]: the piece that ends the only finite path to position j."""
-        n = len(s)
-        last: list[str] = [""] * (n + 1)
-        state, longest, none = self._state.get, self.longest, {}
-        for i in range(n):
-            before = last[i]
-            allowed = self._pairs.get(before, none)
-            for j in range(i + 1, min(n, i + longest) + 1):
-                p = s[i:j]
-                k = state(p)
-                if k or j == i + 1:
-                    if not last[j]:
-                        ok = allowed.get(p)
-                        if self.follows(before, p) if ok is None else ok:
-                            last[j] = p
-                if k is None:
+    def _pieces_at(self, s: str, i: int) -> list[str]:
+        """The pieces that begin at a position, short ones first; one character always does."""
+        out = [s[i]]
+        state = self._trie.get(s[i])
+        if state:
+            for c in s[i + 1:i + self.longest]:
+                state = state.get(c)
+                if state is None:
                     break
-        out, j = [], n
-        while j:
-            out.append(last[j])
-            j -= len(last[j])
-        return out[::-1]
+                p = state.get("")
+                if p is not None:
+                    out.append(p)
+        return out
+
+    def _path_bpe(self, s: str) -> list[str]:
+        """All finite paths weigh the same and there is one, so the first complete one is
+        the shortest: the lattice is walked depth first, long pieces first. A position is
+        reached by one path of finite weight only, so one that leads nowhere is dead."""
+        n, i, before = len(s), 0, ""
+        out: list[str] = []
+        left, dead, open_ = [], set(), self._pieces_at(s, 0)
+        while i < n:
+            allowed = self._pairs.get(before) or {}
+            while open_:
+                p = open_.pop()
+                if i + len(p) not in dead:
+                    ok = allowed.get(p)
+                    if self.follows(before, p) if ok is None else ok:
+                        break
+            else:
+                dead.add(i)
+                i, before, open_ = left.pop()
+                out.pop()
+                continue
+            left.append((i, before, open_))
+            out.append(p)
+            i, before = i + len(p), p
+            if i < n:
+                open_ = self._pieces_at(s, i)
+        return out
 
     def _path_unigram(self, s: str) -> list[str]:
         n = len(s)
         cost = [0.0] + [float("inf")] * n
         last = [""] * (n + 1)
-        lexicon, begins, scores = self.lexicon, self._state, self.scores
         missing = -(self.floor - 10.0)
         for i in range(n):
-            here = cost[i]
-            for j in range(i + 1, min(n, i + self.longest) + 1):
-                p = s[i:j]
-                k = lexicon.get(p)
-                if k is not None or j == i + 1:
-                    c = here + (missing if k is None else -scores[k])
-                    if c < cost[j]:
-                        cost[j], last[j] = c, p
-                if p not in begins:
-                    break
+            for p in self._pieces_at(s, i):
+                k = self.lexicon.get(p)
+                c = cost[i] + (missing if k is None else -self.scores[k])
+                if c < cost[i + len(p)]:
+                    cost[i + len(p)], last[i + len(p)] = c, p
         out, j = [], n
         while j:
             out.append(last[j])
@@ -178,39 +198,44 @@ class PieceTransducer:
         return out[::-1]
 
     def path(self, s: str) -> bytes:
-        """Ids (little-endian int32) of one cut."""
-        got = self._paths.get(s)
-        if got is None:
-            parts = self._path_bpe(s) if self.kind == "bpe" else self._path_unigram(s)
-            ids = self._write(parts)
-            got = struct.pack(f"<{len(ids)}i", *ids)
-            if len(s) <= CACHED_CHARS:
-                if len(self._paths) >= CACHE_ROWS:
-                    self._paths.clear()
-                self._paths[s] = got
-        return got
+        """Ids (little-endian int32) of one cut, by the shortest path."""
+        parts = self._path_bpe(s) if self.kind == "bpe" else self._path_unigram(s)
+        ids = self._write(parts)
+        return struct.pack(f"<{len(ids)}i", *ids)
 
     # ------------------------------------------------------------------ texts
-    def encode_bytes(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if not self.cuts:
-            return self.path(self._normal(text))
-        if self.dummy and self.cut_lines and "  " not in text and SPACE not in text and text[0] != " ":
-            cuts = (SPACE + text.replace(" ", " " + SPACE)).replace("\n", " \n ").split(" ")
-        else:
-            cuts = _RUN.findall(self._normal(text))
-        known, path = self._paths, self.path
-        try:
-            return b"".join([known[c] if c in known else path(c) for c in cuts if c])
-        except KeyError:  # the cache was emptied between the two look-ups
-            return b"".join([path(c) for c in cuts if c])
-
-    def _normal(self, text: str) -> str:
-        return (SPACE if self.dummy else "") + text.replace(" ", SPACE)
+    def encode_chunk(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of several texts one after the other, and how many each has. Texts are
+        cut between characters that no piece joins (a space stands for U+2581), and
+        the path of each distinct cut is looked up once."""
+        front = b" " if self.dummy else b""
+        # to the machines, U+2581 in a text is a space
+        raw = [front + t.replace(SPACE, " ").encode() if t else b"" for t in texts]
+        c = TV.Chunk(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0] + list(map(len, raw))), 0)
+        if not len(c.buf):
+            return np.zeros(0, "<i4"), np.zeros(len(texts), np.int64)
+        start = np.ones(len(c.buf), bool)
+        start[1:] = ~self._join[c.buf[:-1].astype(np.int32) * 256 + c.buf[1:]]
+        start[c.offsets[:-1][np.diff(c.offsets) > 0]] = True
+        s = np.flatnonzero(start)
+        e = np.append(s[1:], len(c.buf))
+        first, which = TV.distinct(c.hashes(s, e))
+        data = c.buf.tobytes()
+        cuts = [data[a:b] for a, b in zip(s[first].tolist(), e[first].tolist())]
+        ids = list(map(self._known.get, cuts))
+        for k, x in enumerate(ids):
+            if x is None:
+                ids[k] = x = self.path(cuts[k].decode().replace(" ", SPACE))
+                if len(cuts[k]) <= CACHED_BYTES:
+                    if len(self._known) >= CACHE_ROWS:
+                        self._known.clear()
+                    self._known[cuts[k]] = x
+        flat, n = TV.expand(ids, which, np.dtype("<i4"))
+        return flat, np.bincount(np.searchsorted(c.offsets, s, "right") - 1, weights=n,
+                                 minlength=len(texts)).astype(np.int64)
 
     def encode(self, text: str | None) -> list[int]:
-        return np.frombuffer(self.encode_bytes(text), "<i4").tolist()
+        return self.encode_chunk([text])[0].tolist()
 
     def decode(self, ids: np.ndarray | list[int]) -> str:
         """The text: pieces are joined, bytes put together (bad sequences become U+FFFD),
@@ -241,15 +266,13 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
         for b in batches:
             for lo in range(0, b.num_rows, 512):
                 part = b.slice(lo, 512)
-                raw = [m.encode_bytes(t) for t in part.column(1).to_pylist()]
-                n = np.array([len(x) // 4 for x in raw], np.int64)
-                flat = np.frombuffer(b"".join(raw), "<i4")
-                offsets = np.zeros(len(raw) + 1, np.int32)
+                flat, n = m.encode_chunk(part.column(1).to_pylist())
+                offsets = np.zeros(len(n) + 1, np.int32)
                 np.cumsum(n, out=offsets[1:])
                 cols = [part.column(0), pa.array(n),
                         pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32()))]
                 if decode:
-                    cols.append(pa.array([m.decode(np.frombuffer(x, "<i4")) for x in raw], pa.string()))
+                    cols.append(pa.array([m.decode(flat[a:z]) for a, z in zip(offsets, offsets[1:])], pa.string()))
                 yield pa.RecordBatch.from_arrays(
                     cols, names=[id_col, "n_tokens", "ids", "decoded"][:len(cols)])
 
