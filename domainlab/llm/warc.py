@@ -157,9 +157,12 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
     spark = pages.sparkSession
     p = pages.select(F.col(id_col).cast("long").alias("_id"), F.col(url_col).alias("_url"),
                      F.encode(F.coalesce(F.col(payload_col), F.lit("")), "UTF-8").alias("_body"))
+    # ids first, so that no more than the sample's payloads ever move
+    picked = p.select("_id").distinct().orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE_RECORDS)
     sample = [bytes(r["_body"]) for r in
               p.select("_id", F.substring("_body", 1, SAMPLE_BYTES).alias("_body"))
-              .orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE_RECORDS).select("_body").collect()]
+              .join(F.broadcast(picked), "_id")  # SAMPLE_RECORDS rows at most
+              .groupBy("_id").agg(F.min("_body").alias("_body")).orderBy("_id").collect()]
     packed = spark.sparkContext.broadcast(build_dictionary(sample))  # DICTIONARY_BYTES at most
 
     hashed = p.withColumn("_sha1", F.sha1("_body"))
