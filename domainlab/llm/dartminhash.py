@@ -392,11 +392,17 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each class, with all columns: a row of the smallest id. Rows without
     words all stay."""
-    _, of = _classified(docs, id_col, text_col)
+    rows, of = _classified(docs, id_col, text_col)
+    # rows that stand for their class; only where they are several need any be dropped, so
+    # that most texts are not dealt out again
+    firsts = (rows.where("has_words").select("doc_id", "key").join(of, "key")
+              .where(F.col("doc_id").eqNullSafe(F.col("class_id")))
+              .groupBy("root").agg(F.count(F.lit(1)).alias("_n")))
+    of = of.join(firsts, "root").select(F.col("key").alias("_key"), F.col("root").alias("_root"),
+                                        F.col("class_id").alias("_class"), "_n")
     d = docs.withColumn("_key", _key(F.coalesce(F.col(text_col), F.lit(""))))
-    j = d.join(of.select(F.col("key").alias("_key"), F.col("root").alias("_root"),
-                         F.col("class_id").alias("_class")), "_key", "left")
-    single = j.where(F.col("_root").isNull())
-    chosen = (j.where(F.col("_root").isNotNull() & F.col(id_col).cast("long").eqNullSafe(F.col("_class")))
+    j = d.join(of, "_key", "left")
+    kept = j.where(F.col("_root").isNull() | (F.col(id_col).cast("long").eqNullSafe(F.col("_class")) & (F.col("_n") == 1)))
+    chosen = (j.where(F.col(id_col).cast("long").eqNullSafe(F.col("_class")) & (F.col("_n") > 1))
               .dropDuplicates(["_root"]))
-    return single.unionByName(chosen).select(*docs.columns)
+    return kept.unionByName(chosen).select(*docs.columns)
