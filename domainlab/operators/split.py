@@ -23,7 +23,8 @@ MAX_GROUPS = 1_000   # histograms reach the driver: at most 4096 rows per group
 
 
 def split_hash(key: str, seed: int | str) -> Column:
-    return F.md5(F.concat(F.lit(str(seed)), F.lit(":"), F.col(key)))
+    """A NULL key hashes like an empty one."""
+    return F.md5(F.concat(F.lit(str(seed)), F.lit(":"), F.coalesce(F.col(key), F.lit(""))))
 
 
 def _kth_keys(df: DataFrame, by: list[str], key: str, wants: dict[tuple, list[int]],
@@ -93,12 +94,14 @@ def _group_eq(by: list[str], g: tuple) -> Column:
 def exact_split(df: DataFrame, key: str = "domain", by: list[str] | None = None,
                 train_size: int = TRAIN_SIZE, val_size: int = VAL_SIZE, seed: int = 42,
                 local_rows: int = 50_000, out: str = "split") -> DataFrame:
-    """O3: add ``out`` in {train, val, test}. ``key`` must be unique per group."""
+    """O3: add ``out`` in {train, val, test}. ``key`` must be unique per group; a NULL key
+    is ordered as an empty one."""
     by = by or []
     # several passes read the hashed input: materialise it once in the shared
     # checkpoint folder (also a lineage cut if executors are lost later)
     checkpoint_dir(df.sparkSession)
-    d = df.withColumn("_h", split_hash(key, seed)).checkpoint(eager=True)
+    d = (df.withColumn("_h", split_hash(key, seed)).withColumn("_key", F.coalesce(F.col(key), F.lit("")))
+         .checkpoint(eager=True))
     counts = d.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).collect()
     if len(counts) > MAX_GROUPS:
         raise ValueError(f"{len(counts)} split groups; more than {MAX_GROUPS}")
@@ -107,7 +110,7 @@ def exact_split(df: DataFrame, key: str = "domain", by: list[str] | None = None,
     for row in counts:
         g = tuple(row[c] for c in by)
         wants[g] = [r for r in (c1, c2) if 1 <= r <= row["_n"]]
-    cuts = _kth_keys(d, by, key, {g: r for g, r in wants.items() if r}, local_rows)
+    cuts = _kth_keys(d, by, "_key", {g: r for g, r in wants.items() if r}, local_rows)
     spark = df.sparkSession
     rows = []
     for g in wants:
@@ -124,13 +127,13 @@ def exact_split(df: DataFrame, key: str = "domain", by: list[str] | None = None,
         j = d
         for c, v in zip(cuts_cols, rows[0] if rows else [None] * 4):
             j = j.withColumn(c, F.lit(v).cast("string"))
-    h, k = F.col("_h"), F.col(key)
+    h, k = F.col("_h"), F.col("_key")
 
     def le(hc: str, kc: str) -> Column:  # (h, key) <= cut; no cut -> group shorter than rank
         return F.col(hc).isNull() | (h < F.col(hc)) | ((h == F.col(hc)) & (k <= F.col(kc)))
 
     lab = F.when(le("_h1", "_k1"), F.lit("train")).when(le("_h2", "_k2"), F.lit("val")).otherwise(F.lit("test"))
-    return j.withColumn(out, lab).drop("_h", "_h1", "_k1", "_h2", "_k2")
+    return j.withColumn(out, lab).drop("_h", "_key", "_h1", "_k1", "_h2", "_k2")
 
 
 def check_split(df: DataFrame, by: list[str] | None = None, split: str = "split") -> DataFrame:
@@ -151,10 +154,13 @@ def write_splits(df: DataFrame, path: str, partition_by=("year", "label", "split
 
 def split_report(df: DataFrame, split: str = "split", key: str = "domain") -> DataFrame:
     """Rows per named split plus how many of its keys also occur in another split."""
-    per = df.groupBy(key).agg(F.countDistinct(split).alias("_ns"))
-    j = df.select(key, split).join(per, key)
-    return j.groupBy(split).agg(F.count(F.lit(1)).alias("rows"),
-                                F.count_if(F.col("_ns") > 1).alias("overlap_rows"))
+    per = df.groupBy(key, split).agg(F.count(F.lit(1)).alias("_c"))
+    # as many entries per key as there are splits; no second pass over the rows
+    keys = per.groupBy(key).agg(F.collect_list(F.struct(split, "_c")).alias("_in"))
+    each = keys.select(F.size("_in").alias("_ns"), F.explode("_in").alias("_s"))
+    return each.groupBy(F.col(f"_s.{split}").alias(split)).agg(
+        F.sum("_s._c").alias("rows"),
+        F.coalesce(F.sum(F.when(F.col("_ns") > 1, F.col("_s._c"))), F.lit(0)).alias("overlap_rows"))
 
 
 def ingest_report(df: DataFrame, file_col: str = "source_file") -> DataFrame:

@@ -13,6 +13,7 @@ from domainlab.functions import suffix as S
 from domainlab.functions import tokens as TK
 from domainlab.operators import prep, vocab
 from domainlab.plans import oracle_sql as O
+from domainlab.session import ship_package
 from domainlab.sources import fixtures as FX
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -21,18 +22,22 @@ ORACLE: dict[str, str] = {}
 
 def query(name: str, sql: str | None = None):
     def deco(fn):
-        QUERIES[name] = fn
+        def run(spark: SparkSession, sf: str) -> DataFrame:
+            ship_package(spark)
+            return fn(spark, sf)
+
+        QUERIES[name] = run
         if sql is not None:
             ORACLE[name] = sql
         return fn
     return deco
 
 
-_INDEX: dict[int, S.SuffixIndex] = {}
+_INDEX: dict[str, S.SuffixIndex] = {}
 
 
 def mini_index(spark: SparkSession) -> S.SuffixIndex:
-    key = id(spark)
+    key = spark.sparkContext.applicationId
     if key not in _INDEX:
         _INDEX[key] = S.SuffixIndex.mini(spark)
     return _INDEX[key]
@@ -558,7 +563,7 @@ def q_scan_ranked(spark, sf):
     raw = FX.raw_domains(spark, sf).where("label = 0")
     (raw.select(F.col("doc_id").alias("rank"), "domain", F.col("family").alias("list"))
         .write.partitionBy("list").option("header", False).csv(base))
-    df = RD.read_ranked_list(spark, [f"{base}/list=src1*/*.csv", f"{base}/list=src[02-9]*/*.csv"])
+    df = RD.read_ranked_list(spark, [f"{base}/list=*1/*.csv", f"{base}/list=*[!1]/*.csv"])
     name = F.concat(F.regexp_extract(F.col("_metadata.file_path"), r"list=([^/]+)/", 1), F.lit(".csv"))
     return df.select("rank", "domain", name.alias("list_name"))
 

@@ -20,17 +20,17 @@ from domainlab.operators import features as FE
 from domainlab.operators import metrics as MX
 
 
+TRAIN_PARTS = 8
+
+
 def token_vectors(seqs: DataFrame, ids: str, dim: int = 16, seed: int = 42, max_iter: int = 1,
-                  window: int = 5) -> DataFrame:
-    """``(id, vector)`` learned from id sequences (pads removed) without labels."""
+                  window: int = 5, parts: int = TRAIN_PARTS) -> DataFrame:
+    """``(id, vector)`` learned from id sequences (pads removed) without labels.
+    ``parts`` shards are trained side by side and averaged in each iteration; it is a
+    parameter of the model, since the vectors depend on it, and not of the cluster."""
     toks = seqs.select(F.transform(F.filter(ids, lambda i: i != 0), lambda i: i.cast("string")).alias("_t"))
-    try:
-        slots = seqs.sparkSession.sparkContext.defaultParallelism
-    except Exception:
-        slots = 8
-    # train on all task slots (per-partition updates are averaged each iteration)
     w2v = Word2Vec(vectorSize=dim, minCount=1, seed=seed, maxIter=max_iter, windowSize=window,
-                   inputCol="_t", outputCol="_o", numPartitions=max(1, slots))
+                   inputCol="_t", outputCol="_o", numPartitions=parts)
     model = w2v.fit(toks)
     from pyspark.ml.functions import vector_to_array
     return model.getVectors().select(F.col("word").cast("int").alias("id"),

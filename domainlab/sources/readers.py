@@ -3,8 +3,8 @@
 Schemas are declared, never inferred; every reader takes several paths/globs in
 one scan, tags rows with their file (``_metadata.file_name``) and tolerates bad
 input: malformed CSV lines land in ``_corrupt_record`` (kept out of the data and
-available as a side table) and unreadable files are skipped with
-``ignoreCorruptFiles`` instead of failing the job."""
+available as a side table). An unreadable file fails the job unless ``skip_bad`` is
+asked for; ``files_without_rows`` then reports which files gave nothing."""
 
 from __future__ import annotations
 
@@ -28,7 +28,7 @@ def _csv(spark: SparkSession, skip_bad: bool):
     return r
 
 
-def read_ranked_list(spark: SparkSession, paths: list[str], skip_bad: bool = True,
+def read_ranked_list(spark: SparkSession, paths: list[str], skip_bad: bool = False,
                      with_bad: bool = False) -> DataFrame | tuple[DataFrame, DataFrame]:
     """Header-less ``rank,domain`` CSVs from several globs (domain = column 1)."""
     df = (_csv(spark, skip_bad).schema(RANKED_SCHEMA).csv(paths, header=False)
@@ -41,7 +41,7 @@ def read_ranked_list(spark: SparkSession, paths: list[str], skip_bad: bool = Tru
     return good
 
 
-def read_feed(spark: SparkSession, paths: list[str], skip_bad: bool = True) -> DataFrame:
+def read_feed(spark: SparkSession, paths: list[str], skip_bad: bool = False) -> DataFrame:
     """Headered feed CSVs; the first column is the domain, ``valid_from`` is
     parsed to a timestamp (unparseable -> NULL); other columns are kept as text."""
     df = _csv(spark, skip_bad).option("header", True).csv(paths)
@@ -63,11 +63,24 @@ def read_split(spark: SparkSession, base: str, years=None, labels=None, splits=N
     return df
 
 
-def read_families(spark: SparkSession, path: str) -> DataFrame:
+def files_without_rows(spark: SparkSession, paths: list[str], read: DataFrame,
+                       file_col: str = "_metadata.file_path") -> DataFrame:
+    """S8 side table: (path, length) of the files under ``paths`` that no row of ``read``
+    comes from - empty, skipped as unreadable, or all of whose lines were bad. Contents are
+    not read: only the listing of the ``binaryFile`` source is used."""
+    listed = spark.read.format("binaryFile").load(paths).select("path", "length")
+    seen = read.select(F.col(file_col).alias("path")).distinct()
+    # both sides spell local files alike
+    name = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
+    return (listed.withColumn("path", name(F.col("path")))
+            .join(seen.withColumn("path", name(F.col("path"))), "path", "left_anti"))
+
+
+def read_families(spark: SparkSession, path: str, skip_bad: bool = False) -> DataFrame:
     """One table per family. A ``family=<name>`` partitioned dataset gives the
     family from the folder; plain ``<name>.parquet`` files give it from the file
     stem."""
-    df = spark.read.option("ignoreCorruptFiles", "true").parquet(path)
+    df = spark.read.option("ignoreCorruptFiles", str(skip_bad).lower()).parquet(path)
     if "family" not in df.columns:
         df = df.withColumn("family", F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.[^.]*)*$", 1))
     return df
