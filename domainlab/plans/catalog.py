@@ -319,7 +319,7 @@ def q_argmax(spark, sf):
 # ---------------------------------------------------------------- O3, A17, S10, S11
 from domainlab.operators import split as SP  # noqa: E402
 
-SPLIT_TRAIN, SPLIT_VAL, SPLIT_SEED = 8000, 800, 42
+SPLIT_TRAIN, SPLIT_VAL, SPLIT_SEED = O.SPLIT_TRAIN, O.SPLIT_VAL, O.SPLIT_SEED
 
 _SPLIT_SQL = O.with_(O.PREPARED, f"""
 ranked as (
@@ -379,9 +379,13 @@ _SPECIALS_SQL = ", ".join(f"('{t}', {i}, 'special')" for i, t in enumerate(vocab
 _CHARS_SQL = ", ".join(f"('{c}', {i})" for i, c in enumerate(vocab.CHAR_ALPHABET))
 
 
+def _train_rows(spark, sf):
+    """The training set: train and test rows of 2017-2019; validation rows stay apart."""
+    return _splits(spark, sf).where(F.col("year").between(2017, 2019) & F.col("split").isin("train", "test")).drop("split")
+
+
 def _train_tlds(spark, sf):
-    d = domains(spark, sf).where(F.col("year").between(2017, 2019))
-    return vocab.tld_counts(d, "domain", 10)
+    return vocab.tld_counts(_train_rows(spark, sf), "domain", 10)
 
 
 def _char_vocab(spark, sf):
@@ -422,14 +426,13 @@ def q_vocab_roundtrip(spark, sf):
     return vocab.load_vocab(spark, path, expect_size=n)
 
 
-@query("word_counts", O.with_(O.PREPARED, f"""
-corpus as (select distinct domain from domains where year between 2017 and 2019 and domain is not null)""") + f"""
+@query("word_counts", O.with_(O.PREPARED, O.TRAIN, """
+corpus as (select distinct domain from traindom where domain is not null)""") + f"""
 select word, count(*) as count
 from (select unnest(regexp_extract_all(lower(domain), '{TK.WORD_PATTERN.replace("(?U)", "")}', 1)) as word from corpus) t
 group by word""")
 def q_word_counts(spark, sf):
-    d = domains(spark, sf).where(F.col("year").between(2017, 2019))
-    return vocab.word_counts(d, "domain")
+    return vocab.word_counts(_train_rows(spark, sf), "domain")
 
 
 # ---------------------------------------------------------------- J1-J3, K1, K3, K4, K6, K8
@@ -663,13 +666,21 @@ W2V_DIM = 16
 
 
 def _char_sequences(spark, sf):
-    p, v = _packed(spark, sf)
-    return p, v
+    """Fine-tune packs, which begin with CLS: what the classifier reads."""
+    d, v = _encoded(spark, sf)
+    d = d.withColumn("_ids", EN.encode_char("domain", v))
+    return d.withColumn("p", EN.pack_finetune("_ids", CHAR_L)).drop("_ids"), v
+
+
+def _only_train(spark, sf, rows):
+    """The rows of the training set, one per (domain, label)."""
+    keep = _train_rows(spark, sf).select("year", "label", "domain")
+    return rows.join(keep, ["year", "label", "domain"], "left_semi").dropDuplicates(["domain", "label"])
 
 
 def _features(spark, sf, mode="pool"):
     p, _ = _char_sequences(spark, sf)
-    vecs = MD.token_vectors(p.where(F.col("year").between(2017, 2019)), "p", W2V_DIM)
+    vecs = MD.token_vectors(_only_train(spark, sf, p), "p", W2V_DIM)
     table = MD.vector_table(vecs)
     return MD.domain_features(p, {"char": ("p", table, W2V_DIM)}, mode)
 
@@ -677,7 +688,7 @@ def _features(spark, sf, mode="pool"):
 @query("token_vectors")
 def q_token_vectors(spark, sf):
     p, _ = _char_sequences(spark, sf)
-    vecs = MD.token_vectors(p.where(F.col("year").between(2017, 2019)), "p", W2V_DIM)
+    vecs = MD.token_vectors(_only_train(spark, sf, p), "p", W2V_DIM)
     return vecs.select("id", FE.vec_text("vector").alias("vector"))
 
 
@@ -690,7 +701,7 @@ def q_domain_features(spark, sf):
 @query("fit_classifier")
 def q_fit_classifier(spark, sf):
     f = _features(spark, sf)
-    m = MD.fit_classifier(f.where(F.col("year").between(2017, 2019)))
+    m = MD.fit_classifier(_only_train(spark, sf, f))
     lr = m.stages[-1]
     coef = [float(x) for x in lr.coefficients.toArray()]
     return spark.createDataFrame([(float(lr.intercept), len(coef), coef)],
@@ -700,13 +711,14 @@ def q_fit_classifier(spark, sf):
 @query("score_domains")
 def q_score_domains(spark, sf):
     f = _features(spark, sf)
-    m = MD.fit_classifier(f.where(F.col("year").between(2017, 2019)))
+    m = MD.fit_classifier(_only_train(spark, sf, f))
     return MD.score(m, f.where(F.col("year") >= 2020)).select("year", "domain", "y_true", "y_pred")
 
 
 @query("forward_chain")
 def q_forward_chain(spark, sf):
-    return MD.forward_chain(_features(spark, sf))
+    f = _features(spark, sf)
+    return MD.forward_chain(f, train=_only_train(spark, sf, f))
 
 
 @query("ablation")
@@ -715,7 +727,7 @@ def q_ablation(spark, sf):
     out = None
     for mode in ("pool", "cls"):
         f = _features(spark, sf, mode)
-        m = MD.fit_classifier(f.where(F.col("year").between(2017, 2019)))
+        m = MD.fit_classifier(_only_train(spark, sf, f))
         r = MX.metrics_overall(MD.score(m, f.where(F.col("year") >= 2020))).withColumn("variant", F.lit(f"char_{mode}"))
         out = r if out is None else out.unionByName(r)
     return out
@@ -728,12 +740,11 @@ WP_VOCAB_SIZE, WP_MIN_FREQ, SUBWORD_L = 300, 2, 35
 
 
 def _word_counts(spark, sf):
-    d = domains(spark, sf).where(F.col("year").between(2017, 2019))
-    return vocab.word_counts(d, "domain")
+    return vocab.word_counts(_train_rows(spark, sf), "domain")
 
 
-@query("wordpiece_pairs", O.with_(O.PREPARED, f"""
-corpus as (select distinct domain from domains where year between 2017 and 2019 and domain is not null)""", f"""
+@query("wordpiece_pairs", O.with_(O.PREPARED, O.TRAIN, """
+corpus as (select distinct domain from traindom where domain is not null)""", f"""
 wc as (select word, count(*) as n
        from (select unnest(regexp_extract_all(lower(domain), '{TK.WORD_PATTERN.replace("(?U)", "")}', 1)) as word
              from corpus) t group by word)""", """

@@ -74,9 +74,10 @@ def score(model: PipelineModel, df: DataFrame, features: str = "features", label
 
 
 def forward_chain(df: DataFrame, year: str = "year", train_years=(2017, 2018, 2019),
-                  features: str = "features", label: str = "label") -> DataFrame:
-    """Train on the early years, metrics for every later year plus overall."""
-    train = df.where(F.col(year).isin(list(train_years)))
+                  features: str = "features", label: str = "label", train: DataFrame | None = None) -> DataFrame:
+    """Train on the early years (or on ``train``, where only a part of their rows may
+    be used), metrics for every later year plus overall."""
+    train = df.where(F.col(year).isin(list(train_years))) if train is None else train
     test = df.where(~F.col(year).isin(list(train_years)))
     model = fit_classifier(train, features, label)
     return MX.metrics_by(score(model, test, features, label), year, overall=True)

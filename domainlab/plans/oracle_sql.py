@@ -132,12 +132,26 @@ ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789-."
 TLD_RE = r"\[\.[a-zA-Z0-9-]+\]"
 
 
-def vocab_ctes(train_filter: str = "year between 2017 and 2019", th: int = 10) -> str:
-    """tldc (tld, c), tldv (token, id), vinfo (off, m) from the prepared train years."""
-    return f"""
+#: Exact-size split of each (year, label): rows for training, for validation; seed.
+SPLIT_TRAIN, SPLIT_VAL, SPLIT_SEED = 8000, 800, 42
+
+#: traindom: the training set, that is the train and test rows of 2017-2019. The validation
+#: rows of those years are kept apart.
+TRAIN = f"""
+trainranked as (
+  select year, label, domain,
+         row_number() over (partition by year, label order by md5('{SPLIT_SEED}' || ':' || domain), domain) as rn
+  from domains where year between 2017 and 2019),
+traindom as (select year, label, domain from trainranked
+             where rn <= {SPLIT_TRAIN} or rn > {SPLIT_TRAIN + SPLIT_VAL})"""
+
+
+def vocab_ctes(th: int = 10) -> str:
+    """tldc (tld, c), tldv (token, id), vinfo (off, m) from the training set."""
+    return TRAIN + f""",
 tldc as (
   select tld, count(*) as c
-  from (select unnest(regexp_extract_all(domain, '{TLD_RE}')) as tld from domains where {train_filter}) t
+  from (select unnest(regexp_extract_all(domain, '{TLD_RE}')) as tld from traindom) t
   where tld is not null group by tld having count(*) >= {th}
 ),
 tldv as (select tld as token, cast(6 + row_number() over (order by c desc, tld) as int) as id from tldc),
