@@ -1,6 +1,7 @@
 """Column functions on wrapped domain strings (``naver[.co][.kr]``).
 
-All are native Catalyst expressions, so they stay inside whole-stage codegen."""
+All are native Catalyst expressions, so no row reaches Python; the higher-order functions
+among them are interpreted, outside whole-stage codegen."""
 
 from __future__ import annotations
 

@@ -1,9 +1,9 @@
 """Compare the previous wrapper with the current one on the same names.
 
-One probe of the suffix lookup serves both wrappers (J4); rows where the previous
-wrapper lost the prefix (P7) are kept, tagged with their source (P9) and reduced
-to one row per original name (A2, smallest source first); U2 is the subset whose
-original has exactly three dot parts (P8)."""
+Rows, tagged with their source (P9), are reduced to one per original name (A2, smallest
+source first) before any lookup; one probe of the suffix lookup then serves both
+wrappers (J4), and the names whose prefix the previous wrapper lost (P7) are kept; U2 is
+the subset whose original has exactly three dot parts (P8)."""
 
 from __future__ import annotations
 
@@ -17,9 +17,9 @@ from domainlab.operators.prep import dedup
 def audit_wrap(df: DataFrame, col: str, source_col: str, index: S.SuffixIndex
                ) -> tuple[DataFrame, DataFrame]:
     base = df.select(F.lower(col).alias("original_domain"), F.col(source_col).alias("source_file"))
+    base = dedup(base, ["original_domain"], ["source_file"])
     both = S.wrap_pair(base, "original_domain", index, "processed_domain", "processed_domain2")
-    bad = both.where(F.col("processed_domain").startswith("["))
-    bad = dedup(bad, ["original_domain"], ["source_file"]).select(
+    bad = both.where(F.col("processed_domain").startswith("[")).select(
         "original_domain", "processed_domain", "processed_domain2", "source_file")
     three = bad.where(F.size(F.split("original_domain", r"\.", -1)) == 3)
     return bad, three

@@ -2,12 +2,16 @@
 
 The vocabulary is a bounded table (specials + kept TLDs + 38 characters, or a
 subword vocabulary of ~32k entries). :class:`Vocab` collects it once behind a size
-check and turns it into literal lookups (an offset for the fixed alphabet and a
-literal map for TLD tokens), so encoding is a narrow projection with no join and
-no shuffle. Characters are code points (``(?s)(.)``)."""
+check and turns it into literal lookups of constant cost (an offset for the fixed
+alphabet, an array by id for decoding, small maps in an array by hash for TLD tokens),
+so encoding is a narrow projection with no join and no shuffle. Characters are code
+points (``(?s)(.)``)."""
 
 from __future__ import annotations
 
+import json
+import zlib
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -40,17 +44,26 @@ class Vocab:
     def char_offset(self) -> int:
         return self.max_special_id + 1
 
-    def tld_map(self) -> Column:
-        if not self.tld_ids:
-            return F.create_map().cast("map<string,int>")
-        items = sorted(self.tld_ids.items())
-        return F.map_from_arrays(F.array(*[F.lit(k) for k, _ in items]),
-                                 F.array(*[F.lit(v) for _, v in items]))
+    def token_array(self) -> Column:
+        """Tokens by id (NULL where no token has the id)."""
+        size = max(self.id_to_token, default=-1) + 1
+        return constant([self.id_to_token.get(i) for i in range(size)], "array<string>")
 
-    def token_map(self) -> Column:
-        items = sorted(self.id_to_token.items())
-        return F.map_from_arrays(F.array(*[F.lit(k) for k, _ in items]),
-                                 F.array(*[F.lit(v) for _, v in items]))
+
+def constant(value, ddl: str) -> Column:
+    """A constant of type ``ddl``: one literal that the optimizer parses once."""
+    return F.from_json(F.lit(json.dumps(value)), ddl)
+
+
+def hashed_lookup(ids: dict[str, int]) -> Callable[[Column], Column]:
+    """Key -> id (NULL if unknown) at a cost that does not grow with ``ids``: a map
+    constant is searched key by key, so the keys are dealt by hash to small maps."""
+    n = max(1, len(ids) // 4)
+    maps: list[dict[str, int]] = [{} for _ in range(n)]
+    for key, i in ids.items():
+        maps[zlib.crc32(key.encode()) % n][key] = i
+    table = constant(maps, "array<map<string,int>>")
+    return lambda key: F.try_element_at(F.get(table, (F.crc32(key.cast("binary")) % n).cast("int")), key)
 
 
 def chars(text) -> Column:
@@ -69,9 +82,8 @@ def char_ids(text, vocab: Vocab) -> Column:
 
 def tld_ids(domain, vocab: Vocab) -> Column:
     """Each bracket token -> its id, unknown -> SPARSE_TLD."""
-    m = vocab.tld_map()
-    return F.transform(TK.tld_tokens(domain),
-                       lambda t: F.coalesce(F.try_element_at(m, t), F.lit(SPARSE_TLD)).cast("int"))
+    find = hashed_lookup(vocab.tld_ids)
+    return F.transform(TK.tld_tokens(domain), lambda t: F.coalesce(find(t), F.lit(SPARSE_TLD)).cast("int"))
 
 
 def encode_char(domain, vocab: Vocab) -> Column:
@@ -81,8 +93,8 @@ def encode_char(domain, vocab: Vocab) -> Column:
 
 def decode(ids, vocab: Vocab, sep: str = " ") -> Column:
     """Ids -> tokens joined by ``sep`` (unknown ids -> ``[UNK]``)."""
-    m = vocab.token_map()
-    return F.array_join(F.transform(to_col(ids), lambda i: F.coalesce(F.try_element_at(m, i), F.lit("[UNK]"))), sep)
+    tokens = vocab.token_array()
+    return F.array_join(F.transform(to_col(ids), lambda i: F.coalesce(F.get(tokens, i), F.lit("[UNK]"))), sep)
 
 
 def _pads(n: Column) -> Column:
@@ -120,14 +132,3 @@ def template(ids) -> Column:
 def pad_mask(ids) -> Column:
     """K8: true where the id is PAD."""
     return F.transform(to_col(ids), lambda x: x == PAD)
-
-
-def attention_mask(ids) -> Column:
-    return F.transform(to_col(ids), lambda x: (x != PAD).cast("int"))
-
-
-def encode_frame(df: DataFrame, vocab: Vocab, domain: str = "domain", L: int = 82,
-                 mode: str = "pretrain", out: str = "ids") -> DataFrame:
-    ids = encode_char(domain, vocab)
-    packed = pack_pretrain(ids, L) if mode == "pretrain" else pack_finetune(ids, L)
-    return df.withColumn(out, packed)

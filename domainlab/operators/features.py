@@ -2,12 +2,15 @@
 
 Pooling over rows of a group uses ``Summarizer`` (one mergeable JVM aggregate per
 group: map-side partial max/mean, no explode of rows x dims). Pooling over the
-positions of one row (token vectors of a domain) is a per-row projection: the
-bounded token-vector table is looked up from a literal map, so no shuffle of
-rows x L vectors happens."""
+positions of one row (token vectors of a domain) is a narrow Arrow-batched step over
+the bounded token-vector matrix, so no shuffle of rows x L vectors happens."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -16,6 +19,7 @@ from pyspark.sql import functions as F
 from domainlab.functions.util import to_col
 
 MAX_TOKEN_VECTORS = 200_000
+POOL_ROWS = 256
 
 
 def pool_rows(df: DataFrame, key: str, vec: str, out: str = "pooled") -> DataFrame:
@@ -36,38 +40,50 @@ def fuse(*cols) -> Column:
     return F.concat(*[to_col(c) for c in cols])
 
 
-def _vmax(vs: Column) -> Column:
-    first = F.get(vs, 0)
-    return F.aggregate(vs, first, lambda acc, v: F.zip_with(acc, v, lambda a, b: F.greatest(a, b)))
-
-
-def _vmean(vs: Column, dim: int) -> Column:
-    total = F.aggregate(vs, F.array_repeat(F.lit(0.0), dim), lambda acc, v: F.zip_with(acc, v, lambda a, b: a + b))
-    return F.transform(total, lambda t: t / F.size(vs))
+def _reduce(ids: pd.Series, matrix: np.ndarray, mode: str, mask_pads: bool) -> pd.Series:
+    """Pools a few rows of ids at once; the matrix's last row stands for unknown ids."""
+    out = np.empty(len(ids), dtype=object)
+    rows = [None if x is None else np.asarray(x, dtype=np.int64) for x in ids]
+    if mask_pads:
+        rows = [None if r is None else r[r != 0] for r in rows]
+    at = [k for k, r in enumerate(rows) if r is not None and len(r)]
+    if at:
+        size = np.array([len(rows[k]) for k in at])
+        start = np.cumsum(size) - size
+        flat = np.concatenate([rows[k] for k in at])
+        unknown = len(matrix) - 1
+        flat = np.where((flat >= 0) & (flat < unknown), flat, unknown)
+        if mode == "cls":
+            res = matrix[flat[start]]
+        else:
+            v = matrix[flat]
+            res = np.hstack([np.maximum.reduceat(v, start), np.add.reduceat(v, start) / size[:, None]])
+        for k, vec in zip(at, res):
+            out[k] = vec
+    return pd.Series(out, index=ids.index)
 
 
 def pool_positions(df: DataFrame, ids: str, table: dict[int, list[float]], dim: int, out: str,
                    mode: str = "pool", mask_pads: bool = False) -> DataFrame:
     """D3/A14/A15 over positions: look up each id's vector (unknown -> zeros) and
     add ``out`` = max ‖ mean (``pool``; pads included unless ``mask_pads``) or the
-    first position's vector (``cls``). The looked-up vectors are staged as one
-    column that both reductions read, so the lookup runs once per row."""
+    first position's vector (``cls``); NULL where there is no position. The vectors go
+    to each worker once, as one matrix indexed by id, and ``POOL_ROWS`` rows are
+    pooled at a time, so a worker's memory does not depend on the batch size."""
     if len(table) > MAX_TOKEN_VECTORS:
         raise ValueError("token-vector table too large to ship as a lookup")
-    items = sorted(table.items())
-    m = F.map_from_arrays(F.array(*[F.lit(int(k)) for k, _ in items]),
-                          F.array(*[F.array(*[F.lit(float(x)) for x in v]) for _, v in items]))
-    zeros = F.array_repeat(F.lit(0.0), dim)
-    a = F.col(ids)
-    if mask_pads:
-        a = F.filter(a, lambda i: i != 0)
-    df = df.withColumn("_vs", F.transform(a, lambda i: F.coalesce(F.try_element_at(m, i), zeros)))
-    vs = F.col("_vs")
-    if mode == "cls":
-        res = F.when(F.size(vs) > 0, F.get(vs, 0))
-    else:
-        res = F.concat(_vmax(vs), _vmean(vs, dim))
-    return df.withColumn(out, res).drop("_vs")
+    matrix = np.zeros((max(table, default=-1) + 2, dim))
+    for i, v in table.items():
+        matrix[i] = v
+    shared = df.sparkSession.sparkContext.broadcast(matrix)
+
+    @F.pandas_udf("array<double>")
+    def pooled(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        m = shared.value
+        for s in batches:
+            parts = [_reduce(s.iloc[k:k + POOL_ROWS], m, mode, mask_pads) for k in range(0, len(s), POOL_ROWS)]
+            yield pd.concat(parts) if parts else s
+    return df.withColumn(out, pooled(F.col(ids)))
 
 
 def vec_text(c, digits: int = 6) -> Column:

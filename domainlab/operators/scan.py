@@ -21,34 +21,42 @@ from domainlab.session import checkpoint_dir
 _AGG = {"min": F.min, "max": F.max, "sum": F.sum}
 
 
-def running(df: DataFrame, partition_by: list[str], order_by: list[str], value: Column | None,
-            how: str, out: str, inclusive: bool = True, blocks: int | None = None) -> DataFrame:
-    """Add ``out`` = running ``how`` (min | max | sum | count) of ``value`` over the
-    rows of the same group up to this row (``inclusive``) or before it."""
-    if how == "count":
-        how, value = "sum", F.lit(1).cast("long")
-    agg = _AGG[how]
+def running_all(df: DataFrame, partition_by: list[str], order_by: list[str],
+                values: dict[str, tuple[str, Column | None]], inclusive: bool = True,
+                blocks: int | None = None) -> DataFrame:
+    """Add, for each ``out: (how, value)``, the running ``how`` (min | max | sum | count)
+    of ``value`` over the rows of the same group up to this row (``inclusive``) or before
+    it; one scan and one set of blocks serve all of them."""
     spark = df.sparkSession
     n = blocks or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = [*partition_by, *order_by]
     checkpoint_dir(spark)
-    s = (df.withColumn("_v", value).repartitionByRange(n, *keys)
-         .withColumn("_blk", F.spark_partition_id()).checkpoint(eager=True))
+    outs = list(values)
+    hows = {o: "sum" if how == "count" else how for o, (how, _) in values.items()}
+    s = df.select("*", *[(F.lit(1).cast("long") if how == "count" else value).alias(f"_v_{o}")
+                         for o, (how, value) in values.items()])
+    s = s.repartitionByRange(n, *keys).withColumn("_blk", F.spark_partition_id()).checkpoint(eager=True)
     w = Window.partitionBy("_blk", *partition_by).orderBy(*order_by)
     w = w.rowsBetween(Window.unboundedPreceding, Window.currentRow if inclusive else -1)
-    s = s.withColumn("_local", agg("_v").over(w))
-    totals = s.groupBy("_blk", *partition_by).agg(agg("_v").alias("_tot"))
-    wb = Window.partitionBy(*partition_by).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1) \
-        if partition_by else Window.orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    carry = totals.select("_blk", *partition_by, agg("_tot").over(wb).alias("_carry"))
+    totals = s.groupBy("_blk", *partition_by).agg(*[_AGG[hows[o]](f"_v_{o}").alias(f"_t_{o}") for o in outs])
+    wb = (Window.partitionBy(*partition_by) if partition_by else Window).orderBy("_blk") \
+        .rowsBetween(Window.unboundedPreceding, -1)
+    carry = totals.select("_blk", *partition_by, *[_AGG[hows[o]](f"_t_{o}").over(wb).alias(f"_c_{o}") for o in outs])
+    s = s.select("*", *[_AGG[hows[o]](f"_v_{o}").over(w).alias(f"_local_{o}") for o in outs])
     j = s.join(carry, ["_blk", *partition_by], "left")
-    if how == "sum":
-        comb = F.coalesce(F.col("_local"), F.lit(0)) + F.coalesce(F.col("_carry"), F.lit(0))
-    elif how == "min":
-        comb = F.least(F.col("_local"), F.col("_carry"))
-    else:
-        comb = F.greatest(F.col("_local"), F.col("_carry"))
-    return j.withColumn(out, comb).drop("_v", "_blk", "_local", "_carry")
+
+    def both(o: str) -> Column:
+        here, before = F.col(f"_local_{o}"), F.col(f"_c_{o}")
+        if hows[o] == "sum":
+            return F.coalesce(here, F.lit(0)) + F.coalesce(before, F.lit(0))
+        return (F.least if hows[o] == "min" else F.greatest)(here, before)
+    return j.select(*df.columns, *[both(o).alias(o) for o in outs])
+
+
+def running(df: DataFrame, partition_by: list[str], order_by: list[str], value: Column | None,
+            how: str, out: str, inclusive: bool = True, blocks: int | None = None) -> DataFrame:
+    """:func:`running_all` for a single value."""
+    return running_all(df, partition_by, order_by, {out: (how, value)}, inclusive, blocks)
 
 
 def positions(df: DataFrame, partition_by: list[str], order_by: list[str], out: str = "pos") -> DataFrame:

@@ -1,6 +1,8 @@
 """Training-log and logits analytics.
 
-Log tables are ``(run, step, task, loss)`` with ``(run, step, task)`` unique;
+Log tables are ``(run, step, task, loss)`` with ``(run, step, task)`` unique, several
+tasks per step; :func:`with_total` adds their sum as one more task. Values that run over
+steps are kept apart by task.
 running values use the blockwise scan in :mod:`domainlab.operators.scan`, so a
 single long run is still spread over all tasks."""
 
@@ -10,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from domainlab.functions.util import to_col
-from domainlab.operators.scan import positions, running
+from domainlab.operators.scan import positions, running, running_all
 
 IGNORE_INDEX = -100
 BATCH_SIZE = 128
@@ -40,28 +42,36 @@ def total_loss(log: DataFrame) -> DataFrame:
                                           F.count(F.lit(1)).alias("n_tasks"))
 
 
-def interval_loss(log: DataFrame, n: int = 1000, value: str = "loss") -> DataFrame:
-    """Mean over each block of ``n`` steps (steps 1..n, n+1..2n, ...); a block
-    that is not complete is not emitted."""
+def with_total(log: DataFrame, total: str = "total") -> DataFrame:
+    """The log's rows ``(run, step, task, loss)`` and, per step, their sum as task ``total``."""
+    rows = log.select("run", "step", "task", "loss")
+    return rows.unionByName(total_loss(log).select("run", "step", F.lit(total).alias("task"),
+                                                   F.col("total_loss").alias("loss")))
+
+
+def interval_loss(log: DataFrame, n: int = 1000, value: str = "loss",
+                  partition_by: tuple[str, ...] = ("run", "task")) -> DataFrame:
+    """Per run and task, the mean over each block of ``n`` steps (steps 1..n,
+    n+1..2n, ...); a block that is not complete is not emitted."""
     iv = F.floor((F.col("step") - 1) / n).cast("long")
-    g = log.groupBy("run", iv.alias("interval")).agg(
+    g = log.groupBy(*partition_by, iv.alias("interval")).agg(
         F.avg(value).alias("mean_loss"), F.countDistinct("step").alias("_steps"),
         F.max("step").alias("end_step"))
     return g.where(F.col("_steps") == n).drop("_steps")
 
 
 def best_checkpoints(val_log: DataFrame, loss: str = "loss") -> DataFrame:
-    """Steps whose validation loss is strictly below every earlier one of the run."""
+    """Steps whose validation loss is strictly below every earlier one of the run.
+    One row per (run, step): several tasks go through :func:`total_loss` first."""
     r = running(val_log, ["run"], ["step"], F.col(loss), "min", "_prev_min", inclusive=False)
     return r.where(F.col("_prev_min").isNull() | (F.col(loss) < F.col("_prev_min"))).drop("_prev_min")
 
 
 def running_loss(log: DataFrame, loss: str = "loss", partition_by: list[str] | None = None) -> DataFrame:
-    """Running mean since the start of the run (divides by n; the reference's
-    progress display divides by n + 1)."""
-    keys = partition_by or ["run"]
-    s = running(log, keys, ["step"], F.col(loss), "sum", "_sum")
-    s = running(s, keys, ["step"], None, "count", "_cnt")
+    """Per run and task, the running mean since the start (divides by n; the
+    reference's progress display divides by n + 1)."""
+    keys = partition_by or ["run", "task"]
+    s = running_all(log, keys, ["step"], {"_sum": ("sum", F.col(loss)), "_cnt": ("count", None)})
     return s.withColumn("running_mean", F.col("_sum") / F.col("_cnt")).drop("_sum", "_cnt")
 
 

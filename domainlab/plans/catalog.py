@@ -168,25 +168,29 @@ def q_pretokenize(spark, sf):
 
 
 # ---------------------------------------------------------------- U1 / U2 (+P7-P9, J4, T4)
-_AUDIT = O.with_(O.RAW_DOMAINS, """
-orig as (select lower(domain) as original_domain, family as source_file from raw_domains)""",
+_AUDIT = O.with_(O.AUDIT_NAMES, """
+orig as (select lower(domain) as original_domain, min(source_file) as source_file from audit_names
+         group by lower(domain))""",
                  O.suffix_ctes("orig", "original_domain"), f"""
 audit as (
   select o.original_domain, {O.v1_expr('o.original_domain', 's.labels')} as processed_domain,
          {O.wrap_expr('o.original_domain', 's.labels')} as processed_domain2, o.source_file
   from orig o left join sfx_s s on s.d = o.original_domain
 ),
-bad as (
-  select original_domain, min(source_file) as source_file,
-         any_value(processed_domain) as processed_domain, any_value(processed_domain2) as processed_domain2
-  from audit where starts_with(processed_domain, '[') group by original_domain
-)""")
+bad as (select * from audit where starts_with(processed_domain, '['))""")
 
 
 def _audit(spark, sf):
     from domainlab.operators import audit
-    raw = FX.raw_domains(spark, sf).select(F.col("domain"), F.col("family").alias("source_file"))
-    return audit.audit_wrap(raw, "domain", "source_file", mini_index(spark))
+    return audit.audit_wrap(FX.audit_names(spark, sf), "domain", "source_file", mini_index(spark))
+
+
+@query("wrap_rules", _AUDIT + """
+select original_domain, processed_domain2 as wrapped from audit""")
+def q_wrap_rules(spark, sf):
+    """T3 on names that reach the private, ICANN-only, promoted, wildcard and exception arms."""
+    names = FX.audit_names(spark, sf).select(F.lower("domain").alias("original_domain")).distinct()
+    return S.wrap_tld(names, "original_domain", mini_index(spark), "wrapped")
 
 
 @query("audit_wrap", _AUDIT + """
@@ -251,19 +255,20 @@ from domainlab.operators import trainlog as TL  # noqa: E402
 
 @query("batch_ids", O.with_(O.TRAIN_LOG) + """
 select run, step, task, loss,
-       cast(floor((row_number() over (partition by run order by step) - 1) / 128) as bigint) as batch_id
+       cast(floor((row_number() over (partition by run order by step, task) - 1) / 128) as bigint) as batch_id
 from train_log""")
 def q_batch_ids(spark, sf):
-    return TL.batch_ids(FX.train_log(spark, sf), ["step"], 128, ["run"])
+    return TL.batch_ids(FX.train_log(spark, sf), ["step", "task"], 128, ["run"])
 
 
 @query("batch_mean_loss", O.with_(O.TRAIN_LOG, """
-b as (select run, loss, floor((row_number() over (partition by run order by step) - 1) / 128) as batch_id
+b as (select run, task, loss, floor((row_number() over (partition by run, task order by step) - 1) / 128) as batch_id
       from train_log),
-per as (select run, batch_id, avg(loss) as m, count(*) as c from b group by run, batch_id)""") + """
-select run, round(avg(m), 6) as batch_mean_loss, count(*) as n_batches, sum(c) as n_rows from per group by run""")
+per as (select run, task, batch_id, avg(loss) as m, count(*) as c from b group by run, task, batch_id)""") + """
+select run, task, round(avg(m), 6) as batch_mean_loss, count(*) as n_batches, sum(c) as n_rows
+from per group by run, task""")
 def q_batch_mean_loss(spark, sf):
-    r = TL.batch_mean_loss(FX.train_log(spark, sf), ["step"], "loss", 128, ["run"])
+    r = TL.batch_mean_loss(FX.train_log(spark, sf), ["step"], "loss", 128, ["run", "task"])
     return r.withColumn("batch_mean_loss", F.round("batch_mean_loss", 6))
 
 
@@ -273,30 +278,37 @@ def q_total_loss(spark, sf):
     return TL.total_loss(FX.train_log(spark, sf)).withColumn("total_loss", F.round("total_loss", 6))
 
 
-@query("interval_loss", O.with_(O.TRAIN_LOG) + """
-select run, cast(floor((step - 1) / 1000) as bigint) as interval, round(avg(loss), 6) as mean_loss,
+@query("interval_loss", O.with_(O.TRAIN_LOG, O.TOTALS) + """
+select run, task, cast(floor((step - 1) / 100) as bigint) as interval, round(avg(loss), 6) as mean_loss,
        max(step) as end_step
-from train_log group by run, cast(floor((step - 1) / 1000) as bigint) having count(distinct step) = 1000""")
+from tasklog group by run, task, cast(floor((step - 1) / 100) as bigint) having count(distinct step) = 100""")
 def q_interval_loss(spark, sf):
-    return TL.interval_loss(FX.train_log(spark, sf), 1000).withColumn("mean_loss", F.round("mean_loss", 6))
+    """Each task's mean, and the mean total, over blocks of 100 steps."""
+    log = TL.with_total(FX.train_log(spark, sf))
+    return TL.interval_loss(log, 100).withColumn("mean_loss", F.round("mean_loss", 6))
 
 
-@query("best_checkpoint", O.with_(O.TRAIN_LOG) + """
-select run, step, task, loss from (
+@query("best_checkpoint", O.with_(O.TRAIN_LOG, O.TOTALS) + """
+select run, step, loss from (
   select *, min(loss) over (partition by run order by step rows between unbounded preceding and 1 preceding) as pm
-  from train_log) t
+  from (select run, step, round(loss, 6) as loss from steps) r) t
 where pm is null or loss < pm""")
 def q_best_checkpoint(spark, sf):
-    return TL.best_checkpoints(FX.train_log(spark, sf))
+    """The steps whose total loss is below every earlier one."""
+    total = TL.total_loss(FX.train_log(spark, sf))
+    return TL.best_checkpoints(total.select("run", "step", F.round("total_loss", 6).alias("loss")))
 
 
-@query("running_loss", O.with_(O.TRAIN_LOG) + """
-select run, step, task, loss,
-       round(avg(loss) over (partition by run order by step rows between unbounded preceding and current row), 6)
-         as running_mean
-from train_log""")
+@query("running_loss", O.with_(O.TRAIN_LOG, O.TOTALS) + """
+select run, step, task, round(loss, 6) as loss,
+       round(1e-9 + avg(loss) over (partition by run, task order by step
+                                    rows between unbounded preceding and current row), 6) as running_mean
+from tasklog""")
 def q_running_loss(spark, sf):
-    return TL.running_loss(FX.train_log(spark, sf)).withColumn("running_mean", F.round("running_mean", 6))
+    """Means that end in an exact half of the last digit are rounded up, whatever the
+    order of the additions (hence 1e-9)."""
+    log = TL.with_total(FX.train_log(spark, sf))
+    return TL.running_loss(log).withColumns({"loss": F.round("loss", 6), "running_mean": F.round(F.col("running_mean") + 1e-9, 6)})
 
 
 @query("masked_ce", O.with_(O.LOGITS, """
@@ -659,80 +671,6 @@ def q_fuse(spark, sf):
     return p.join(c, "label").select("label", FE.vec_text(FE.fuse("pooled", "cls")).alias("fused"))
 
 
-# ---------------------------------------------------------------- D1-D6 (rows checks)
-from domainlab.plans import model as MD  # noqa: E402
-
-W2V_DIM = 16
-
-
-def _char_sequences(spark, sf):
-    """Fine-tune packs, which begin with CLS: what the classifier reads."""
-    d, v = _encoded(spark, sf)
-    d = d.withColumn("_ids", EN.encode_char("domain", v))
-    return d.withColumn("p", EN.pack_finetune("_ids", CHAR_L)).drop("_ids"), v
-
-
-def _only_train(spark, sf, rows):
-    """The rows of the training set, one per (domain, label)."""
-    keep = _train_rows(spark, sf).select("year", "label", "domain")
-    return rows.join(keep, ["year", "label", "domain"], "left_semi").dropDuplicates(["domain", "label"])
-
-
-def _features(spark, sf, mode="pool"):
-    p, _ = _char_sequences(spark, sf)
-    vecs = MD.token_vectors(_only_train(spark, sf, p), "p", W2V_DIM)
-    table = MD.vector_table(vecs)
-    return MD.domain_features(p, {"char": ("p", table, W2V_DIM)}, mode)
-
-
-@query("token_vectors")
-def q_token_vectors(spark, sf):
-    p, _ = _char_sequences(spark, sf)
-    vecs = MD.token_vectors(_only_train(spark, sf, p), "p", W2V_DIM)
-    return vecs.select("id", FE.vec_text("vector").alias("vector"))
-
-
-@query("domain_features")
-def q_domain_features(spark, sf):
-    return _features(spark, sf).select("year", "label", "domain", F.size("features").alias("dim"),
-                                       FE.vec_text("features").alias("features"))
-
-
-@query("fit_classifier")
-def q_fit_classifier(spark, sf):
-    f = _features(spark, sf)
-    m = MD.fit_classifier(_only_train(spark, sf, f))
-    lr = m.stages[-1]
-    coef = [float(x) for x in lr.coefficients.toArray()]
-    return spark.createDataFrame([(float(lr.intercept), len(coef), coef)],
-                                 "intercept double, n_features int, coefficients array<double>")
-
-
-@query("score_domains")
-def q_score_domains(spark, sf):
-    f = _features(spark, sf)
-    m = MD.fit_classifier(_only_train(spark, sf, f))
-    return MD.score(m, f.where(F.col("year") >= 2020)).select("year", "domain", "y_true", "y_pred")
-
-
-@query("forward_chain")
-def q_forward_chain(spark, sf):
-    f = _features(spark, sf)
-    return MD.forward_chain(f, train=_only_train(spark, sf, f))
-
-
-@query("ablation")
-def q_ablation(spark, sf):
-    """One metrics row per variant (char branch pooled vs first position)."""
-    out = None
-    for mode in ("pool", "cls"):
-        f = _features(spark, sf, mode)
-        m = MD.fit_classifier(_only_train(spark, sf, f))
-        r = MX.metrics_overall(MD.score(m, f.where(F.col("year") >= 2020))).withColumn("variant", F.lit(f"char_{mode}"))
-        out = r if out is None else out.unionByName(r)
-    return out
-
-
 # ---------------------------------------------------------------- V3, K5, K2, K7, M5
 from domainlab.operators import wordpiece as WP  # noqa: E402
 
@@ -771,12 +709,14 @@ def q_wordpiece_vocab(spark, sf):
     return _subword_vocab(spark, sf)
 
 
-def _subword_frame(spark, sf):
+def _subword_frame(spark, sf, rows=None):
+    """``rows`` (all domains unless given) with their subword ids followed by the TLD ids."""
     wv = _subword_vocab(spark, sf)
     vd = WP.vocab_dict(wv)
     cv = EN.Vocab.from_table(wv.where("kind = 'special'").withColumn(
         "kind", F.when(F.col("id") >= len(vocab.SPECIAL_TOKENS), F.lit("tld")).otherwise(F.col("kind"))))
-    d = domains(spark, sf).select("year", "label", "domain").withColumn("_sld", TK.strip_tlds("domain"))
+    d = domains(spark, sf).select("year", "label", "domain") if rows is None else rows
+    d = d.withColumn("_sld", TK.strip_tlds("domain"))
     d = WP.wordpiece_encode(d, "_sld", vd, "_wp")
     return d.withColumn("x_token_raw", F.concat("_wp", EN.tld_ids("domain", cv))).drop("_sld", "_wp"), vd
 
@@ -807,6 +747,118 @@ def q_finetune_samples(spark, sf):
                     ids_text(EN.pack_finetune("_c", CHAR_L)).alias("x_char"))
 
 
+# ---------------------------------------------------------------- D1-D6 (rows checks)
+from domainlab.plans import model as MD  # noqa: E402
+
+W2V_DIM = 16
+BRANCHES = ("token", "char")
+TRAIN_YEARS = (2017, 2018, 2019)
+#: Which branches a variant reads, and how each one's positions become one vector.
+VARIANTS = {f"{name}_{mode}": (branches, mode) for mode in ("pool", "cls")
+            for name, branches in (("token", ("token",)), ("char", ("char",)), ("both", BRANCHES))}
+
+
+def _sequences(spark, sf):
+    """Fine-tune packs, which begin with CLS, of both branches: what the classifier reads.
+    ``train`` marks the training set (train and test rows of 2017-2019). Written once,
+    since vectors, fit and scoring each pass over it."""
+    d, _ = _subword_frame(spark, sf, _splits(spark, sf))
+    v = EN.Vocab.from_table(_char_vocab(spark, sf))
+    d = d.withColumn("_c", EN.encode_char("domain", v)).select(
+        "year", "label", "domain",
+        (F.col("year").isin(*TRAIN_YEARS) & F.col("split").isin("train", "test")).alias("train"),
+        EN.pack_finetune("x_token_raw", SUBWORD_L).alias("token"), EN.pack_finetune("_c", CHAR_L).alias("char"))
+    path = scratch_path(spark, "sequences")
+    d.write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def _training(rows):
+    """The training set: one row per (domain, label)."""
+    return rows.where("train").dropDuplicates(["domain", "label"])
+
+
+def _vectors(seq, branches=BRANCHES):
+    train = _training(seq)
+    return {b: MD.vector_table(MD.token_vectors(train, b, W2V_DIM)) for b in branches}
+
+
+def _features(seq, vectors, branches=BRANCHES, mode="pool"):
+    return MD.domain_features(seq, {b: (b, vectors[b], W2V_DIM) for b in branches}, mode).drop(*BRANCHES)
+
+
+def _both_features(spark, sf):
+    seq = _sequences(spark, sf)
+    return _features(seq, _vectors(seq))
+
+
+@query("token_vectors")
+def q_token_vectors(spark, sf):
+    train = _training(_sequences(spark, sf))
+    out = None
+    for b in BRANCHES:
+        v = MD.token_vectors(train, b, W2V_DIM).select(F.lit(b).alias("branch"), "id", FE.vec_text("vector").alias("vector"))
+        out = v if out is None else out.unionByName(v)
+    return out
+
+
+@query("domain_features")
+def q_domain_features(spark, sf):
+    return _both_features(spark, sf).select("year", "label", "domain", F.size("features").alias("dim"),
+                                            FE.vec_text("features").alias("features"))
+
+
+@query("feature_lookup", _ENC_SQL + "," + f"""
+looked as (select year, label, domain, {O.pack_finetune_sql('ids', CHAR_L)} as p from enc),
+dims as (select *, list_transform(p, lambda i: cast(least(i, 40) as double) / 8) as a,
+                list_transform(p, lambda i: cast(i % 5 as double)) as b from looked)
+select year, label, domain, {_vt_sql("[list_max(a), list_max(b), list_avg(a), list_avg(b)]")} as features from dims""")
+def q_feature_lookup(spark, sf):
+    """D3 with fixed vectors (least(id, 40) / 8, id mod 5), so that pooling has an oracle."""
+    d, v = _encoded(spark, sf)
+    table = {i: [min(i, 40) / 8, float(i % 5)] for i in v.id_to_token}
+    d = d.withColumn("p", EN.pack_finetune(EN.encode_char("domain", v), CHAR_L))
+    f = FE.pool_positions(d, "p", table, 2, "features")
+    return f.select("year", "label", "domain", FE.vec_text("features").alias("features"))
+
+
+@query("fit_classifier")
+def q_fit_classifier(spark, sf):
+    m = MD.fit_classifier(_training(_both_features(spark, sf)))
+    lr = m.stages[-1]
+    coef = [float(x) for x in lr.coefficients.toArray()]
+    return spark.createDataFrame([(float(lr.intercept), len(coef), coef)],
+                                 "intercept double, n_features int, coefficients array<double>")
+
+
+@query("score_domains")
+def q_score_domains(spark, sf):
+    f = _both_features(spark, sf)
+    m = MD.fit_classifier(_training(f))
+    return MD.score(m, f.where(~F.col("year").isin(*TRAIN_YEARS))).select("year", "domain", "y_true", "y_pred")
+
+
+@query("forward_chain")
+def q_forward_chain(spark, sf):
+    f = _both_features(spark, sf)
+    return MD.forward_chain(f, train_years=TRAIN_YEARS, train=_training(f))
+
+
+@query("ablation")
+def q_ablation(spark, sf):
+    """One metrics row per variant: token, char or both branches, pooled or first
+    position. The vectors are learned once for all variants."""
+    seq = _sequences(spark, sf)
+    vectors = _vectors(seq)
+    out = None
+    for name, (branches, mode) in VARIANTS.items():
+        f = _features(seq, vectors, branches, mode)
+        m = MD.fit_classifier(_training(f))
+        r = MX.metrics_overall(MD.score(m, f.where(~F.col("year").isin(*TRAIN_YEARS)))).withColumn("variant", F.lit(name))
+        out = r if out is None else out.unionByName(r)
+    return out
+
+
 # ---------------------------------------------------------------- T7, O4, V6
 from domainlab.functions import normalize as NZ  # noqa: E402
 

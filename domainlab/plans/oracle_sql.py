@@ -8,7 +8,9 @@ must agree on the fixture data."""
 from __future__ import annotations
 
 from domainlab.functions.suffix import MINI_RULES_ICANN, MINI_RULES_PRIVATE
-from domainlab.sources.fixtures import FIXTURE_SUFFIXES
+from domainlab.functions.tokens import TLD_TOKEN_PATTERN as TLD_RE
+from domainlab.operators.vocab import CHAR_ALPHABET
+from domainlab.sources.fixtures import AUDIT_SHAPES, FIXTURE_SUFFIXES
 
 
 def _rules_values() -> str:
@@ -37,7 +39,20 @@ predictions as (
 )"""
 
 TRAIN_LOG = """
-train_log as (select 'r0' as run, event_id + 1 as step, event_type as task, value as loss from events)"""
+train_log as (select 'r0' as run, cast(floor(event_id / 3) + 1 as bigint) as step,
+                     case event_id % 3 when 0 then 'mtp' when 1 then 'tpp' else 'tov' end as task, value as loss
+              from events)"""
+
+#: steps: one row per step; tasklog: the log's rows and each step's sum as one more task.
+TOTALS = """
+steps as (select run, step, sum(loss) as loss from train_log group by run, step),
+tasklog as (select run, step, task, loss from train_log union all select run, step, 'total', loss from steps)"""
+
+AUDIT_NAMES = f"""
+audit_names as (
+  select replace(case (doc_id + length(w)) % {len(AUDIT_SHAPES)} {" ".join(f"when {i} then '{s}'" for i, s in enumerate(AUDIT_SHAPES))} end,
+                 '{{w}}', w) as domain, source as source_file
+  from (select doc_id, source, unnest(regexp_extract_all(text, '[A-Za-z0-9]+')) as w from documents) t)"""
 
 LOGITS = """
 logits as (select vec_id as id, cast(embedding as double[]) as logits, label from embeddings)"""
@@ -128,8 +143,6 @@ def with_(*ctes: str) -> str:
     return "with " + ",".join(c.strip().rstrip(",") for c in ctes)
 
 
-ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789-."
-TLD_RE = r"\[\.[a-zA-Z0-9-]+\]"
 
 
 #: Exact-size split of each (year, label): rows for training, for validation; seed.
@@ -165,8 +178,8 @@ enc as (
   select d.year, d.label, d.domain, vinfo.off,
          list_concat(
            list_transform(regexp_extract_all(d.sld, '(?s).', 0),
-                          lambda c: cast(case when strpos('{ALPHABET}', c) > 0
-                                              then vinfo.off + strpos('{ALPHABET}', c) - 1 else 1 end as int)),
+                          lambda c: cast(case when strpos('{CHAR_ALPHABET}', c) > 0
+                                              then vinfo.off + strpos('{CHAR_ALPHABET}', c) - 1 else 1 end as int)),
            list_transform(d.tl, lambda t: cast(coalesce(vinfo.m[t], 6) as int))) as ids
   from (select *, regexp_extract_all(lower(domain), '{TLD_RE}') as tl,
                list_reduce(list_prepend(lower(domain), regexp_extract_all(lower(domain), '{TLD_RE}')),

@@ -2,7 +2,7 @@
 
 Every view reads whole tables, so its work grows with the data:
 ``raw_domains`` (documents x labels -> one domain per word), ``predictions``
-(orders), ``train_log`` (events), ``hosts`` (pages) and ``logits`` (embeddings)."""
+(orders), ``train_log`` (events), ``audit_names`` (documents) and ``logits`` (embeddings)."""
 
 from __future__ import annotations
 
@@ -55,6 +55,10 @@ def raw_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: The training tasks, in order.
+TASKS = ["mtp", "tpp", "tov"]
+
+
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(id, year, family, y_true, y_pred)`` from orders; 2001 has no positives."""
     o = table(spark, sf_dir, "orders")
@@ -69,15 +73,26 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def train_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(run, step, task, loss)`` from events, one row per step."""
+    """``(run, step, task, loss)`` from events: the tasks mtp, tpp and tov in each step."""
     e = table(spark, sf_dir, "events")
-    return e.select(F.lit("r0").alias("run"), (F.col("event_id") + 1).alias("step"),
-                    F.col("event_type").alias("task"), F.col("value").alias("loss"))
+    task = F.element_at(F.array(*[F.lit(t) for t in TASKS]), (F.col("event_id") % 3 + 1).cast("int"))
+    return e.select(F.lit("r0").alias("run"), (F.floor(F.col("event_id") / 3) + 1).cast("long").alias("step"),
+                    task.alias("task"), F.col("value").alias("loss"))
+
 
+#: Shape of an audited name by (doc_id + length of the word) % 9, in order
+#: 0..8; {w} is the word. Bare and deep names reach every arm of the suffix rules.
+AUDIT_SHAPES = ["{w}.com", "github.io", "{w}.github.io", "s3.amazonaws.com", "{w}.kawasaki.jp",
+                "city.kawasaki.jp", "{w}.city.kawasaki.jp", "x.{w}.kawasaki.jp", "co.uk"]
 
-def hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "pages")
-    return p.select("page_id", F.regexp_extract("url", r"://([^/:?#]+)", 1).alias("host"))
+
+def audit_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(domain, source_file)``: one name per word of every document."""
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), "doc_id")
+    words = docs.select("doc_id", "source", F.explode(F.regexp_extract_all("text", F.lit("([A-Za-z0-9]+)"), 1)).alias("w"))
+    shape = F.element_at(F.array(*[F.lit(s) for s in AUDIT_SHAPES]),
+                         ((F.col("doc_id") + F.length("w")) % len(AUDIT_SHAPES) + 1).cast("int"))
+    return words.select(F.replace(shape, F.lit("{w}"), F.col("w")).alias("domain"), F.col("source").alias("source_file"))
 
 
 def logits(spark: SparkSession, sf_dir: str) -> DataFrame:

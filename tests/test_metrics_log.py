@@ -54,6 +54,16 @@ def test_running_mean_spans_blocks(spark):
     assert [x[0] for x in r[:3]] == [0.0, 0.5, 1.0] and r[-1][0] == (n - 1) / 2
 
 
+def test_tasks_of_a_step_stay_apart(spark):
+    rows = [("r0", step, task, float(step * w)) for step in range(1, 5) for w, task in ((1, "mtp"), (10, "tpp"), (100, "tov"))]
+    log = TL.with_total(spark.createDataFrame(rows, "run string, step long, task string, loss double"))
+    assert log.count() == 16
+    got = {(r.task, r.interval): r.mean_loss for r in TL.interval_loss(log, 2).collect()}
+    assert got == {(t, i): w * (1.5 + 2 * i) for w, t in ((1, "mtp"), (10, "tpp"), (100, "tov"), (111, "total")) for i in (0, 1)}
+    run = {(r.task, r.step): r.running_mean for r in TL.running_loss(log).collect()}
+    assert run == {(t, s): w * (s + 1) / 2 for w, t in ((1, "mtp"), (10, "tpp"), (100, "tov"), (111, "total")) for s in range(1, 5)}
+
+
 def test_masked_ce_and_argmax(spark):
     df = spark.createDataFrame([(1, [0.0, 0.0], 0), (2, [1.0, 3.0], -100), (3, [2.0, 2.0], 1)],
                                "id int, logits array<double>, label int")
