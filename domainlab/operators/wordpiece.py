@@ -15,8 +15,10 @@ checkpointed every few rounds.
 
 Encoding is greedy longest-match-first per word with ``##`` continuations (a word
 with an unmatched piece, or longer than 100 characters, becomes ``[UNK]``). It is
-the one per-row Python step: an Arrow-batched ``mapInPandas`` with the bounded
-vocabulary shipped once per task."""
+the one Python step: an Arrow-batched ``mapInPandas`` with the bounded vocabulary
+shipped once per worker. Each distinct white-space separated word of a batch is
+normalised, split and matched once, and the ids of recent words are kept in a bounded
+cache per task."""
 
 from __future__ import annotations
 
@@ -35,6 +37,7 @@ from domainlab.session import checkpoint_dir
 PREFIX = "##"
 MAX_WORD_CHARS = 100
 MAX_VOCAB = 200_000
+CACHE_WORDS = 200_000
 
 
 def initial_symbols(word) -> Column:
@@ -143,7 +146,9 @@ def train_wordpiece(word_counts: DataFrame, vocab_size: int, min_frequency: int
 
 
 # ---------------------------------------------------------------- encoding (K5, K2, K7)
-_PUNCT = regex.compile(r"[!-/:-@\[-`{-~\p{P}]")
+#: A punctuation mark, or a run of anything but punctuation and white space.
+_PUNCT = r"!-/:-@\[-`{-~\p{P}"
+_WORD = regex.compile(rf"[{_PUNCT}]|[^\s\x1c-\x1f{_PUNCT}]+")
 
 
 def _normalize(s: str) -> str:
@@ -152,22 +157,7 @@ def _normalize(s: str) -> str:
 
 
 def _words(s: str) -> list[str]:
-    out, cur = [], []
-    for ch in s:
-        if ch.isspace():
-            if cur:
-                out.append("".join(cur))
-                cur = []
-        elif _PUNCT.match(ch):
-            if cur:
-                out.append("".join(cur))
-                cur = []
-            out.append(ch)
-        else:
-            cur.append(ch)
-    if cur:
-        out.append("".join(cur))
-    return out
+    return _WORD.findall(s)
 
 
 def _encode_word(w: str, vocab: dict[str, int], unk: int) -> list[int]:
@@ -189,12 +179,21 @@ def _encode_word(w: str, vocab: dict[str, int], unk: int) -> list[int]:
     return ids
 
 
-def encode_text(s: str | None, vocab: dict[str, int], unk: int) -> list[int]:
-    if s is None:
-        return []
+def encode_text(s: str | None, vocab: dict[str, int], unk: int,
+                cache: dict[str, list[int]] | None = None) -> list[int]:
+    """Ids of one text (NULL: none). White space never joins words, so each part between
+    white space is encoded by itself, and looked up in ``cache`` first."""
+    cache = {} if cache is None else cache
     out: list[int] = []
-    for w in _words(_normalize(s)):
-        out.extend(_encode_word(w, vocab, unk))
+    for part in (s or "").split():
+        ids = cache.get(part)
+        if ids is None:
+            ids = [i for w in _words(_normalize(part)) for i in _encode_word(w, vocab, unk)]
+            if len(cache) >= CACHE_WORDS:
+                cache.clear()
+            if len(part) <= MAX_WORD_CHARS:
+                cache[part] = ids
+        out.extend(ids)
     return out
 
 
@@ -214,9 +213,9 @@ def wordpiece_encode(df: DataFrame, text: str, vocab: dict[str, int], out: str =
     schema = T.StructType(df.schema.fields + [T.StructField(out, T.ArrayType(T.IntegerType()))])
 
     def run(batches):
-        v = bc.value
+        v, cache = bc.value, {}
         for pdf in batches:
-            pdf[out] = pd.Series([encode_text(x, v, unk) for x in pdf[text]], index=pdf.index, dtype=object)
+            pdf[out] = pd.Series([encode_text(x, v, unk, cache) for x in pdf[text]], index=pdf.index, dtype=object)
             yield pdf
     return df.mapInPandas(run, schema)
 

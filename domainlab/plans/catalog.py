@@ -595,7 +595,7 @@ def q_scan_feed(spark, sf):
                           F.lit(0), F.lit(0), F.lit(0))
     (raw.select("domain", F.date_format(ts, "yyyy-MM-dd HH:mm:ss").alias("valid_from"), "family")
         .write.option("header", True).csv(base))
-    return RD.read_feed(spark, [f"{base}/*.csv"]).select("domain", "valid_from", "family")
+    return RD.read_feed(spark, [f"{base}/*.csv"], ("domain", "valid_from", "family")).select("domain", "valid_from", "family")
 
 
 @query("in_year_feed", O.with_(O.RAW_DOMAINS) + """
@@ -627,12 +627,29 @@ def q_scan_family(spark, sf):
     return RD.read_families(spark, base).select("family", "domain", "label")
 
 
-@query("write_csv")
+def _through_csv(spark, df, tag):
+    """Written as CSV with a header, read back with the columns' types."""
+    base = scratch_path(spark, tag)
+    RD.write_csv(df, base)
+    return RD.read_csv_table(spark, base, df.schema)
+
+
+@query("write_csv", ORACLE["metrics_by_year"])
 def q_write_csv(spark, sf):
-    """The by-year metrics table written as CSV with a header and read back."""
-    base = scratch_path(spark, "metrics_csv")
-    RD.write_csv(MX.metrics_by(FX.predictions(spark, sf), "year", overall=True), base)
-    return RD.read_csv_table(spark, base)
+    """The by-year metrics table."""
+    return _through_csv(spark, MX.metrics_by(FX.predictions(spark, sf), "year", overall=True), "metrics_csv")
+
+
+@query("write_csv_tlds", ORACLE["tld_counts"])
+def q_write_csv_tlds(spark, sf):
+    """The suffix frequency table."""
+    return _through_csv(spark, vocab.tld_counts(domains(spark, sf), "domain", 10), "tlds_csv")
+
+
+@query("write_csv_audit", ORACLE["audit_wrap"])
+def q_write_csv_audit(spark, sf):
+    """The audit table."""
+    return _through_csv(spark, _audit(spark, sf)[0], "audit_csv")
 
 
 # ---------------------------------------------------------------- A14-A16 (embeddings as vectors)

@@ -67,10 +67,12 @@ def fit_classifier(train: DataFrame, features: str = "features", label: str = "l
 
 def score(model: PipelineModel, df: DataFrame, features: str = "features", label: str = "label"
           ) -> DataFrame:
-    """Bulk scoring -> ``y_true``, ``y_pred`` (argmax of the class scores)."""
+    """Bulk scoring, of a batch or a stream -> ``y_pred`` (argmax of the class scores)
+    and, where the rows have a label, ``y_true``."""
     scored = model.transform(df.withColumn("_fv", array_to_vector(F.col(features))))
-    return scored.withColumn("y_true", F.col(label).cast("int")).withColumn(
-        "y_pred", F.col("_pred").cast("int")).drop("_fv", "_pred", "rawPrediction", "probability")
+    if label in df.columns:
+        scored = scored.withColumn("y_true", F.col(label).cast("int"))
+    return scored.withColumn("y_pred", F.col("_pred").cast("int")).drop("_fv", "_pred", "rawPrediction", "probability")
 
 
 def forward_chain(df: DataFrame, year: str = "year", train_years=(2017, 2018, 2019),

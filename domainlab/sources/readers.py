@@ -1,6 +1,6 @@
 """Sources and sinks.
 
-Schemas are declared, never inferred; every reader takes several paths/globs in
+CSV schemas are declared, never inferred; every CSV reader takes several paths/globs in
 one scan, tags rows with their file (``_metadata.file_name``) and tolerates bad
 input: malformed CSV lines land in ``_corrupt_record`` (kept out of the data and
 available as a side table). An unreadable file fails the job unless ``skip_bad`` is
@@ -41,13 +41,23 @@ def read_ranked_list(spark: SparkSession, paths: list[str], skip_bad: bool = Fal
     return good
 
 
-def read_feed(spark: SparkSession, paths: list[str], skip_bad: bool = False) -> DataFrame:
-    """Headered feed CSVs; the first column is the domain, ``valid_from`` is
-    parsed to a timestamp (unparseable -> NULL); other columns are kept as text."""
-    df = _csv(spark, skip_bad).option("header", True).csv(paths)
-    first = df.columns[0]
-    out = df.withColumn("valid_from", F.try_to_timestamp(F.col("valid_from")))
-    return out.withColumnRenamed(first, "domain").withColumn("source_file", F.col("_metadata.file_name"))
+def read_feed(spark: SparkSession, paths: list[str], columns: tuple[str, ...] = ("domain", "valid_from"),
+              skip_bad: bool = False, check_header: bool = True, with_bad: bool = False
+              ) -> DataFrame | tuple[DataFrame, DataFrame]:
+    """Headered feed CSVs whose ``columns`` are declared in file order, the domain
+    first; ``valid_from`` is parsed to a timestamp (unparseable -> NULL), other columns are
+    kept as text. With ``check_header`` a file whose header names other columns, or these
+    in another order, fails the read; without it, columns go by position whatever the
+    header says. Malformed lines are left out (``with_bad``: returned as a second table)."""
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in (*columns, CORRUPT)])
+    df = (_csv(spark, skip_bad).schema(schema).option("header", True).option("enforceSchema", not check_header)
+          .csv(paths).withColumn("source_file", F.col("_metadata.file_name")))
+    good = df.where(F.col(CORRUPT).isNull()).drop(CORRUPT).withColumnRenamed(columns[0], "domain")
+    if "valid_from" in columns:
+        good = good.withColumn("valid_from", F.try_to_timestamp(F.col("valid_from")))
+    if with_bad:
+        return good, df.where(F.col(CORRUPT).isNotNull()).select(CORRUPT, *columns, "source_file")
+    return good
 
 
 def read_split(spark: SparkSession, base: str, years=None, labels=None, splits=None) -> DataFrame:

@@ -10,6 +10,8 @@ unbounded state); run the batch ``dedup`` on the sink output instead."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,13 +30,17 @@ def prepare_stream(df: DataFrame, index: S.SuffixIndex, vocab: EN.Vocab, L: int
 
 def run_stream(spark: SparkSession, source_dir: str, schema: T.StructType | str, sink_dir: str,
                checkpoint: str, index: S.SuffixIndex, vocab: EN.Vocab, L: int = 82,
-               max_files_per_trigger: int | None = None) -> None:
-    """Process every file present in ``source_dir`` into parquet at ``sink_dir``."""
+               max_files_per_trigger: int | None = None,
+               then: Callable[[DataFrame], DataFrame] | None = None) -> None:
+    """Process every file present in ``source_dir`` into parquet at ``sink_dir``; a later
+    run with the same ``checkpoint`` takes up the files that came since. ``then`` is a
+    stateless step on the prepared rows, such as features and scoring (D3, D1)."""
     reader = spark.readStream.schema(schema)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     src = reader.parquet(source_dir)
     out = prepare_stream(src, index, vocab, L)
+    out = then(out) if then else out
     q = (out.writeStream.format("parquet").option("path", sink_dir)
          .option("checkpointLocation", checkpoint).outputMode("append")
          .trigger(availableNow=True).start())
