@@ -9,10 +9,12 @@ combined. The block-tagged rows are checkpointed to the shared checkpoint folder
 before they feed both the per-block totals and the local scan: two separately
 planned range exchanges may draw different boundaries, and a reliable checkpoint
 both pins the block ids and cuts the lineage for executor loss. Order keys must be
-unique within a group."""
+unique within a group; a NULL in ``partition_by`` is a group of its own."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,9 +43,10 @@ def running_all(df: DataFrame, partition_by: list[str], order_by: list[str],
     totals = s.groupBy("_blk", *partition_by).agg(*[_AGG[hows[o]](f"_v_{o}").alias(f"_t_{o}") for o in outs])
     wb = (Window.partitionBy(*partition_by) if partition_by else Window).orderBy("_blk") \
         .rowsBetween(Window.unboundedPreceding, -1)
-    carry = totals.select("_blk", *partition_by, *[_AGG[hows[o]](f"_t_{o}").over(wb).alias(f"_c_{o}") for o in outs])
+    keyed = ["_blk", *partition_by]
+    carry = totals.select(*[F.col(c).alias(f"_k_{c}") for c in keyed], *[_AGG[hows[o]](f"_t_{o}").over(wb).alias(f"_c_{o}") for o in outs])
     s = s.select("*", *[_AGG[hows[o]](f"_v_{o}").over(w).alias(f"_local_{o}") for o in outs])
-    j = s.join(carry, ["_blk", *partition_by], "left")
+    j = s.join(carry, reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in keyed]), "left")
 
     def both(o: str) -> Column:
         here, before = F.col(f"_local_{o}"), F.col(f"_c_{o}")

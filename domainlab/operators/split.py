@@ -2,24 +2,24 @@
 
 Each row gets ``h = md5(seed ':' key)``; the split order is ``(h, key)``. Per
 group, the first ``train_size`` rows are train, the next ``val_size`` val, the
-rest test (a short group clips). The two cut keys per group are found by
-histogram refinement: count rows per 3-hex-digit prefix of ``h`` (at most 4096
-buckets per group), locate the bucket holding each cut rank, and refine only
-inside that bucket with the next 3 digits until it holds at most ``local_rows``
-rows, which are then ordered exactly. Every step is a distributed aggregate;
-the driver only sees histograms and at most ``local_rows`` keys per cut."""
+rest test (a short group clips). Rows are counted by group and by the first hex digits of
+``h``; running sums of these counts tell in which block of equal digits each cut falls and
+at which rank there. Every other block lies on one side of a cut as a whole, so only the
+rows of the cut blocks are sorted. No row or key reaches the driver, and the number of
+groups is not limited."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from domainlab.session import checkpoint_dir
 
 TRAIN_SIZE = 1_500_000
 VAL_SIZE = 150_000
-DIGITS = 3
-MAX_GROUPS = 1_000   # histograms reach the driver: at most 4096 rows per group
+DIGITS = 3   # a block holds about one row in 16 ** DIGITS of its group
 
 
 def split_hash(key: str, seed: int | str) -> Column:
@@ -27,113 +27,43 @@ def split_hash(key: str, seed: int | str) -> Column:
     return F.md5(F.concat(F.lit(str(seed)), F.lit(":"), F.coalesce(F.col(key), F.lit(""))))
 
 
-def _kth_keys(df: DataFrame, by: list[str], key: str, wants: dict[tuple, list[int]],
-              local_rows: int) -> dict[tuple, dict[int, tuple[str, str]]]:
-    """For each group ``g`` and rank ``r`` in ``wants[g]`` return the ``(h, key)`` of
-    the r-th row (1-based) in ``(h, key)`` order."""
-    result: dict[tuple, dict[int, tuple[str, str]]] = {g: {} for g in wants}
-    # pending: (group, prefix, rank within rows having that prefix, wanted rank)
-    pending = [(g, "", r, r) for g, rs in wants.items() for r in rs]
-    plen = 0
-    while pending:
-        plen += DIGITS
-        prefixes = {(g, p) for g, p, _, _ in pending}
-        cond = _prefix_filter(by, prefixes, plen - DIGITS)
-        sub = df.where(cond) if cond is not None else df
-        hist = (sub.groupBy(*by, F.substring("_h", 1, plen).alias("_b"))
-                .agg(F.count(F.lit(1)).alias("_c")).collect())
-        buckets: dict[tuple, list[tuple[str, int]]] = {}
-        for row in hist:
-            g = tuple(row[c] for c in by)
-            buckets.setdefault(g, []).append((row["_b"], row["_c"]))
-        nxt, local = [], []
-        for g, p, r, r0 in pending:
-            acc = 0
-            for b, c in sorted(x for x in buckets.get(g, []) if x[0].startswith(p)):
-                if acc + c >= r:
-                    if c <= local_rows or plen >= 32:
-                        local.append((g, b, r - acc, r0))
-                    else:
-                        nxt.append((g, b, r - acc, r0))
-                    break
-                acc += c
-        if local:
-            cond = _prefix_filter(by, {(g, b) for g, b, _, _ in local}, plen)
-            rows = df.where(cond).select(*by, "_h", key).collect()
-            per: dict[tuple, list[tuple[str, str]]] = {}
-            for row in rows:
-                g = tuple(row[c] for c in by)
-                per.setdefault((g, row["_h"][:plen]), []).append((row["_h"], row[key]))
-            for g, b, r, r0 in local:
-                ordered = sorted(per[(g, b)])
-                result[g][r0] = ordered[r - 1]
-        pending = nxt
-    return result
-
-
-def _prefix_filter(by: list[str], prefixes: set[tuple], plen: int) -> Column | None:
-    if plen == 0 and all(p == "" for _, p in prefixes):
-        conds = [_group_eq(by, g) for g, _ in prefixes]
-    else:
-        conds = [_group_eq(by, g) & (F.substring("_h", 1, plen) == F.lit(p)) for g, p in prefixes]
-    if not conds:
-        return None
-    out = conds[0]
-    for c in conds[1:]:
-        out = out | c
-    return out
-
-
-def _group_eq(by: list[str], g: tuple) -> Column:
-    c = F.lit(True)
-    for name, v in zip(by, g):
-        c = c & (F.col(name).isNull() if v is None else (F.col(name) == F.lit(v)))
-    return c
-
-
 def exact_split(df: DataFrame, key: str = "domain", by: list[str] | None = None,
                 train_size: int = TRAIN_SIZE, val_size: int = VAL_SIZE, seed: int = 42,
-                local_rows: int = 50_000, out: str = "split") -> DataFrame:
+                digits: int = DIGITS, out: str = "split") -> DataFrame:
     """O3: add ``out`` in {train, val, test}. ``key`` must be unique per group; a NULL key
-    is ordered as an empty one."""
-    by = by or []
-    # several passes read the hashed input: materialise it once in the shared
-    # checkpoint folder (also a lineage cut if executors are lost later)
+    is ordered before an empty one, and a NULL in ``by`` is a group of its own."""
     checkpoint_dir(df.sparkSession)
-    d = (df.withColumn("_h", split_hash(key, seed)).withColumn("_key", F.coalesce(F.col(key), F.lit("")))
-         .checkpoint(eager=True))
-    counts = d.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).collect()
-    if len(counts) > MAX_GROUPS:
-        raise ValueError(f"{len(counts)} split groups; more than {MAX_GROUPS}")
-    c1, c2 = train_size, train_size + val_size
-    wants = {}
-    for row in counts:
-        g = tuple(row[c] for c in by)
-        wants[g] = [r for r in (c1, c2) if 1 <= r <= row["_n"]]
-    cuts = _kth_keys(d, by, "_key", {g: r for g, r in wants.items() if r}, local_rows)
-    spark = df.sparkSession
-    rows = []
-    for g in wants:
-        k1 = cuts.get(g, {}).get(c1)
-        k2 = cuts.get(g, {}).get(c2)
-        rows.append((*g, *(k1 or (None, None)), *(k2 or (None, None))))
-    cuts_cols = ["_h1", "_k1", "_h2", "_k2"]
-    if by:
-        schema = ", ".join([f"{c} {df.schema[c].dataType.simpleString()}" for c in by] +
-                           [f"{c} string" for c in cuts_cols])
-        cut_df = F.broadcast(spark.createDataFrame(rows, schema))  # one row per group, bounded above
-        j = d.join(cut_df, by, "left")
-    else:   # a single group: the cut keys are literals
-        j = d
-        for c, v in zip(cuts_cols, rows[0] if rows else [None] * 4):
-            j = j.withColumn(c, F.lit(v).cast("string"))
-    h, k = F.col("_h"), F.col("_key")
-
-    def le(hc: str, kc: str) -> Column:  # (h, key) <= cut; no cut -> group shorter than rank
-        return F.col(hc).isNull() | (h < F.col(hc)) | ((h == F.col(hc)) & (k <= F.col(kc)))
-
-    lab = F.when(le("_h1", "_k1"), F.lit("train")).when(le("_h2", "_k2"), F.lit("val")).otherwise(F.lit("test"))
-    return j.withColumn(out, lab).drop("_h", "_key", "_h1", "_k1", "_h2", "_k2")
+    # counting and labelling both read the hashed input: materialise it once in the shared
+    # checkpoint folder (also a lineage cut if executors are lost later)
+    d = df.withColumn("_h", split_hash(key, seed)).checkpoint(eager=True).withColumn("_p", F.substring("_h", 1, digits))
+    groups = by or ["_all"]
+    if not by:
+        d = d.withColumn("_all", F.lit(0))
+    w = Window.partitionBy(*groups).orderBy("_p").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    blocks = (d.groupBy(*groups, "_p").agg(F.count(F.lit(1)).alias("_n"))
+              .withColumn("_upto", F.sum("_n").over(w)).withColumn("_before", F.col("_upto") - F.col("_n")))
+    wanted = {1: train_size, 2: train_size + val_size}
+
+    def inside(rank: int) -> Column:
+        return (F.col("_before") < rank) & (F.col("_upto") >= rank)
+    cuts = blocks.groupBy(*[F.col(c).alias(f"_g_{c}") for c in groups]).agg(
+        *[F.max(F.when(inside(r), F.col("_p"))).alias(f"_p{i}") for i, r in wanted.items()],
+        *[F.max(F.when(inside(r), F.lit(r) - F.col("_before"))).alias(f"_r{i}") for i, r in wanted.items()])
+    same = [F.col(c).eqNullSafe(F.col(f"_g_{c}")) for c in groups]
+    j = d.join(cuts, reduce(lambda x, y: x & y, same), "left")
+    cut = F.coalesce(F.col("_p") == F.col("_p1"), F.lit(False)) | F.coalesce(F.col("_p") == F.col("_p2"), F.lit(False))
+    rank = F.row_number().over(Window.partitionBy(*groups, "_p").orderBy("_h", key))
+    j = (j.where(~cut).withColumn("_rank", F.lit(None).cast("int"))
+         .unionByName(j.where(cut).withColumn("_rank", rank)))
+
+    def upto(i: int) -> Column:
+        """Is the row among its group's first ``wanted[i]``?"""
+        if wanted[i] < 1:
+            return F.lit(False)
+        block, p = F.col(f"_p{i}"), F.col("_p")   # no such block: the group is shorter
+        return block.isNull() | (p < block) | ((p == block) & (F.col("_rank") <= F.col(f"_r{i}")))
+    lab = F.when(upto(1), F.lit("train")).when(upto(2), F.lit("val")).otherwise(F.lit("test"))
+    return j.select(*df.columns, lab.alias(out))
 
 
 def check_split(df: DataFrame, by: list[str] | None = None, split: str = "split") -> DataFrame:

@@ -10,10 +10,31 @@ from domainlab.sources import readers as RD
 def test_null_key_in_exact_split(spark):
     rows = [(f"d{i}", 0) for i in range(40)] + [(None, 0)]
     df = spark.createDataFrame(rows, "domain string, label int")
-    out = SP.exact_split(df, "domain", ["label"], 20, 10, 1, local_rows=3)
+    out = SP.exact_split(df, "domain", ["label"], 20, 10, 1)
     assert {r["split"]: r["count"] for r in out.groupBy("split").count().collect()} == {"train": 20, "val": 10, "test": 11}
 
 
+def test_split_of_null_groups_short_groups_and_one_group(spark):
+    rows = [(f"d{i}", g) for g in (None, 1) for i in range(500)] + [(f"d{i}", 2) for i in range(7)]
+    df = spark.createDataFrame(rows, "domain string, label int")
+    for digits in (1, 3):
+        out = SP.exact_split(df, "domain", ["label"], 200, 50, 1, digits=digits)
+        got = {(r["label"], r["split"]): r["count"] for r in out.groupBy("label", "split").count().collect()}
+        assert got == {(g, s): n for g in (None, 1) for s, n in (("train", 200), ("val", 50), ("test", 250))} | {(2, "train"): 7}
+    one = SP.exact_split(df.where("label = 1"), "domain", None, 0, 50, 1)
+    assert one.columns == ["domain", "label", "split"]
+    assert {r["split"]: r["count"] for r in one.groupBy("split").count().collect()} == {"val": 50, "test": 450}
+    assert SP.exact_split(df.where("label = 9"), "domain", ["label"], 1, 1, 1).count() == 0
+
+
+def test_running_value_of_a_null_group(spark):
+    from domainlab.operators.scan import running
+    rows = [(g, i) for g in (None, "a") for i in range(200)]
+    df = spark.createDataFrame(rows, "run string, step int")
+    got = {(r["run"], r["step"]): r["m"] for r in running(df, ["run"], ["step"], None, "count", "m", blocks=5).collect()}
+    assert got == {(g, i): i + 1 for g, i in rows}
+
+
 def test_split_report(spark):
     rows = [("a", "train"), ("a", "train"), ("a", "val"), ("b", "val"), (None, "test")]
     df = spark.createDataFrame(rows, "domain string, split string")

@@ -8,7 +8,7 @@ from domainlab.operators import wordpiece as WP
 def test_exact_split_sizes_and_order(spark):
     rows = [(g, f"d{g}_{i}") for g in (1, 2) for i in range(3000)] + [(3, f"s{i}") for i in range(10)]
     df = spark.createDataFrame(rows, "g int, domain string")
-    out = SP.exact_split(df, "domain", ["g"], train_size=1000, val_size=100, seed=7, local_rows=50)
+    out = SP.exact_split(df, "domain", ["g"], train_size=1000, val_size=100, seed=7)
     c = {(r.g, r.split): r["count"] for r in out.groupBy("g", "split").count().collect()}
     assert c[(1, "train")] == 1000 and c[(1, "val")] == 100 and c[(1, "test")] == 1900
     assert c[(3, "train")] == 10 and (3, "val") not in c
