@@ -2,8 +2,8 @@
 
 ASCII strings only need ``lower`` (NFD and accent stripping are identities), which
 stays a JVM expression. Only non-ASCII rows go through an Arrow-batched pandas UDF
-(Spark has no built-in Unicode normalisation); :func:`normalize_frame` routes the
-two kinds of rows separately so the Python worker never sees ASCII rows."""
+(Spark has no built-in Unicode normalisation), in the same pass: an ASCII row reaches the
+Python worker as a NULL."""
 
 from __future__ import annotations
 
@@ -26,19 +26,16 @@ def _nfd_lower_strip(s: str) -> str:
 
 @F.pandas_udf(T.StringType())
 def nfd_lower_strip(s: pd.Series) -> pd.Series:
-    return s.map(lambda v: None if v is None else _nfd_lower_strip(v))
+    return s.map(_nfd_lower_strip, na_action="ignore")
 
 
 def normalize(text) -> Column:
-    """Column form; the UDF runs on every row of its operator, so prefer
-    :func:`normalize_frame` on large inputs."""
+    """NULL stays NULL."""
     c = to_col(text)
-    return F.when(c.rlike(ASCII_ONLY), F.lower(c)).otherwise(nfd_lower_strip(c))
+    ascii_only = c.rlike(ASCII_ONLY)
+    return F.when(ascii_only, F.lower(c)).otherwise(nfd_lower_strip(F.when(~ascii_only, c)))
 
 
 def normalize_frame(df: DataFrame, col: str, out: str) -> DataFrame:
-    """Row-routed form: ASCII rows with ``lower``, the rest through the UDF."""
-    is_ascii = F.coalesce(F.col(col).rlike(ASCII_ONLY), F.lit(True))
-    a = df.where(is_ascii).withColumn(out, F.lower(col))
-    b = df.where(~is_ascii).withColumn(out, nfd_lower_strip(F.col(col)))
-    return a.unionByName(b)
+    """``df`` with ``out`` = :func:`normalize` of ``col``; one scan of the input."""
+    return df.withColumn(out, normalize(col))

@@ -77,12 +77,7 @@ def word_counts(df: DataFrame, col: str = "domain", split: bool = True) -> DataF
     """V2: the distinct non-null corpus, normalised (T7) and pre-tokenised (T8);
     each distinct string counts once per word occurrence in it."""
     from domainlab.functions.normalize import normalize_frame
-    from domainlab.session import checkpoint_dir
-    checkpoint_dir(df.sparkSession)
-    # the corpus feeds two routed branches (ASCII / non-ASCII); store it once so
-    # the upstream plan is not run twice
     corpus = df.select(F.col(col).alias("text")).where(F.col("text").isNotNull()).distinct()
-    corpus = corpus.checkpoint(eager=True)
     norm = normalize_frame(corpus, "text", "norm")
     words = norm.select(F.explode(TK.pretokenize(F.col("norm"), split)).alias("word"))
     return words.groupBy("word").agg(F.count(F.lit(1)).alias("count"))

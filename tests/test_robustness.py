@@ -35,6 +35,17 @@ def test_running_value_of_a_null_group(spark):
     assert got == {(g, i): i + 1 for g, i in rows}
 
 
+def test_normalize_in_one_pass(spark):
+    from domainlab.functions import normalize as NZ
+    want = {None: None, "": "", "ABC": "abc", "\u00c9T\u00c9": "ete", "a\u0301\u0301": "a", "\ud55c": "\u1112\u1161\u11ab"}
+    df = spark.createDataFrame([(t,) for t in want], "t string")
+    out = NZ.normalize_frame(df, "t", "n")
+    assert {r["t"]: r["n"] for r in out.collect()} == want
+    assert NZ.normalize_frame(df.where("t is null"), "t", "n").first()["n"] is None
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Union" not in plan and plan.count("ArrowEvalPython") == 1
+
+
 def test_split_report(spark):
     rows = [("a", "train"), ("a", "train"), ("a", "val"), ("b", "val"), (None, "test")]
     df = spark.createDataFrame(rows, "domain string, split string")
