@@ -1,30 +1,33 @@
 """WordPiece vocabulary training (V3, V6) and encoding (K5, K2, K7).
 
-Training state is a distributed table ``(word, symbols, n)`` built from the word
-counts (V2). Each round counts adjacent symbol pairs with a grouped sum, takes the
-top of the ranking (count desc, left, right) to the driver (bounded by ``top_k``),
-and applies a *batch* of merges in one pass: the longest prefix of the ranking in
-which no symbol is the left side of one pair and the right side of another; a
-pair ``(a, a)`` or one whose result already exists goes alone. Merging ``(a, b)``
-only consumes occurrences of pairs ``(x, a)`` and ``(b, x)``, none of which can be
-in the batch, and a new pair ``(ab, x)`` counts at most as often as ``(b, x)``,
-which ranks at or below the point where the prefix stopped; keeping only members
-counted strictly above that point makes a batch equal to one-at-a-time merging
-(ties included; checked against a serial loop in the tests). The table is
-checkpointed every few rounds.
+Training state is a distributed table ``(symbols, n)`` built from the word counts (V2).
+Merging one pair at a time would take a pass over it per merge; a round makes as many
+merges as a bounded part of the table decides exactly. The pairs counted above ``stop``
+(the top of the ranking) are *hot*. Words are cut at every other neighbourhood, equal
+pieces are summed, and these segments go to the driver, where pairs are merged one at a
+time, with counts kept up to date from the segments that held the merged pair, down to
+``stop``. Why this equals merging over whole words: a merged symbol's neighbourhoods are
+neighbourhoods of its first and last part, so a pair made later counts at most as often
+as the pair at the same place does now. What lies across a cut thus never counts above
+``stop``, and a pair above it is counted in full. Only a merge whose result is a token
+already could add up two pairs; a round ends after it. The round's merges are then
+applied to the table in order of rank, and the table is checkpointed. If more than
+``max_segments`` segments come out, fewer pairs are taken (at the least one merge).
 
 Encoding is greedy longest-match-first per word with ``##`` continuations (a word
 with an unmatched piece, or longer than 100 characters, becomes ``[UNK]``). It is
-the one Python step: an Arrow-batched ``mapInPandas`` with the bounded vocabulary
-shipped once per worker. Each distinct white-space separated word of a batch is
+an Arrow-batched ``mapInPandas`` with the bounded vocabulary shipped once per worker. Each distinct white-space separated word of a batch is
 normalised, split and matched once, and the ids of recent words are kept in a bounded
 cache per task."""
 
 from __future__ import annotations
 
+import heapq
 import unicodedata
+from collections import Counter, defaultdict
 
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,6 +41,7 @@ PREFIX = "##"
 MAX_WORD_CHARS = 100
 MAX_VOCAB = 200_000
 CACHE_WORDS = 200_000
+MAX_SEGMENTS = 200_000
 
 
 def initial_symbols(word) -> Column:
@@ -59,86 +63,149 @@ def pair_counts(words: DataFrame) -> DataFrame:
     return ex.groupBy(F.col("p.l").alias("left"), F.col("p.r").alias("right")).agg(F.sum("n").alias("count"))
 
 
-def _select_batch(ranked: list[tuple[str, str, int]], known: set[str], room: int,
-                  complete: bool) -> list[tuple[str, str]]:
-    """Longest conflict-free prefix of the ranking, then only the members whose
-    count is strictly above the count where the prefix stopped: any pair created
-    by a merge in the batch counts at most that much, so no member can lose a tie
-    to it and the batch equals one-at-a-time merging exactly. ``complete`` says
-    the ranking was not cut at ``top_k`` (then running off its end stops at 0)."""
-    batch: list[tuple[str, str, int]] = []
-    lefts: set[str] = set()
-    rights: set[str] = set()
+def _segments(words: DataFrame, hot: set[tuple[str, str]]) -> DataFrame:
+    """``(symbols, n)``: the words cut at every pair that is not hot, equal pieces summed."""
+    bc = words.sparkSession.sparkContext.broadcast(hot)
+
+    def run(batches):
+        hot = bc.value
+        for b in batches:
+            got: Counter = Counter()
+            for s, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                lo = 0
+                for i in range(1, len(s)):
+                    if (s[i - 1], s[i]) not in hot:
+                        if i - lo > 1:
+                            got[tuple(s[lo:i])] += n
+                        lo = i
+                if len(s) - lo > 1:
+                    got[tuple(s[lo:])] += n
+            yield pa.RecordBatch.from_arrays([pa.array([list(k) for k in got], pa.list_(pa.string())),
+                                              pa.array(list(got.values()), pa.int64())], names=["symbols", "n"])
+    parts = words.select("symbols", "n").mapInArrow(run, "symbols array<string>, n long")
+    return parts.groupBy("symbols").agg(F.sum("n").alias("n"))
+
+
+def _merge(s: list[str], l: str, r: str, m: str) -> list[str]:
+    out, i = [], 0
+    while i < len(s):
+        if i + 1 < len(s) and s[i] == l and s[i + 1] == r:
+            out.append(m)
+            i += 2
+        else:
+            out.append(s[i])
+            i += 1
+    return out
+
+
+def _merge_serially(segments: list[tuple[list[str], int]], stop: int, room: int,
+                    known: set[str]) -> list[tuple[str, str]]:
+    """One merge at a time (count desc, left, right) while the best pair counts above ``stop``."""
+    segs, ns = [s for s, _ in segments], [n for _, n in segments]
+    count: Counter = Counter()
+    where: dict[tuple[str, str], set[int]] = defaultdict(set)
+    for k, s in enumerate(segs):
+        for p in zip(s, s[1:]):
+            count[p] += ns[k]
+            where[p].add(k)
+    heap = [(-c, *p) for p, c in count.items() if c > stop]
+    heapq.heapify(heap)
+    merges: list[tuple[str, str]] = []
     made: set[str] = set()
-    stop = None
-    for l, r, c in ranked:
-        if len(batch) >= room:
-            stop = c
-            break
+    while heap and len(merges) < room:
+        c, l, r = heapq.heappop(heap)
+        now = count[l, r]
+        if now != -c:   # counted anew since it was put here
+            if stop < now < -c:
+                heapq.heappush(heap, (-now, l, r))
+            continue
         m = merged_symbol(l, r)
-        if l == r or m in known or m in made or l in rights or r in lefts:
-            stop = c
+        merges.append((l, r))
+        if m in known or m in made:
             break
-        batch.append((l, r, c))
-        lefts.add(l)
-        rights.add(r)
         made.add(m)
-    if stop is None:
-        stop = 0 if complete else ranked[-1][2]
-    if not batch:
-        return [ranked[0][:2]]
-    keep = [batch[0][:2]] + [(l, r) for l, r, c in batch[1:] if c > stop]
-    return keep[:room]
-
-
-def _apply(words: DataFrame, batch: list[tuple[str, str]]) -> DataFrame:
-    keys = [f"{l}\u0001{r}" for l, r in batch]
-    vals = [merged_symbol(l, r) for l, r in batch]
-    m = F.map_from_arrays(F.array(*[F.lit(k) for k in keys]), F.array(*[F.lit(v) for v in vals]))
-    empty = F.array().cast("array<string>")
+        grown = set()
+        for k in where.pop((l, r)):
+            old = segs[k]
+            new = _merge(old, l, r, m)
+            if len(new) == len(old):
+                continue
+            for p in zip(old, old[1:]):
+                count[p] -= ns[k]
+            for p in zip(new, new[1:]):
+                count[p] += ns[k]
+                if m in p:
+                    where[p].add(k)
+                    grown.add(p)
+            segs[k] = new
+        for p in grown:
+            if count[p] > stop:
+                heapq.heappush(heap, (-count[p], *p))
+    return merges
+
+
+def _apply(words: DataFrame, merges: list[tuple[str, str]]) -> DataFrame:
+    """The words after these merges in turn; words of one symbol are done and left out."""
+    bc = words.sparkSession.sparkContext.broadcast({p: k for k, p in enumerate(merges)})
 
-    def step(acc, s):
-        last = F.element_at(acc, -1)
-        hit = F.try_element_at(m, F.concat(last, F.lit("\u0001"), s))
-        merged = F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(hit))
-        return F.when((F.size(acc) > 0) & hit.isNotNull(), merged).otherwise(F.concat(acc, F.array(s)))
-    return words.withColumn("symbols", F.aggregate("symbols", empty, step))
+    def run(batches):
+        rank = bc.value
+        for b in batches:
+            out = []
+            for s in b.column(0).to_pylist():
+                while len(s) > 1:
+                    p = min(zip(s, s[1:]), key=lambda x: rank.get(x, len(rank)))
+                    if p not in rank:
+                        break
+                    s = _merge(s, *p, merged_symbol(*p))
+                out.append(s)
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.string())), b.column(1)],
+                                             names=["symbols", "n"])
+    done = words.select("symbols", "n").mapInArrow(run, "symbols array<string>, n long")
+    return done.where(F.size("symbols") > 1)
 
 
 def train_wordpiece(word_counts: DataFrame, vocab_size: int, min_frequency: int = 2,
-                    specials: list[str] | None = None, top_k: int = 1000, max_rounds: int | None = None,
-                    checkpoint_every: int = 5) -> DataFrame:
+                    specials: list[str] | None = None, top_k: int = 20_000, max_rounds: int | None = None,
+                    max_segments: int = MAX_SEGMENTS) -> DataFrame:
     """V3 (V6 = a different ``specials`` list): ``(token, id, kind)`` with specials
     first, then the alphabet (sorted), then merges in order."""
     spark = word_counts.sparkSession
     checkpoint_dir(spark)
     specials = list(SPECIAL_TOKENS if specials is None else specials)
-    words = word_counts.select(F.col("word"), F.col("count").cast("long").alias("n"),
-                               initial_symbols("word").alias("symbols"))
+    words = word_counts.select(initial_symbols("word").alias("symbols"), F.col("count").cast("long").alias("n"))
     words = words.checkpoint(eager=True)
     # alphabet: every character, plus the continuation forms that occur
-    syms = words.select(F.explode("symbols").alias("t"))
-    chars = words.select(F.explode(F.regexp_extract_all("word", F.lit("(?s)(.)"), 1)).alias("t"))
-    alphabet = sorted(r[0] for r in syms.union(chars).distinct().collect())
+    syms = words.select(F.explode("symbols").alias("t")).distinct()
+    alphabet = sorted({t for r in syms.collect() for t in (r[0], r[0].removeprefix(PREFIX))})
     tokens = specials + [a for a in alphabet if a not in specials]
     known = set(tokens)
     floor = max(min_frequency, 1)
     rounds = 0
     while len(tokens) < vocab_size and (max_rounds is None or rounds < max_rounds):
-        ranked = [(r["left"], r["right"], int(r["count"])) for r in
+        ranked = [((r["left"], r["right"]), int(r["count"])) for r in
                   pair_counts(words).where(F.col("count") >= floor)
-                  .orderBy(F.desc("count"), "left", "right").limit(top_k).collect()]
+                  .orderBy(F.desc("count"), "left", "right").limit(top_k + 1).collect()]
         if not ranked:
             break
-        batch = _select_batch(ranked, known, vocab_size - len(tokens), len(ranked) < top_k)
-        for l, r in batch:
+        while True:   # the longest top of the ranking whose segments are few enough
+            stop = ranked[top_k][1] if len(ranked) > top_k else floor - 1
+            hot = {p for p, c in ranked if c > stop}
+            segments = [(r["symbols"], int(r["n"])) for r in
+                        _segments(words, hot).limit(max_segments + 1).collect()] if hot else []
+            if len(segments) <= max_segments:
+                break
+            top_k = min(top_k, len(hot)) // 4
+        merges = _merge_serially(segments, stop, vocab_size - len(tokens), known) if hot else [ranked[0][0]]
+        for l, r in merges:
             m = merged_symbol(l, r)
             tokens.append(m)
             known.add(m)
-        words = _apply(words, batch)
         rounds += 1
-        if rounds % checkpoint_every == 0:
-            words = words.checkpoint(eager=True)
+        if len(segments) <= max_segments // 4:
+            top_k = max(2 * top_k, 1)
+        if len(tokens) < vocab_size:
+            words = _apply(words, merges).checkpoint(eager=True)
     kinds = ["special" if i < len(specials) else "alphabet" if i < len(specials) + len(alphabet) else "merge"
              for i in range(len(tokens))]
     return spark.createDataFrame([(t, i, k) for i, (t, k) in enumerate(zip(tokens, kinds))],

@@ -691,7 +691,7 @@ def q_fuse(spark, sf):
 # ---------------------------------------------------------------- V3, K5, K2, K7, M5
 from domainlab.operators import wordpiece as WP  # noqa: E402
 
-WP_VOCAB_SIZE, WP_MIN_FREQ, SUBWORD_L = 300, 2, 35
+WP_VOCAB_SIZE, WP_MIN_FREQ, SUBWORD_L = 32_393, 2, 35
 
 
 def _word_counts(spark, sf):
@@ -717,7 +717,7 @@ def q_wordpiece_pairs(spark, sf):
 
 def _subword_vocab(spark, sf):
     tl = [r["tld"] for r in _train_tlds(spark, sf).collect()]   # thresholded TLD table: bounded
-    return WP.train_wordpiece(_word_counts(spark, sf), WP_VOCAB_SIZE + len(tl), WP_MIN_FREQ,
+    return WP.train_wordpiece(_word_counts(spark, sf), WP_VOCAB_SIZE, WP_MIN_FREQ,   # TLDs count in the size
                               specials=vocab.SPECIAL_TOKENS + tl)
 
 

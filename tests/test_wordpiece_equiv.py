@@ -58,3 +58,29 @@ def test_encoder_matches_tokenizers_package():
     tk.pre_tokenizer = pre_tokenizers.BertPreTokenizer()
     for text in ["google-co", "Google[.com]", "ab cab", "Éa", "x" * 120, "goog le"]:
         assert WP.encode_text(text, vocab, 1) == tk.encode(text, add_special_tokens=False).ids, text
+
+
+@pytest.mark.parametrize("top_k, max_segments", [(1000, 10_000), (30, 40), (3, 5)])
+def test_rounds_on_segments_equal_serial(spark, top_k, max_segments):
+    """Cut rankings, and more segments than allowed, change the rounds only."""
+    rnd = random.Random(top_k)
+    counts = {}
+    for _ in range(200):
+        w = "".join(rnd.choice("abcdeé") for _ in range(rnd.randint(1, 12)))
+        counts[w] = counts.get(w, 0) + rnd.randint(1, 9)
+    size = 300 if max_segments == 10_000 else 60
+    wc = spark.createDataFrame(list(counts.items()), "word string, count long")
+    got = [r.token for r in WP.train_wordpiece(wc, size, 2, ["[PAD]"], top_k, max_segments=max_segments)
+           .orderBy("id").collect()]
+    assert got == _serial(counts, size, 2, ["[PAD]"])
+
+
+def test_registered_vocabulary_is_not_cut(spark):
+    """The reference's size: merging ends only when no pair reaches the least frequency."""
+    from domainlab.plans import catalog
+    assert catalog.WP_VOCAB_SIZE == 32_393
+    v = catalog.QUERIES["wordpiece_vocab_basic"](spark, "/root/testdata/sf0.001")
+    tokens = [r.token for r in v.orderBy("id").collect()]
+    assert len(tokens) == len(set(tokens))
+    counts = {r["word"]: r["count"] for r in catalog._word_counts(spark, "/root/testdata/sf0.001").collect()}
+    assert tokens == _serial(counts, 32_393, 2, tokens[:5])
