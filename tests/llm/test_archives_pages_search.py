@@ -48,6 +48,17 @@ def test_parser():
     assert len(htmldom.parse("<div>" * 3000 + "x")) == 3002
 
 
+def test_stray_quotes_in_tags():
+    def blocks(p):
+        return [n.text for n in htmldom.parse(p) if n.text is not None]
+
+    assert blocks("<p title=Bob's>One paragraph, it's here.</p>") == ["One paragraph, it's here."]
+    assert blocks('<a href="x"">Read "this" now</a>') == ['Read "this" now']
+    assert blocks("<p \"a>b's</p><p =\">c\"</p>") == ["b's", 'c"']
+    assert blocks("<p title = 'a>b' data-x=\"c>'d\">x</p>") == ["x"]
+    assert blocks("<p>x<a href='cut off") == ["x"]
+
+
 def test_marginals_are_exact():
     nodes = htmldom.parse("<body><nav><a>m</a></nav><article><h1>t</h1><p>one. two.</p></article></body>")
     f = htmltree.Forest([nodes])
