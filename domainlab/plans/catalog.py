@@ -755,13 +755,14 @@ def q_encode_external(spark, sf):
 
 @query("finetune_samples")
 def q_finetune_samples(spark, sf):
-    """M5: token ids (K2 + K4, L=35), char ids (K1 + K4, L=82), label."""
-    d, _ = _subword_frame(spark, sf)
+    """M5: token ids (K2 + K4, L=35), char ids (K1 + K4, L=82), external ids + mask (K7, L=35), label."""
+    d, vd = _subword_frame(spark, sf)
     v = EN.Vocab.from_table(_char_vocab(spark, sf))
-    d = d.withColumn("_c", EN.encode_char("domain", v))
+    d = WP.encode_external(d.withColumn("_c", EN.encode_char("domain", v)), "domain", vd, SUBWORD_L)
     return d.select("year", "domain", "label",
                     ids_text(EN.pack_finetune("x_token_raw", SUBWORD_L)).alias("x_token"),
-                    ids_text(EN.pack_finetune("_c", CHAR_L)).alias("x_char"))
+                    ids_text(EN.pack_finetune("_c", CHAR_L)).alias("x_char"),
+                    ids_text("ext_ids").alias("ext_ids"), ids_text("ext_mask").alias("ext_mask"))
 
 
 # ---------------------------------------------------------------- D1-D6 (rows checks)

@@ -84,3 +84,18 @@ def test_registered_vocabulary_is_not_cut(spark):
     assert len(tokens) == len(set(tokens))
     counts = {r["word"]: r["count"] for r in catalog._word_counts(spark, "/root/testdata/sf0.001").collect()}
     assert tokens == _serial(counts, 32_393, 2, tokens[:5])
+
+
+def test_finetune_samples_hold_external_ids(spark):
+    """M5: [CLS], the name without brackets, [SEP], padding; the mask marks all but padding."""
+    from domainlab.plans import catalog
+    sf, L = "/root/testdata/sf0.001", catalog.SUBWORD_L
+    vocab = WP.vocab_dict(catalog._subword_vocab(spark, sf))
+    rows = catalog.QUERIES["finetune_samples"](spark, sf).limit(50).collect()
+    assert rows
+    for r in rows:
+        plain = r["domain"].replace("[", "").replace("]", "")
+        want = [2] + WP.encode_text(plain, vocab, 1)[:L - 2] + [3]
+        want += [0] * (L - len(want))
+        assert r["ext_ids"] == " ".join(map(str, want)), r
+        assert r["ext_mask"] == " ".join("1" if i else "0" for i in want)
