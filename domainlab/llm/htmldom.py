@@ -10,11 +10,14 @@ import re
 
 # fixed values: HTML element classes
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = frozenset("script style noscript template svg math iframe object head title select option "
-                   "optgroup datalist textarea button audio video canvas map".split())
-RAW = frozenset("script style textarea title noscript iframe template".split())
+SILENT = frozenset("script style template head title select option optgroup datalist textarea button".split())
+RAW = frozenset("script style textarea title template".split())
+#: Formulas and the text that stands in for media and scripts belong to the block around.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt "
-                   "ruby s samp small span strike strong sub sup time tt u var nobr center".split())
+                   "ruby s samp small span strike strong sub sup time tt u var nobr center "
+                   "math mi mn mo ms mtext mrow mfrac msqrt mroot mstyle mspace mpadded mphantom menclose msub msup "
+                   "msubsup munder mover munderover mtable mtr mtd semantics annotation "
+                   "noscript iframe object audio video canvas map".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: An opening tag of the key ends open elements of the value, up to an enclosing list or table.
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"),

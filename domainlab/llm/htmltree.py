@@ -111,7 +111,7 @@ def features(nodes: list[Node]) -> list[list[int]]:
         if x.attrs:
             own += _hints(x.attrs)
         if x.text is not None:
-            if "©" in x.text[:200] or "copyright" in x.text[:200].lower():
+            if "©" in x.text or "copyright" in x.text.lower():
                 own.append(_INDEX["copyright"])
             if nodes[x.parent].tag == "li":
                 own.append(_INDEX["in:list"])

@@ -48,6 +48,22 @@ def test_parser():
     assert len(htmldom.parse("<div>" * 3000 + "x")) == 3002
 
 
+def test_formulas_and_fallback_text_reach_the_model():
+    def blocks(p):
+        return [n.text for n in htmldom.parse(p) if n.text is not None]
+
+    assert blocks("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p>") == ["so x=2 holds"]
+    for tag in ("noscript", "iframe", "object", "audio", "video", "canvas"):
+        assert blocks(f"<p>a <{tag}>b <i>c</i></{tag}> d</p>") == ["a b c d"]
+        assert tag not in htmldom.SILENT
+    page = ("<body><nav><a href=/>Home</a></nav><article><h1>A title of some length</h1><p>The first sentence is here. "
+            "It follows that <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds, and that is all there is to it.</p>"
+            "<p>A second paragraph, with more words in it, ends the article. Nothing else is said.</p></article></body>")
+    assert "It follows that x=2 holds" in htmltree.trained().texts([page])[0]
+    long = htmldom.parse("<footer>" + "All rights reserved by us. " * 10 + "© 2020</footer>")
+    assert htmltree.FEATURES.index("copyright") in htmltree.features(long)[-1]
+
+
 def test_stray_quotes_in_tags():
     def blocks(p):
         return [n.text for n in htmldom.parse(p) if n.text is not None]
