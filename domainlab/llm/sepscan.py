@@ -69,13 +69,18 @@ def count_tokens(spark: SparkSession, sizes: DataFrame, end_id: int, width: int,
     cut = blocks(spark, sizes, width, block)
     spread = cut.repartition(F.col("path"), F.col("block"))
     found = spread.mapInArrow(run, "path string, block long, first long, n long, ends array<long>")
+    # read and scanned once; the scan over a file's blocks sees a few numbers of each
+    kept = scratch_path(spark, "sepscan")
+    found.write.parquet(kept)
+    found = spark.read.parquet(kept).withColumn("_last", F.when(F.size("ends") > 0, F.element_at("ends", -1)))
     earlier = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     last = Window.partitionBy("path").orderBy(F.col("block").desc())
-    stitched = (
-        found.withColumn("_last", F.when(F.size("ends") > 0, F.element_at("ends", -1)))
-        .withColumn("_docs", F.coalesce(F.sum(F.size("ends")).over(earlier), F.lit(0)))
-        .withColumn("_start", F.coalesce(F.max("_last").over(earlier) + 1, F.lit(0)))
-        .withColumn("_stop", F.when(F.row_number().over(last) == 1, F.col("first") + F.col("n"))))
+    carried = (
+        found.select("path", "block", "first", "n", "_last", F.size("ends").alias("_found"))
+        .select("path", "block", F.coalesce(F.sum("_found").over(earlier), F.lit(0)).alias("_docs"),
+                F.coalesce(F.max("_last").over(earlier) + 1, F.lit(0)).alias("_start"),
+                F.when(F.row_number().over(last) == 1, F.col("first") + F.col("n")).alias("_stop")))
+    stitched = found.join(carried, ["path", "block"])
     # an open document begins after the last separator of the file and goes to its end
     opened = F.coalesce(F.col("_last") + 1, F.col("_start"))
     all_ends = F.when(F.col("_stop") > opened, F.concat("ends", F.array(F.col("_stop") - 1))).otherwise(F.col("ends"))

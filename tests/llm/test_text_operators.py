@@ -244,3 +244,19 @@ def test_separator_scan_of_documents(spark):
     got = sepscan.count_documents(df, WORDS, END_OF_TEXT, block=64)
     assert sorted((r["doc_id"] or 0, r["n_tokens"]) for r in got.collect()) == want
     assert sepscan.count_documents(df.limit(0), WORDS, END_OF_TEXT).collect() == []
+
+
+def test_prefix_scan_leaves_the_ends_behind(spark, tmp_path):
+    """The window over a file's blocks must not carry each block's array of ends."""
+    np.array([1, 3, 2, 2, 3, 1], "<u2").tofile(tmp_path / "a.bin")
+    sizes = spark.createDataFrame([(str(tmp_path / "a.bin"), 12)], "path string, bytes long")
+    got = sepscan.count_tokens(spark, sizes, 3, 2, 2)
+    assert sorted(r["n_tokens"] for r in got.collect()) == [1, 2, 3]
+    todo, windows = [got._jdf.queryExecution().optimizedPlan()], 0
+    while todo:
+        node = todo.pop()
+        todo += [node.children().apply(k) for k in range(node.children().size())]
+        if node.nodeName() == "Window":
+            windows += 1
+            assert "ends" not in [node.output().apply(k).name() for k in range(node.output().size())]
+    assert windows
