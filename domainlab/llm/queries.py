@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from domainlab.llm import (balltree, dartminhash, htmltree, linecrf, mixing, ring, sepscan,
+from domainlab.llm import (alignment, balltree, dartminhash, htmltree, linecrf, mixing, ring, sepscan,
                            tokenfiles, warc, wfst)
 from domainlab.session import ship_package
 
@@ -150,3 +150,9 @@ def op10(spark, sf):
     d = ring.assign(table(spark, sf, "documents"), shards=8)
     return d.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
                     F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op13_spillcount")
+def op13(spark, sf):
+    return alignment.align(table(spark, sf, "documents"), vocabulary("byte_bpe_50k.json"),
+                           vocabulary("piece_bpe_32k.model"))

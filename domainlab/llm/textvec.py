@@ -14,9 +14,9 @@ import pyarrow as pa
 U64 = np.uint64
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
-_BASE = U64(0x9E3779B97F4A7C55)
-_BASE_INV = U64(pow(0x9E3779B97F4A7C55, -1, 1 << 64))
-_BYTE = np.random.RandomState(20240).randint(0, 2**63 - 1, 256).astype(U64) * U64(2) + U64(1)
+_STEP, _LENGTH = np.random.RandomState(20240).randint(0, 2**63 - 1, 2).astype(U64) * U64(2) + U64(1)
+#: the mask of the first 0 .. 8 bytes of a little-endian number
+_LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -35,7 +35,7 @@ class Chunk:
     def __init__(self, buf: np.ndarray, offsets: np.ndarray, first: int):
         self.buf, self.offsets, self.first = buf, offsets, first
         self.n = len(offsets) - 1
-        self._powers = None
+        self._runs = None
 
     def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Start, end and text index of each word, in order."""
@@ -60,16 +60,46 @@ class Chunk:
         return s, e, doc
 
     def hashes(self, s: np.ndarray, e: np.ndarray) -> np.ndarray:
-        """A 64-bit hash of each byte range; ranges are disjoint, ascending, maybe empty."""
-        if self._powers is None:
-            p = np.full(len(self.buf) + 1, _BASE, U64)
-            q = np.full(len(self.buf) + 1, _BASE_INV, U64)
-            p[0] = q[0] = 1
-            self._powers = np.cumprod(p, dtype=U64), np.cumprod(q, dtype=U64)
-        p, inverse = self._powers
-        total = np.zeros(len(self.buf) + 1, U64)
-        np.cumsum(_BYTE[self.buf] * p[:-1], dtype=U64, out=total[1:])
-        return mix((total[e] - total[s]) * inverse[s] + (e - s).astype(U64))
+        """A 64-bit hash of each byte range: each run of 8 bytes is scrambled together with
+        its place in the range, and the sum of them with the length."""
+        if not len(s):
+            return np.zeros(0, U64)
+        if self._runs is None:
+            padded = np.concatenate([self.buf, np.zeros(8, np.uint8)])
+            self._runs = np.ndarray(len(self.buf) + 1, "<u8", padded, strides=(1,))
+        size = e - s
+        blocks = np.maximum((size + 7) >> 3, 1)
+        first = np.cumsum(blocks) - blocks
+        place = np.arange(int(blocks.sum())) - np.repeat(first, blocks)
+        at = np.repeat(s, blocks) + 8 * place
+        left = np.minimum(np.repeat(e, blocks) - at, 8)
+        h = mix((self._runs[at] & _LOW[left]) + (place + 1).astype(U64) * _STEP)
+        if len(h) > len(s):
+            h = np.add.reduceat(h, first)
+        return mix(h + size.astype(U64) * _LENGTH)
+
+    def distinct(self, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Index of one of each set of equal ranges, and for each range the number of its
+        set. Ranges of equal hash are compared byte by byte."""
+        first, which = distinct(self.hashes(s, e))
+        like = first[which]
+        size = e - s
+        same = bool((size == size[like]).all())
+        if same:
+            other = np.flatnonzero((like != np.arange(len(s))) & (size > 0))
+            for lo in range(0, len(other), 1 << 16):
+                k = other[lo:lo + (1 << 16)]
+                n = size[k]
+                step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+                if not np.array_equal(self.buf[np.repeat(s[k], n) + step], self.buf[np.repeat(s[like[k]], n) + step]):
+                    same = False
+                    break
+        if same:
+            return first, which
+        raw = self.buf.tobytes()
+        seen: dict[bytes, int] = {}
+        which = np.array([seen.setdefault(raw[a:z], len(seen)) for a, z in zip(s.tolist(), e.tolist())], np.int64)
+        return np.unique(which, return_index=True)[1], which
 
 
 def chunks(column: pa.Array, most_bytes: int = 1 << 20) -> Iterator[Chunk]:

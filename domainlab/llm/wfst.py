@@ -219,7 +219,7 @@ class PieceTransducer:
         start[c.offsets[:-1][np.diff(c.offsets) > 0]] = True
         s = np.flatnonzero(start)
         e = np.append(s[1:], len(c.buf))
-        first, which = TV.distinct(c.hashes(s, e))
+        first, which = c.distinct(s, e)
         data = c.buf.tobytes()
         cuts = [data[a:b] for a, b in zip(s[first].tolist(), e[first].tolist())]
         ids = list(map(self._known.get, cuts))

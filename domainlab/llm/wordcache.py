@@ -107,7 +107,7 @@ class WordEncoder:
         edge[c.offsets] = True
         s = np.flatnonzero(edge[:-1] & (kind > 0))
         e = np.flatnonzero(edge[1:] & (kind > 0)) + 1
-        first, which = TV.distinct(TV.Chunk(lower, c.offsets, 0).hashes(s, e))
+        first, which = TV.Chunk(lower, c.offsets, 0).distinct(s, e)
         raw = lower.tobytes()
         ids = [self._piece(raw[a:b]) for a, b in zip(s[first].tolist(), e[first].tolist())]
         flat, n = TV.expand(ids, which, self.dtype)
@@ -116,7 +116,7 @@ class WordEncoder:
     def _words(self, c: TV.Chunk) -> tuple[np.ndarray, np.ndarray]:
         """Any texts: the library is asked once for each distinct word."""
         s, e, doc = c.words()
-        first, which = TV.distinct(c.hashes(s, e))
+        first, which = c.distinct(s, e)
         raw = c.buf.tobytes()
         got = self.tokenizer.encode_batch_fast([raw[a:b].decode() for a, b in zip(s[first].tolist(), e[first].tolist())],
                                                add_special_tokens=False)
@@ -125,8 +125,7 @@ class WordEncoder:
 
     def encode(self, c: TV.Chunk) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts of a chunk one after the other, and how many each has.
-        Equal words are found by a 64-bit hash within the chunk, by their bytes in the
-        cache."""
+        Equal words are found by a hash and compared by their bytes."""
         odd = np.ones(c.n, bool)
         if self.model is not None and len(c.buf):
             after = np.zeros(len(c.buf), bool)
