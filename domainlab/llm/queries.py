@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from domainlab.llm import (alignment, balltree, dartminhash, htmltree, linecrf, mixing, ring, sepscan,
-                           tokenfiles, warc, wfst)
+from domainlab.llm import (alignment, balltree, dartminhash, htmltree, linecrf, mixing, recompression, ring,
+                           sepscan, tokenfiles, warc, wfst)
 from domainlab.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -152,6 +152,11 @@ def op10(spark, sf):
                     F.lit(None).cast("int").alias("grown_shard"))
 
 
+@query("op12_recompression")
+def op12(spark, sf):
+    return recompression.runs(table(spark, sf, "documents"))
+
+
 @query("op13_spillcount")
 def op13(spark, sf):
     return alignment.align(table(spark, sf, "documents"), vocabulary("byte_bpe_50k.json"),
