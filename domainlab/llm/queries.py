@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from domainlab.llm import (alignment, balltree, dartminhash, htmltree, linecrf, mixing, recompression, ring,
+from domainlab.llm import (alignment, balltree, dartminhash, htmltree, linecrf, mixing, postings, recompression, ring,
                            sepscan, tokenfiles, warc, wfst)
 from domainlab.session import ship_package
 
@@ -152,6 +152,12 @@ def op10(spark, sf):
                     F.lit(None).cast("int").alias("grown_shard"))
 
 
+@query("op11_postings")
+def op11(spark, sf):
+    v = table(spark, sf, "embeddings")
+    return postings.nearest(v, v.where("vec_id % 20 = 0"))
+
+
 @query("op12_recompression")
 def op12(spark, sf):
     return recompression.runs(table(spark, sf, "documents"))
