@@ -50,8 +50,8 @@ PROBE_RATIO = 1.25
 #: Neighbours of a centre in the graph, and those looked at to choose them.
 LINKS, NEAR = 16, 48
 #: List entries in a shard and queries in a block, on average.
-SHARD_ROWS = 1 << 15
-BLOCK_ROWS = 1 << 11
+SHARD_ROWS = 1 << 14
+BLOCK_ROWS = 1 << 13
 _ROWS = 512
 
 
@@ -205,7 +205,7 @@ class Deal:
     shard that many queries search has several blocks of queries. A task is a segment and a
     block; its number is ``first`` of the shard + segment * blocks + block."""
 
-    def __init__(self, entries: np.ndarray, searches: np.ndarray):
+    def __init__(self, entries: np.ndarray):
         shard = np.zeros(len(entries), np.int64)
         held = entries[0]
         for k in range(1, len(entries)):
@@ -215,13 +215,13 @@ class Deal:
                 held += entries[k]
         self.shard = np.cumsum(shard)
         rows = np.bincount(self.shard, weights=entries)
-        # no shard has more queries than the sum over its lists
-        asked = np.bincount(self.shard, weights=searches)
         self.segments = np.maximum(1, -(-rows // SHARD_ROWS)).astype(np.int64)
-        self.blocks = np.maximum(1, -(-asked // (BLOCK_ROWS * 4))).astype(np.int64)
+
+    def block(self, queries: np.ndarray) -> None:
+        """``queries``: how many search each shard."""
+        self.blocks = np.maximum(1, -(-queries // BLOCK_ROWS)).astype(np.int64)
         tasks = self.segments * self.blocks
         self.first = np.cumsum(tasks) - tasks
-        self.tasks = int(tasks.sum())
 
     def entry(self, lists: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, task) for entries: each is in one segment and in all blocks."""
@@ -264,19 +264,23 @@ def best_of_lists(lists: np.ndarray, keys: np.ndarray, x: np.ndarray, ids: list,
     of, who = of[by], who[by]
     size = np.abs(x).max(initial=0.0) * np.abs(q).max(initial=0.0) * x.shape[1]
     got: list[tuple[np.ndarray, np.ndarray]] = []
+    # the best k-th score of any one list so far: nothing below it is needed
+    floor = np.full(len(q), -np.inf)
     cut = np.flatnonzero(np.diff(of, prepend=-1))
     for lo, hi in zip(cut.tolist(), [*cut[1:].tolist(), len(of)]):
         a, z = np.searchsorted(lists, [of[lo], of[lo] + 1]).tolist()
         if a == z:
             continue
         rows = who[lo:hi]
-        score = q[rows] @ x[a:z].T
-        own = (q_ids[rows, None] == only[a:z]) & single[a:z]
-        score[own] = -np.inf
-        least = np.partition(score, z - a - k, axis=1)[:, z - a - k] if z - a > k else np.full(len(rows), -np.inf)
-        # what rounding might put behind the k-th place stays
-        r, c = np.nonzero(~(score < least[:, None] - 1e-12 * size) & ~own)
-        got.append((rows[r], a + c))
+        for some in np.array_split(rows, -(-len(rows) // _ROWS)):
+            score = q[some] @ x[a:z].T
+            own = (q_ids[some, None] == only[a:z]) & single[a:z]
+            score[own] = -np.inf
+            if z - a > k:
+                floor[some] = np.maximum(floor[some], np.partition(score, z - a - k, axis=1)[:, z - a - k])
+            # what rounding might put behind the k-th place stays
+            r, c = np.nonzero(~(score < floor[some, None] - 1e-12 * size) & ~own)
+            got.append((some[r], a + c))
     out = []
     if any(len(r) for r, _ in got):
         row, entry = (np.concatenate(c) for c in zip(*got))
@@ -384,10 +388,20 @@ class Index:
         (queries.distinct().select(F.monotonically_increasing_id().alias("q"), "id", F.col("v").cast("array<double>").alias("v"))
          .mapInArrow(probe, "q long, id long, v array<double>, lists array<int>").write.parquet(f"{folder}/queries"))
         asked = spark.read.parquet(f"{folder}/queries")
-        searches = np.zeros(len(self.sizes), np.int64)
-        for r in asked.select(F.explode("lists").alias("list")).groupBy("list").count().collect():
+        deal = Deal(self.sizes)
+
+        def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                hit = np.zeros(int(deal.shard[-1]) + 1, np.int64)
+                for lists in b.column(0).to_pylist():
+                    hit[np.unique(deal.shard[lists])] += 1
+                yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(hit).astype(np.int32)), pa.array(hit[hit > 0])],
+                                                 names=["shard", "n"])
+
+        searches = np.zeros(int(deal.shard[-1]) + 1, np.int64)
+        for r in asked.select("lists").mapInArrow(shards, "shard int, n long").groupBy("shard").agg(F.sum("n")).collect():
             searches[r[0]] = r[1]
-        deal = Deal(self.sizes, searches)
+        deal.block(searches)
 
         def deal_queries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
