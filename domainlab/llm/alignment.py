@@ -31,6 +31,7 @@ import json
 import os
 import uuid
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -49,8 +50,8 @@ RUN_RECORDS = 2_000_000
 FRAME_PAIRS = 1 << 14
 FRAME_RECORDS = 1 << 17
 FAN_IN = 32
-#: A worker's memory of aligned stretches is emptied at this many; longer ones aren't kept.
-CACHE_ROWS = 150_000
+#: A worker's memory of encoded stretches is emptied at this many; longer ones aren't kept.
+CACHE_ROWS = 300_000
 CACHED_BYTES = 48
 CHUNK = 1 << 20
 _FRAME = np.dtype([(c, "<i8") for c in ("radix", "pairs", "records", "at", "size", "docs_at", "docs_size")])
@@ -72,18 +73,24 @@ def _byte_of_char() -> dict[str, int]:
     return {chr(b): b for b in seen} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
-class Stretch:
-    """An aligned stretch of text: tokens of A and B, groups, the pairs of its links, and
-    the groups written out with a ; after each."""
+class Spelling:
+    """Byte strings by id, in one array."""
 
-    __slots__ = ("n_a", "n_b", "n_groups", "pairs", "text")
+    def __init__(self, values: list[bytes]):
+        self.sizes = np.array([len(v) for v in values], np.int64)
+        self.begin = np.cumsum(self.sizes) - self.sizes
+        self.flat = np.frombuffer(b"".join(values) + b"\0", np.uint8)
 
-    def __init__(self, n_a: int, n_b: int, n_groups: int, pairs: bytes, text: bytes):
-        self.n_a, self.n_b, self.n_groups, self.pairs, self.text = n_a, n_b, n_groups, pairs, text
+    def write(self, ids: np.ndarray, more: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """The strings one after the other, ``more`` bytes left after each; their ends."""
+        n = self.sizes[ids] + more
+        end = np.cumsum(n)
+        at = np.repeat(self.begin[ids] - end + n, n) + np.arange(int(n.sum()))
+        return self.flat[at], end
 
 
 class Aligner:
-    """Both vocabularies, and a bounded memory of aligned stretches.
+    """Both vocabularies, and a bounded memory of encoded stretches.
 
     A stretch begins at a space that follows a character other than white space and stands
     before one: both vocabularies begin a token there whatever surrounds it, so stretches
@@ -100,11 +107,13 @@ class Aligner:
         size_a, size_b = self.a.get_vocab_size(with_added_tokens=True), self.b.vocab_size()
         self.bits_a, self.bits_b = (size_a - 1).bit_length(), (size_b - 1).bit_length()
         byte = _byte_of_char()
-        self.bytes_a = [b""] * size_a
+        bytes_a = [b""] * size_a
         for token, i in self.a.get_vocab(with_added_tokens=False).items():
-            self.bytes_a[i] = bytes(byte[c] for c in token) if all(c in byte for c in token) else b""
-        self.bytes_b = [bytes([int(self.b.id_to_piece(i)[3:5], 16)]) if self.b.is_byte(i)
-                        else self.b.id_to_piece(i).replace("▁", " ").encode() for i in range(size_b)]
+            bytes_a[i] = bytes(byte[c] for c in token) if all(c in byte for c in token) else b""
+        self.a_bytes = Spelling(bytes_a)
+        self.b_bytes = Spelling([bytes([int(self.b.id_to_piece(i)[3:5], 16)]) if self.b.is_byte(i)
+                                 else self.b.id_to_piece(i).replace("▁", " ").encode() for i in range(size_b)])
+        self.decimal = Spelling([str(i).encode() for i in range(max(size_a, size_b))])
         # texts are cut only if both vocabularies can be
         config = json.loads(self.a.to_str())
         cut_a = config["normalizer"] is None and (config["pre_tokenizer"] or {}).get("type") == "ByteLevel" and \
@@ -112,34 +121,13 @@ class Aligner:
         cut_b = not any("\u2581" in p.lstrip("\u2581") for p in map(self.b.id_to_piece, range(size_b))) and \
             self.b.encode("  a b") == self.b.encode("  a") + self.b.encode("b")
         self.cuts = bool(cut_a and cut_b)
-        self.known: dict[bytes, Stretch | None] = {}
-
-    def stretch(self, raw: bytes, ids_a: list[int], ids_b: list[int]) -> Stretch | None:
-        """None where the tokens do not spell the bytes."""
-        a, b = [self.bytes_a[i] for i in ids_a], [self.bytes_b[j] for j in ids_b]
-        if b"".join(a) != raw or b"".join(b) != raw:
-            return None
-        pairs, text, i, j, i0, j0, groups = [], [], 0, 0, 0, 0, 0
-        end_a, end_b, shift = len(a[0]), len(b[0]), self.bits_a
-        while True:
-            pairs.append(ids_b[j] << shift | ids_a[i])
-            if end_a == end_b:
-                i, j, groups = i + 1, j + 1, groups + 1
-                text.append(f"{','.join(map(str, ids_a[i0:i]))}|{','.join(map(str, ids_b[j0:j]))};")
-                if i == len(a):
-                    break
-                i0, j0, end_a, end_b = i, j, end_a + len(a[i]), end_b + len(b[j])
-            elif end_a < end_b:
-                i += 1
-                end_a += len(a[i])
-            else:
-                j += 1
-                end_b += len(b[j])
-        return Stretch(len(a), len(b), groups, np.array(pairs, "<i8").tobytes(), "".join(text).encode())
-
-    def stretches(self, raws: list[bytes]) -> list[Stretch | None]:
+        #: the ids of A and of B, as the bytes of uint32
+        self.known: dict[bytes, tuple[bytes, bytes]] = {}
+
+    def encode(self, raws: list[bytes]) -> list[tuple[bytes, bytes]]:
+        """The ids of stretches."""
         out = list(map(self.known.get, raws))
-        todo = [k for k, x in enumerate(out) if x is None and raws[k] not in self.known]
+        todo = [k for k, x in enumerate(out) if x is None]
         if todo:
             texts = [raws[k].decode() for k in todo]
             ids_a = [x.ids for x in self.a.encode_batch_fast(texts, add_special_tokens=False)]
@@ -147,12 +135,64 @@ class Aligner:
             ids_b = self.b.encode([t[1:] for t in texts], num_threads=1)
             if len(self.known) + len(todo) > CACHE_ROWS:
                 self.known.clear()
-            for k, x, y in zip(todo, ids_a, ids_b):
-                out[k] = self.stretch(raws[k], x, y)
+            flat = [np.fromiter(chain.from_iterable(ids), "<u4").tobytes() for ids in (ids_a, ids_b)]
+            ends = [np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)) * 4).tolist() for ids in (ids_a, ids_b)]
+            x0 = y0 = 0
+            for k, x, y in zip(todo, *ends):
+                out[k] = flat[0][x0:x], flat[1][y0:y]
+                x0, y0 = x, y
                 if len(raws[k]) <= CACHED_BYTES:
                     self.known[raws[k]] = out[k]
         return out
 
+    def stretches(self, raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of stretches: a row (spelt by both, tokens of A, tokens of B, groups, links, bytes
+        of text) each, all their pairs, and all their groups written out, a ; after each."""
+        ids = self.encode(raws)
+        every = np.arange(len(raws))
+        (a, n_a), (b, n_b) = (TV.expand([x[side] for x in ids], every, np.dtype("<u4")) for side in (0, 1))
+        a, b = a.astype(np.int64), b.astype(np.int64)
+        sizes = np.fromiter(map(len, raws), np.int64, len(raws))
+        of_a, of_b = np.repeat(every, n_a), np.repeat(every, n_b)
+        spelt = np.ones(len(raws), bool)
+        for ids_, of, spelling in ((a, of_a, self.a_bytes), (b, of_b, self.b_bytes)):
+            spelt &= np.bincount(of, weights=spelling.sizes[ids_], minlength=len(raws)) == sizes
+        for ids_, of, spelling in ((a, of_a, self.a_bytes), (b, of_b, self.b_bytes)):
+            keep = spelt[of]
+            text = np.frombuffer(b"".join(r for r, ok in zip(raws, spelt) if ok), np.uint8)
+            wrong = np.flatnonzero(spelling.write(ids_[keep])[0] != text)
+            if len(wrong):
+                spelt[np.flatnonzero(spelt)[np.searchsorted(np.cumsum(sizes[spelt]), wrong, "right")]] = False
+        keep_a, keep_b = spelt[of_a], spelt[of_b]
+        a, of_a, b, of_b = a[keep_a], of_a[keep_a], b[keep_b], of_b[keep_b]
+        # a byte per place: does a token of A, of B, of both end after it
+        last_a, last_b = np.cumsum(self.a_bytes.sizes[a]) - 1, np.cumsum(self.b_bytes.sizes[b]) - 1
+        ends_a, ends_b = np.zeros((2, int(sizes[spelt].sum())), bool)
+        ends_a[last_a] = ends_b[last_b] = True
+        both = ends_a & ends_b
+        # every stretch between two ends lies in one token of A and one of B: a link
+        link = np.flatnonzero(ends_a | ends_b)
+        at_a, at_b, groups = (np.cumsum(x) - x for x in (ends_a, ends_b, both))
+        pairs = b[at_b[link]] << self.bits_a | a[at_a[link]]
+        # tokens in the order of groups, those of A first
+        group_a, group_b = groups[last_a], groups[last_b]
+        n_groups = int(both.sum())
+        in_a, in_b = np.bincount(group_a, minlength=n_groups), np.bincount(group_b, minlength=n_groups)
+        place_a = np.arange(len(a)) + (np.cumsum(in_b) - in_b)[group_a]
+        place_b = np.arange(len(b)) + np.cumsum(in_a)[group_b]
+        order, after, of = np.zeros((3, len(a) + len(b)), np.int64)
+        order[place_a], order[place_b] = a, b
+        after[place_a] = np.where(both[last_a], ord("|"), ord(","))
+        after[place_b] = np.where(both[last_b], ord(";"), ord(","))
+        of[place_a], of[place_b] = of_a, of_b
+        text, end = self.decimal.write(order, 1)
+        text[end - 1] = after
+        n = len(raws)
+        rows = np.stack([spelt, np.bincount(of_a, minlength=n), np.bincount(of_b, minlength=n),
+                         np.bincount(of_a[at_a[np.flatnonzero(both)]], minlength=n), np.bincount(of_a[at_a[link]], minlength=n),
+                         np.bincount(of, weights=self.decimal.sizes[order] + 1, minlength=n).astype(np.int64)], 1)
+        return rows, pairs, text
+
     def align(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
         """Of several texts: (tokens of A, tokens of B, groups, links) each, the pairs of all
         links one after the other, the text of each link, and each text's digest."""
@@ -170,19 +210,16 @@ class Aligner:
         e = np.append(s[1:], len(c.buf))
         first, which = c.distinct(s, e)
         data = c.buf.tobytes()
-        found = self.stretches([data[x:y] for x, y in zip(s[first].tolist(), e[first].tolist())])
+        each, pairs, text = self.stretches([data[x:y] for x, y in zip(s[first].tolist(), e[first].tolist())])
         doc = np.searchsorted(c.offsets, s, "right") - 1
-        bad = np.array([x is None for x in found], bool)
         spelt = np.ones(len(texts), bool)
-        spelt[doc[bad[which]]] = False
+        spelt[doc[each[which, 0] == 0]] = False
         keep = spelt[doc]
         doc, which = doc[keep], which[keep]
-        each = np.array([(0, 0, 0) if x is None else (x.n_a, x.n_b, x.n_groups) for x in found], np.int64)
-        pairs, n_links = TV.expand([b"" if x is None else x.pairs for x in found], which, np.dtype("<i8"))
-        text, n_chars = TV.expand([b"" if x is None else x.text for x in found], which, np.dtype("u1"))
-        for k in range(3):
-            numbers[:, k] = np.bincount(doc, weights=each[which, k], minlength=len(texts))
-        numbers[:, 3] = np.bincount(doc, weights=n_links, minlength=len(texts))
+        pairs, n_links = TV.gather(pairs, each[:, 4], which)
+        text, n_chars = TV.gather(text, each[:, 5], which)
+        for k in range(4):
+            numbers[:, k] = np.bincount(doc, weights=each[which, k + 1], minlength=len(texts))
         ends = np.cumsum(np.bincount(doc, weights=n_chars, minlength=len(texts)).astype(np.int64))
         view = memoryview(text.tobytes())
         lo = 0

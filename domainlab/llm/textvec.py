@@ -155,6 +155,11 @@ def expand(values: list[bytes], which: np.ndarray, dtype: np.dtype) -> tuple[np.
     length of each. values: the bytes of arrays of the given type."""
     flat = np.frombuffer(b"".join(values), dtype)
     sizes = np.fromiter(map(len, values), np.int64, len(values)) // np.dtype(dtype).itemsize
+    return gather(flat, sizes, which)
+
+
+def gather(flat: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same for values that stand one after the other in an array."""
     begin = np.cumsum(sizes) - sizes
     n = sizes[which]
     shift = begin[which] - (np.cumsum(n) - n)
