@@ -463,25 +463,24 @@ def q_encode_char(spark, sf):
     return d.select("year", "label", "domain", ids_text(EN.encode_char("domain", v)).alias("ids"))
 
 
-@query("encode_tld", O.with_(O.PREPARED, O.vocab_ctes()) + f"""
-select year, label, domain,
-       array_to_string(list_transform(regexp_extract_all(lower(domain), '{O.TLD_RE}'),
-                                      lambda t: cast(coalesce(vinfo.m[t], 6) as int)), ' ') as tld_ids
-from domains, vinfo""")
+@query("encode_tld", O.with_(O.PREPARED, O.vocab_ctes(), O.CUT) + """
+select year, label, domain, array_to_string(coalesce(tids, []::int[]), ' ') as tld_ids
+from domains left join tlids using (domain)""")
 def q_encode_tld(spark, sf):
     d, v = _encoded(spark, sf)
     return d.select("year", "label", "domain", ids_text(EN.tld_ids("domain", v)).alias("tld_ids"))
 
 
-@query("decode", O.with_(O.PREPARED, O.vocab_ctes(), O.encoded_cte(), f"""
-specials(token, id) as (values {", ".join(f"('{t}', {i})" for i, t in enumerate(vocab.SPECIAL_TOKENS))}),
-chars(token, pos) as (values {_CHARS_SQL}),
-allv as (select token, id from specials union all select token, id from tldv
-         union all select token, cast(pos + (select off from vinfo) as int) from chars),
-idmap as (select map_from_entries(list(struct_pack(k := id, v := token))) as im from allv)""") + """
-select year, label, domain,
-       array_to_string(list_transform(ids, lambda i: coalesce(im[i], '[UNK]')), ' ') as tokens
-from enc, idmap""")
+@query("decode", O.with_(O.PREPARED, O.vocab_ctes(), O.CUT, f"""
+tltoks as (
+  select t.domain, list(coalesce(v.token, '[SPARSE_TLD]') order by t.pos) as toks
+  from (select domain, unnest(tl) as token, unnest(range(1, len(tl) + 1)) as pos from cut) t
+  left join tldv v on v.token = t.token group by t.domain)""") + f"""
+select year, label, domain, array_to_string(list_concat(
+  list_transform(regexp_extract_all(sld, '(?s).', 0),
+                 lambda x: case when strpos('{vocab.CHAR_ALPHABET}', x) > 0 then x else '[UNK]' end),
+  coalesce(toks, []::varchar[])), ' ') as tokens
+from domains join cut using (domain) left join tltoks using (domain)""")
 def q_decode(spark, sf):
     d, v = _encoded(spark, sf)
     return d.select("year", "label", "domain", EN.decode(EN.encode_char("domain", v), v).alias("tokens"))

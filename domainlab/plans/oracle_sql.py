@@ -160,7 +160,7 @@ traindom as (select year, label, domain from trainranked
 
 
 def vocab_ctes(th: int = 10) -> str:
-    """tldc (tld, c), tldv (token, id), vinfo (off, m) from the training set."""
+    """tldc (tld, c), tldv (token, id), vinfo (off) from the training set."""
     return TRAIN + f""",
 tldc as (
   select tld, count(*) as c
@@ -168,23 +168,35 @@ tldc as (
   where tld is not null group by tld having count(*) >= {th}
 ),
 tldv as (select tld as token, cast(6 + row_number() over (order by c desc, tld) as int) as id from tldc),
-vinfo as (select cast(7 + count(*) as int) as off, map_from_entries(list(struct_pack(k := token, v := id))) as m
-          from tldv)"""
+vinfo as (select cast(7 + count(*) as int) as off from tldv)"""
 
 
-def encoded_cte(src: str = "domains") -> str:
-    return f"""
+#: cut: each domain's bracket tokens (tl) and what is left without them (sld); tlids: the
+#: ids of its bracket tokens in order, by a join of the exploded tokens.
+CUT = f"""
+cut as (
+  select domain, tl, list_reduce(list_prepend(low, tl), lambda a, t: replace(a, t, '')) as sld
+  from (select domain, lower(domain) as low, regexp_extract_all(lower(domain), '{TLD_RE}') as tl
+        from (select distinct domain from domains) u) w
+),
+tlids as (
+  select t.domain, list(coalesce(v.id, 6) order by t.pos) as tids
+  from (select domain, unnest(tl) as token, unnest(range(1, len(tl) + 1)) as pos from cut) t
+  left join tldv v on v.token = t.token group by t.domain
+)"""
+
+
+def encoded_cte() -> str:
+    return CUT + f""",
 enc as (
-  select d.year, d.label, d.domain, vinfo.off,
+  select d.year, d.label, d.domain, c.off,
          list_concat(
-           list_transform(regexp_extract_all(d.sld, '(?s).', 0),
-                          lambda c: cast(case when strpos('{CHAR_ALPHABET}', c) > 0
-                                              then vinfo.off + strpos('{CHAR_ALPHABET}', c) - 1 else 1 end as int)),
-           list_transform(d.tl, lambda t: cast(coalesce(vinfo.m[t], 6) as int))) as ids
-  from (select *, regexp_extract_all(lower(domain), '{TLD_RE}') as tl,
-               list_reduce(list_prepend(lower(domain), regexp_extract_all(lower(domain), '{TLD_RE}')),
-                           lambda a, t: replace(a, t, '')) as sld
-        from {src}) d, vinfo
+           list_transform(regexp_extract_all(c.sld, '(?s).', 0),
+                          lambda x: cast(case when strpos('{CHAR_ALPHABET}', x) > 0
+                                              then c.off + strpos('{CHAR_ALPHABET}', x) - 1 else 1 end as int)),
+           coalesce(i.tids, []::int[])) as ids
+  from domains d join (select *, (select off from vinfo) as off from cut) c using (domain)
+  left join tlids i using (domain)
 )"""
 
 
