@@ -187,16 +187,19 @@ tlids as (
 
 
 def encoded_cte() -> str:
+    chars = ", ".join(f"('{c}', {i})" for i, c in enumerate(CHAR_ALPHABET))
     return CUT + f""",
+charv as (select c as token, cast(pos + off as int) as id from (values {chars}) t(c, pos), vinfo),
+charids as (
+  select t.domain, list(coalesce(v.id, 1) order by t.pos) as cids
+  from (select domain, unnest(cs) as token, unnest(range(1, len(cs) + 1)) as pos
+        from (select domain, regexp_extract_all(sld, '(?s).', 0) as cs from cut) w) t
+  left join charv v on v.token = t.token group by t.domain
+),
 enc as (
-  select d.year, d.label, d.domain, c.off,
-         list_concat(
-           list_transform(regexp_extract_all(c.sld, '(?s).', 0),
-                          lambda x: cast(case when strpos('{CHAR_ALPHABET}', x) > 0
-                                              then c.off + strpos('{CHAR_ALPHABET}', x) - 1 else 1 end as int)),
-           coalesce(i.tids, []::int[])) as ids
-  from domains d join (select *, (select off from vinfo) as off from cut) c using (domain)
-  left join tlids i using (domain)
+  select d.year, d.label, d.domain, vinfo.off,
+         list_concat(coalesce(c.cids, []::int[]), coalesce(i.tids, []::int[])) as ids
+  from domains d left join charids c using (domain) left join tlids i using (domain), vinfo
 )"""
 
 
