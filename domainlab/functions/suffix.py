@@ -10,7 +10,9 @@ Walk semantics (same as a suffix-trie walk from the right): keep consuming label
 while the candidate is a trie node, remembering the longest candidate that is a
 rule; at the first candidate that is not a node, a wildcard rule on its parent
 covers it unless an exception names it. No matching rule leaves an empty suffix
-(no implicit ``*`` rule). A dotted IPv4 address has no suffix.
+(no implicit ``*`` rule). A dotted IPv4 address has no suffix. Rules and names match
+whichever way an internationalised label is written, native or ``xn--``; results keep the
+name's own labels.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from domainlab.functions import punycode as PC
 from domainlab.functions.util import to_col
 
 # The small rules set used by the fixtures (public-suffix syntax).
@@ -27,6 +30,8 @@ MINI_RULES_ICANN = [
     "jp", "*.kawasaki.jp", "!city.kawasaki.jp",
 ]
 MINI_RULES_PRIVATE = ["github.io", "s3.amazonaws.com"]
+#: Further rules with internationalised labels, written in either form.
+IDN_RULES = ["cn", "公司.cn", "рф", "香港", "個人.香港", "xn--j1amh", "*.xn--fiqs8s", "!центр.中国"]
 
 RULES_SCHEMA = T.StructType([
     T.StructField("rule", T.StringType(), False),
@@ -93,7 +98,7 @@ def lookup_table(rules: DataFrame) -> DataFrame:
             .when(F.col("kind") == "wildcard", F.expr("substring(rule, 3)"))
             .otherwise(F.col("rule")))
     r = rules.select(F.lower(base).alias("base"), "kind", "is_private")
-    r = r.withColumn("labels", F.split("base", r"\.", -1)).withColumn("n", F.size("labels"))
+    r = r.withColumn("labels", PC.native_labels(F.split("base", r"\.", -1))).withColumn("n", F.size("labels"))
     r = r.select("*", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("k"))
     key = F.array_join(F.slice("labels", F.col("n") - F.col("k") + 1, F.col("k")), ".")
     full = F.col("k") == F.col("n")
@@ -152,12 +157,15 @@ def probe(df: DataFrame, host: Column, index: SuffixIndex, tag: str = "_sx",
     ``active`` (optional) marks rows that need a lookup; others probe with NULL."""
     lab, n = f"{tag}_labels", f"{tag}_n"
     df = df.withColumn(lab, F.split(host, r"\.", -1)).withColumn(n, F.size(lab))
+    keys = f"{tag}_keys"
+    low = F.lower(host)
+    written = F.split(low, r"\.", -1)
+    df = df.withColumn(keys, F.when(low.contains(PC.ACE), PC.native_labels(written)).otherwise(written))
     K = index.depth
     flags_cols = []
     for k in range(1, K + 1):
         ck = f"{tag}_c{k}"
-        cand = F.when(F.col(n) >= k, F.lower(F.array_join(
-            F.slice(F.col(lab), F.col(n) - k + 1, F.lit(k)), ".")))
+        cand = F.when(F.col(n) >= k, F.array_join(F.slice(F.col(keys), F.col(n) - k + 1, F.lit(k)), "."))
         if active is not None:
             cand = F.when(active, cand)
         df = df.withColumn(ck, cand)
@@ -170,7 +178,7 @@ def probe(df: DataFrame, host: Column, index: SuffixIndex, tag: str = "_sx",
     ip = (F.col(n) == 4) & F.array_join(F.col(lab), ".").rlike(_IPV4)
     for name in ("all", "icann"):
         df = df.withColumn(f"{tag}_s_{name}", F.when(ip, F.lit(0)).otherwise(F.col(f"{tag}_s_{name}")))
-    return df.drop(*[f"{tag}_f{k}" for k in range(1, K + 1)])
+    return df.drop(keys, *[f"{tag}_f{k}" for k in range(1, K + 1)])
 
 
 def _walk(flags: list[Column], n: Column, shift: int) -> Column:

@@ -87,6 +87,35 @@ def q_split_suffix(spark, sf):
                       F.col("sp.domain").alias("registered"), F.col("sp.suffix").alias("suffix"))
 
 
+_IDN_SQL = O.with_(O.IDN_NAMES, """
+idn_lower as (select distinct lower(domain) as d0 from idn_names)""", O.suffix_ctes("idn_lower", "d0", idn=True))
+
+
+def _idn_index(spark):
+    return S.SuffixIndex(S.rules_frame(spark, S.MINI_RULES_ICANN + S.IDN_RULES))
+
+
+@query("split_suffix_idn", _IDN_SQL + """
+select s.d as domain,
+       case when len(s.labels) - s.s_all - 1 >= 1 then array_to_string(s.labels[1:len(s.labels) - s.s_all - 1], '.') else '' end as subdomain,
+       case when len(s.labels) - s.s_all >= 1 then s.labels[len(s.labels) - s.s_all] else '' end as registered,
+       array_to_string(case when s.s_all > 0 then s.labels[len(s.labels) - s.s_all + 1:] else []::varchar[] end, '.') as suffix
+from sfx_s s""")
+def q_split_suffix_idn(spark, sf):
+    """T1 on names whose suffixes hold internationalised labels, native or ``xn--``."""
+    names = FX.idn_names(spark, sf).select(F.lower("domain").alias("domain")).distinct()
+    out = S.split_suffix(names, "domain", _idn_index(spark), private=True, out="sp")
+    return out.select("domain", F.col("sp.subdomain").alias("subdomain"),
+                      F.col("sp.domain").alias("registered"), F.col("sp.suffix").alias("suffix"))
+
+
+@query("wrap_tld_idn", _IDN_SQL + f"""
+select n.domain, {O.wrap_expr('s.d', 's.labels')} as wrapped from idn_names n join sfx_s s on s.d = lower(n.domain)""")
+def q_wrap_tld_idn(spark, sf):
+    """T3 on the same names."""
+    return S.wrap_tld(FX.idn_names(spark, sf), "domain", _idn_index(spark), out="wrapped")
+
+
 # ---------------------------------------------------------------- P1-P4
 @query("label_rows", O.with_(O.RAW_DOMAINS) + """
 select domain, cast(0 as int) as label from (select doc_id as rank, domain from raw_domains) t

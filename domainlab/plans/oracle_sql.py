@@ -7,17 +7,36 @@ must agree on the fixture data."""
 
 from __future__ import annotations
 
-from domainlab.functions.suffix import MINI_RULES_ICANN, MINI_RULES_PRIVATE
+from domainlab.functions.suffix import IDN_RULES, MINI_RULES_ICANN, MINI_RULES_PRIVATE
 from domainlab.functions.tokens import TLD_TOKEN_PATTERN as TLD_RE
 from domainlab.operators.vocab import CHAR_ALPHABET
-from domainlab.sources.fixtures import AUDIT_SHAPES, FIXTURE_SUFFIXES
+from domainlab.sources.fixtures import AUDIT_SHAPES, FIXTURE_SUFFIXES, IDN_SUFFIXES
 
 
-def _rules_values() -> str:
-    rows = [f"('{r}', false)" for r in MINI_RULES_ICANN] + [f"('{r}', true)" for r in MINI_RULES_PRIVATE]
+# Internationalised labels of the rules and names, ACE and native.
+IDN_LABELS = {"xn--p1ai": "рф", "xn--55qx5d": "公司", "xn--gmqw5a": "個人", "xn--j6w193g": "香港", "xn--j1amh": "укр",
+              "xn--fiqs8s": "中国", "xn--e1aqjhr": "центр"}
+
+
+def _rules_values(idn: bool = False) -> str:
+    rows = [f"('{r}', false)" for r in MINI_RULES_ICANN + (IDN_RULES if idn else [])] + [
+        f"('{r}', true)" for r in MINI_RULES_PRIVATE]
     return ", ".join(rows)
 
 
+def _native(labels: str) -> str:
+    """The labels of a list, those of IDN_LABELS in native form."""
+    cases = " ".join(f"when '{a}' then '{n}'" for a, n in IDN_LABELS.items())
+    return f"list_transform({labels}, lambda x: case x {cases} else x end)"
+
+
+IDN_NAMES = f"""
+idn_names as (
+  select distinct w || '.' || lpad(cast(doc_id % 100 as varchar), 2, '0') || '.' ||
+         case doc_id % {len(IDN_SUFFIXES)} {" ".join(f"when {i} then '{x}'" for i, x in enumerate(IDN_SUFFIXES))} end as domain
+  from (select doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9]+')) as w from documents) t)"""
+
+
 _SFX_CASE = " ".join(f"when {i} then '{s}'" for i, s in enumerate(FIXTURE_SUFFIXES))
 
 RAW_DOMAINS = f"""
@@ -70,24 +89,29 @@ def _proc(labels: str, s: str, keep_empty: bool = False) -> str:
     return f"(concat_ws('.', nullif({sub}, ''), nullif({dom}, '')) || {wrapped})"
 
 
-def suffix_ctes(src: str, col: str) -> str:
+def suffix_ctes(src: str, col: str, idn: bool = False) -> str:
     """CTEs ``sfx_rules``, ``sfx_lab``, ``sfx_s`` (d, labels, s_all, s_icann) for the
     distinct values of ``src.col`` (already lower-case)."""
+    base = "case when starts_with(rule, '!') then substr(rule, 2) when starts_with(rule, '*.') then substr(rule, 3) else rule end"
+    written = "labels"
+    if idn:
+        base = f"array_to_string({_native(f"string_split({base}, '.')")}, '.')"
+        written = _native(written)
     return f"""
-sfx_rules0(rule, is_private) as (values {_rules_values()}),
+sfx_rules0(rule, is_private) as (values {_rules_values(idn)}),
 sfx_rules as (
   select rule, is_private,
          case when starts_with(rule, '!') then 'exc' when starts_with(rule, '*.') then 'wild' else 'normal' end as kind,
-         case when starts_with(rule, '!') then substr(rule, 2) when starts_with(rule, '*.') then substr(rule, 3) else rule end as base
+         {base} as base
   from sfx_rules0
 ),
 sfx_names as (select distinct {col} as d from {src} where {col} is not null),
 sfx_lab as (select d, string_split(rtrim(trim(d), '.'), '.') as labels from sfx_names),
 sfx_cand as (
   select d, labels, k,
-         array_to_string(labels[len(labels) - k + 1:], '.') as c,
-         case when k >= 2 then array_to_string(labels[len(labels) - k + 2:], '.') end as p
-  from (select d, labels, unnest(generate_series(1, len(labels))) as k from sfx_lab) t
+         array_to_string(written[len(labels) - k + 1:], '.') as c,
+         case when k >= 2 then array_to_string(written[len(labels) - k + 2:], '.') end as p
+  from (select d, labels, {written} as written, unnest(generate_series(1, len(labels))) as k from sfx_lab) t
 ),
 sfx_m as (
   select c.d, c.k, r.kind, r.is_private

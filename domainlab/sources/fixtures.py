@@ -33,6 +33,21 @@ def spread(df: DataFrame, key: str) -> DataFrame:
 # Suffix chosen by doc_id % 8, in order 0..7.
 FIXTURE_SUFFIXES = ["com", "net", "org", "co.kr", "co.uk", "io", "github.io", "zzz.qqq"]
 
+# Suffix chosen by doc_id % 12, in order 0..11; internationalised labels in
+# either form.
+IDN_SUFFIXES = ["рф", "xn--p1ai", "公司.cn", "xn--55qx5d.cn", "個人.香港", "個人.xn--j6w193g", "xn--gmqw5a.香港", "укр",
+                "xn--j1amh", "центр.xn--fiqs8s", "com.中国", "xn--zzzz"]
+
+
+def idn_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(domain)``: each distinct word.number.suffix of the documents, with suffixes that
+    hold internationalised labels."""
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    words = docs.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("([A-Za-z0-9]+)"), 1)).alias("w"))
+    sfx = F.element_at(F.array(*[F.lit(x) for x in IDN_SUFFIXES]), (F.col("doc_id") % len(IDN_SUFFIXES) + 1).cast("int"))
+    number = F.lpad((F.col("doc_id") % 100).cast("string"), 2, "0")
+    return words.select(F.concat_ws(".", "w", number, sfx).alias("domain")).distinct()
+
 
 def raw_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(domain, doc_id, year, family, label)``: one row per word of every document,

@@ -55,3 +55,29 @@ def test_full_public_list_if_present(spark):
     df = spark.createDataFrame([("www.bbc.co.uk",), ("foo.blogspot.com",), ("a.b.city.kawasaki.jp",)], "d string")
     got = [r["w"] for r in S.wrap_tld(df, "d", idx, out="w").orderBy("d").collect()]
     assert got == ["a.b.city[.kawasaki][.jp]", "foo[.blogspot][.com]", "www.bbc[.co][.uk]"]
+
+
+def test_punycode_labels(spark):
+    """Native scripts from their ACE forms, against the standard library's codec; labels that
+    do not decode stay."""
+    from domainlab.functions import punycode as PC
+    words = ["рф", "香港", "個人", "中国", "公司", "bücher", "münchen-ost", "ελλάς", "ไทย", "भारत", "السعودية", "한국", "ößñ",
+             "ゝゞ", "a中b国c", "😀", "中" * 30, "zażółć-gęślą-jaźń", "\U00010400\U0010ffff"]
+    ace = ["xn--" + w.encode("punycode").decode() for w in words]
+    odd = ["xn--", "xn--abc-", "xn---", "xn--p1a!", "xn--99999999", "xn--zzzzzzzzzzzzzzzzzzzz", "xn--ф", "com", "", "xn-p1ai"]
+    df = spark.createDataFrame(list(enumerate(ace + odd)), "i int, l string")
+    got = [r[0] for r in df.select("i", PC.decode_label("l").alias("d")).orderBy("i").select("d").collect()]
+    assert got == words + odd
+
+
+def test_internationalised_suffixes(spark):
+    """Rules and names match in either form; results keep the name's own labels."""
+    idx = S.SuffixIndex(S.rules_frame(spark, S.MINI_RULES_ICANN + S.IDN_RULES))
+    cases = [("x.y.xn--p1ai", "x.y[.xn--p1ai]"), ("x.y.рф", "x.y[.рф]"), ("a.b.公司.cn", "a.b[.公司][.cn]"),
+             ("a.b.XN--55QX5D.cn", "a.b[.xn--55qx5d][.cn]"), ("a.b.個人.xn--j6w193g", "a.b[.個人][.xn--j6w193g]"),
+             ("a.b.xn--gmqw5a.香港", "a.b[.xn--gmqw5a][.香港]"), ("a.b.укр", "a.b[.укр]"), ("a.b.xn--j1amh", "a.b[.xn--j1amh]"),
+             ("a.b.foo.中国", "a.b[.foo][.中国]"), ("a.центр.xn--fiqs8s", "a.центр[.xn--fiqs8s]"),
+             ("a.xn--e1aqjhr.中国", "a.xn--e1aqjhr[.中国]"), ("a.b.xn--zz--", "a.b.xn--zz--"), ("a.b.РФ", "a.b[.рф]")]
+    df = spark.createDataFrame([(i, d) for i, (d, _) in enumerate(cases)], "i int, d string")
+    got = [r["w"] for r in S.wrap_tld(df, "d", idx, out="w").orderBy("i").collect()]
+    assert got == [w for _, w in cases]
