@@ -64,10 +64,11 @@ def _reduce(ids: pd.Series, matrix: np.ndarray, mode: str, mask_pads: bool) -> p
 
 
 def pool_positions(df: DataFrame, ids: str, table: dict[int, list[float]], dim: int, out: str,
-                   mode: str = "pool", mask_pads: bool = False) -> DataFrame:
+                   mode: str = "pool", mask_pads: bool = False, mask: str | None = None) -> DataFrame:
     """D3/A14/A15 over positions: look up each id's vector (unknown -> zeros) and
     add ``out`` = max ‖ mean (``pool``; pads included unless ``mask_pads``) or the
-    first position's vector (``cls``); NULL where there is no position. The vectors go
+    first position's vector (``cls``); NULL where there is no position. ``mask``: a column of
+    0 and 1 by position; only positions of 1 are read. The vectors go
     to each worker once, as one matrix indexed by id, and ``POOL_ROWS`` rows are
     pooled at a time, so a worker's memory does not depend on the batch size."""
     if len(table) > MAX_TOKEN_VECTORS:
@@ -83,7 +84,10 @@ def pool_positions(df: DataFrame, ids: str, table: dict[int, list[float]], dim:
         for s in batches:
             parts = [_reduce(s.iloc[k:k + POOL_ROWS], m, mode, mask_pads) for k in range(0, len(s), POOL_ROWS)]
             yield pd.concat(parts) if parts else s
-    return df.withColumn(out, pooled(F.col(ids)))
+    seen = F.col(ids)
+    if mask is not None:
+        seen = F.filter(seen, lambda x, i: F.get(F.col(mask), i) == 1)
+    return df.withColumn(out, pooled(seen))
 
 
 def vec_text(c, digits: int = 6) -> Column:

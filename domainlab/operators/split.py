@@ -29,13 +29,17 @@ def split_hash(key: str, seed: int | str) -> Column:
 
 def exact_split(df: DataFrame, key: str = "domain", by: list[str] | None = None,
                 train_size: int = TRAIN_SIZE, val_size: int = VAL_SIZE, seed: int = 42,
-                digits: int = DIGITS, out: str = "split") -> DataFrame:
+                digits: int = DIGITS, out: str = "split", written: bool = False) -> DataFrame:
     """O3: add ``out`` in {train, val, test}. ``key`` must be unique per group; a NULL key
-    is ordered before an empty one, and a NULL in ``by`` is a group of its own."""
-    checkpoint_dir(df.sparkSession)
-    # counting and labelling both read the hashed input: materialise it once in the shared
-    # checkpoint folder (also a lineage cut if executors are lost later)
-    d = df.withColumn("_h", split_hash(key, seed)).checkpoint(eager=True).withColumn("_p", F.substring("_h", 1, digits))
+    is ordered before an empty one, and a NULL in ``by`` is a group of its own. ``written``:
+    ``df`` is a scan of a written table, which is cheap to read again."""
+    d = df.withColumn("_h", split_hash(key, seed))
+    if not written:
+        # counting and labelling both read the hashed input: materialise it once in the shared
+        # checkpoint folder (also a lineage cut if executors are lost later)
+        checkpoint_dir(df.sparkSession)
+        d = d.checkpoint(eager=True)
+    d = d.withColumn("_p", F.substring("_h", 1, digits))
     groups = by or ["_all"]
     if not by:
         d = d.withColumn("_all", F.lit(0))

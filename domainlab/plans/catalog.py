@@ -374,9 +374,23 @@ splits as (
   from ranked)""")
 
 
+def _prepared(spark, sf):
+    """The prepared domains, written once for all passes that a query makes over them."""
+    return _written(domains(spark, sf).select("year", "label", "domain"), "domains")
+
+
+def _written(df, tag):
+    path = scratch_path(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def _labelled(rows):
+    return SP.exact_split(rows, "domain", ["year", "label"], SPLIT_TRAIN, SPLIT_VAL, SPLIT_SEED, written=True)
+
+
 def _splits(spark, sf):
-    d = domains(spark, sf).select("year", "label", "domain")
-    return SP.exact_split(d, "domain", ["year", "label"], SPLIT_TRAIN, SPLIT_VAL, SPLIT_SEED)
+    return _labelled(_prepared(spark, sf))
 
 
 @query("split_exact", _SPLIT_SQL + "select year, label, domain, split from splits")
@@ -420,17 +434,18 @@ _SPECIALS_SQL = ", ".join(f"('{t}', {i}, 'special')" for i, t in enumerate(vocab
 _CHARS_SQL = ", ".join(f"('{c}', {i})" for i, c in enumerate(vocab.CHAR_ALPHABET))
 
 
-def _train_rows(spark, sf):
+def _train_rows(splits):
     """The training set: train and test rows of 2017-2019; validation rows stay apart."""
-    return _splits(spark, sf).where(F.col("year").between(2017, 2019) & F.col("split").isin("train", "test")).drop("split")
+    return splits.where(F.col("year").between(2017, 2019) & F.col("split").isin("train", "test")).drop("split")
 
 
-def _train_tlds(spark, sf):
-    return vocab.tld_counts(_train_rows(spark, sf), "domain", 10)
+def _train_tlds(splits):
+    """The thresholded TLD table, written: it is read several times."""
+    return _written(vocab.tld_counts(_train_rows(splits), "domain", 10), "tlds")
 
 
-def _char_vocab(spark, sf):
-    return vocab.char_vocab(_train_tlds(spark, sf))
+def _char_vocab(splits):
+    return vocab.char_vocab(_train_tlds(splits))
 
 
 _VOCAB_SQL = O.with_(O.PREPARED, O.vocab_ctes(), f"""
@@ -443,25 +458,25 @@ charvocab as (select * from tldvocab union all
 
 @query("tld_vocab", _VOCAB_SQL + " select token, id, kind from tldvocab")
 def q_tld_vocab(spark, sf):
-    return vocab.tld_vocab(_train_tlds(spark, sf))
+    return vocab.tld_vocab(_train_tlds(_splits(spark, sf)))
 
 
 @query("char_vocab", _VOCAB_SQL + " select token, id, kind from charvocab")
 def q_char_vocab(spark, sf):
-    return _char_vocab(spark, sf)
+    return _char_vocab(_splits(spark, sf))
 
 
 @query("max_special_id", _VOCAB_SQL + """
 select cast(max(id) as int) as max_special_id from charvocab where kind in ('special', 'tld')""")
 def q_max_special_id(spark, sf):
-    return vocab.max_special_id(_char_vocab(spark, sf))
+    return vocab.max_special_id(_char_vocab(_splits(spark, sf)))
 
 
 @query("vocab_roundtrip", _VOCAB_SQL + " select token, id, kind from charvocab")
 def q_vocab_roundtrip(spark, sf):
     from domainlab.session import scratch_path
     path = scratch_path(spark, "vocab")
-    v = _char_vocab(spark, sf)
+    v = _char_vocab(_splits(spark, sf))
     vocab.save_vocab(v, path)
     n = v.count()
     return vocab.load_vocab(spark, path, expect_size=n)
@@ -473,7 +488,7 @@ select word, count(*) as count
 from (select unnest(regexp_extract_all(lower(domain), '{TK.WORD_PATTERN.replace("(?U)", "")}', 1)) as word from corpus) t
 group by word""")
 def q_word_counts(spark, sf):
-    return vocab.word_counts(_train_rows(spark, sf), "domain")
+    return vocab.word_counts(_train_rows(_splits(spark, sf)), "domain")
 
 
 # ---------------------------------------------------------------- J1-J3, K1, K3, K4, K6, K8
@@ -481,9 +496,9 @@ _ENC_SQL = O.with_(O.PREPARED, O.vocab_ctes(), O.encoded_cte())
 
 
 def _encoded(spark, sf):
-    v = EN.Vocab.from_table(_char_vocab(spark, sf))
-    d = domains(spark, sf).select("year", "label", "domain")
-    return d, v
+    """The prepared domains and the character vocabulary, from one preparation."""
+    d = _prepared(spark, sf)
+    return d, EN.Vocab.from_table(_char_vocab(_labelled(d)))
 
 
 @query("encode_char", _ENC_SQL + f" select year, label, domain, {O.txt('ids')} as ids from enc")
@@ -722,8 +737,8 @@ from domainlab.operators import wordpiece as WP  # noqa: E402
 WP_VOCAB_SIZE, WP_MIN_FREQ, SUBWORD_L = 32_393, 2, 35
 
 
-def _word_counts(spark, sf):
-    return vocab.word_counts(_train_rows(spark, sf), "domain")
+def _word_counts(splits):
+    return vocab.word_counts(_train_rows(splits), "domain")
 
 
 @query("wordpiece_pairs", O.with_(O.PREPARED, O.TRAIN, """
@@ -738,59 +753,70 @@ pairs as (select n, unnest(list_transform(range(1, len(s)), lambda i: struct_pac
 select p.a as l_sym, p.b as r_sym, sum(n) as count from pairs group by p.a, p.b""")
 def q_wordpiece_pairs(spark, sf):
     """First-round pair counts of the WordPiece trainer (V3 input)."""
-    wc = _word_counts(spark, sf)
+    wc = _word_counts(_splits(spark, sf))
     words = wc.select(F.col("count").cast("long").alias("n"), WP.initial_symbols("word").alias("symbols"))
     return WP.pair_counts(words).select(F.col("left").alias("l_sym"), F.col("right").alias("r_sym"), "count")
 
 
-def _subword_vocab(spark, sf):
-    tl = [r["tld"] for r in _train_tlds(spark, sf).collect()]   # thresholded TLD table: bounded
-    return WP.train_wordpiece(_word_counts(spark, sf), WP_VOCAB_SIZE, WP_MIN_FREQ,   # TLDs count in the size
+def _kept_splits(spark, sf):
+    """The labelled rows, written: subword training and encoding pass over them several times."""
+    return _written(_splits(spark, sf), "splits")
+
+
+def _subword_vocab(splits):
+    tl = [r["tld"] for r in _train_tlds(splits).limit(WP.MAX_VOCAB).collect()]
+    return WP.train_wordpiece(_word_counts(splits), WP_VOCAB_SIZE, WP_MIN_FREQ,   # TLDs count in the size
                               specials=vocab.SPECIAL_TOKENS + tl)
 
 
 @query("wordpiece_vocab")
 def q_wordpiece_vocab(spark, sf):
-    return _subword_vocab(spark, sf)
+    return _subword_vocab(_kept_splits(spark, sf))
 
 
-def _subword_frame(spark, sf, rows=None):
-    """``rows`` (all domains unless given) with their subword ids followed by the TLD ids."""
-    wv = _subword_vocab(spark, sf)
+def _subword_frame(splits):
+    """All rows with their subword ids followed by the TLD ids, and the subword vocabulary."""
+    wv = _subword_vocab(splits)
     vd = WP.vocab_dict(wv)
     cv = EN.Vocab.from_table(wv.where("kind = 'special'").withColumn(
         "kind", F.when(F.col("id") >= len(vocab.SPECIAL_TOKENS), F.lit("tld")).otherwise(F.col("kind"))))
-    d = domains(spark, sf).select("year", "label", "domain") if rows is None else rows
-    d = d.withColumn("_sld", TK.strip_tlds("domain"))
+    d = splits.withColumn("_sld", TK.strip_tlds("domain"))
     d = WP.wordpiece_encode(d, "_sld", vd, "_wp")
     return d.withColumn("x_token_raw", F.concat("_wp", EN.tld_ids("domain", cv))).drop("_sld", "_wp"), vd
 
 
 @query("encode_subword")
 def q_encode_subword(spark, sf):
-    d, _ = _subword_frame(spark, sf)
+    d, _ = _subword_frame(_kept_splits(spark, sf))
     return d.select("year", "label", "domain", ids_text("x_token_raw").alias("ids"))
 
 
 @query("encode_external")
 def q_encode_external(spark, sf):
-    wv = WP.vocab_dict(_subword_vocab(spark, sf))
-    d = domains(spark, sf).select("year", "label", "domain")
-    e = WP.encode_external(d, "domain", wv, SUBWORD_L)
+    """K7. The subword vocabulary trained here stands in for the one a user would bring."""
+    s = _kept_splits(spark, sf)
+    e = WP.encode_external(s.drop("split"), "domain", WP.vocab_dict(_subword_vocab(s)), SUBWORD_L)
     return e.select("year", "label", "domain", ids_text("ext_ids").alias("ext_ids"),
                     ids_text("ext_mask").alias("ext_mask"))
 
 
+def _branch_columns(splits):
+    """All rows with token ids (K2 + K4, L=35), char ids (K1 + K4, L=82), and external ids and
+    their mask (K7, L=35), as ``token``, ``char``, ``external``, ``external_mask``."""
+    d, vd = _subword_frame(splits)
+    v = EN.Vocab.from_table(_char_vocab(splits))
+    d = WP.encode_external(d.withColumn("_c", EN.encode_char("domain", v)), "domain", vd, SUBWORD_L,
+                           "external", "external_mask")
+    return (d.withColumn("token", EN.pack_finetune("x_token_raw", SUBWORD_L))
+            .withColumn("char", EN.pack_finetune("_c", CHAR_L)).drop("x_token_raw", "_c"))
+
+
 @query("finetune_samples")
 def q_finetune_samples(spark, sf):
-    """M5: token ids (K2 + K4, L=35), char ids (K1 + K4, L=82), external ids + mask (K7, L=35), label."""
-    d, vd = _subword_frame(spark, sf)
-    v = EN.Vocab.from_table(_char_vocab(spark, sf))
-    d = WP.encode_external(d.withColumn("_c", EN.encode_char("domain", v)), "domain", vd, SUBWORD_L)
-    return d.select("year", "domain", "label",
-                    ids_text(EN.pack_finetune("x_token_raw", SUBWORD_L)).alias("x_token"),
-                    ids_text(EN.pack_finetune("_c", CHAR_L)).alias("x_char"),
-                    ids_text("ext_ids").alias("ext_ids"), ids_text("ext_mask").alias("ext_mask"))
+    """M5: token, char and external ids with their mask, and the label."""
+    d = _branch_columns(_kept_splits(spark, sf))
+    return d.select("year", "domain", "label", ids_text("token").alias("x_token"), ids_text("char").alias("x_char"),
+                    ids_text("external").alias("ext_ids"), ids_text("external_mask").alias("ext_mask"))
 
 
 # ---------------------------------------------------------------- D1-D6 (rows checks)
@@ -798,25 +824,24 @@ from domainlab.plans import model as MD  # noqa: E402
 
 W2V_DIM = 16
 BRANCHES = ("token", "char")
+#: The third branch; its positions are pooled under its attention mask.
+EXTERNAL = "external"
 TRAIN_YEARS = (2017, 2018, 2019)
 #: Which branches a variant reads, and how each one's positions become one vector.
 VARIANTS = {f"{name}_{mode}": (branches, mode) for mode in ("pool", "cls")
-            for name, branches in (("token", ("token",)), ("char", ("char",)), ("both", BRANCHES))}
+            for name, branches in (("token", ("token",)), ("char", ("char",)), ("both", BRANCHES),
+                                   ("external", (EXTERNAL,)), ("all", (*BRANCHES, EXTERNAL)))}
 
 
 def _sequences(spark, sf):
-    """Fine-tune packs, which begin with CLS, of both branches: what the classifier reads.
+    """Fine-tune packs, which begin with CLS, of all branches: what the classifier reads.
     ``train`` marks the training set (train and test rows of 2017-2019). Written once,
     since vectors, fit and scoring each pass over it."""
-    d, _ = _subword_frame(spark, sf, _splits(spark, sf))
-    v = EN.Vocab.from_table(_char_vocab(spark, sf))
-    d = d.withColumn("_c", EN.encode_char("domain", v)).select(
+    d = _branch_columns(_kept_splits(spark, sf))
+    return _written(d.select(
         "year", "label", "domain",
         (F.col("year").isin(*TRAIN_YEARS) & F.col("split").isin("train", "test")).alias("train"),
-        EN.pack_finetune("x_token_raw", SUBWORD_L).alias("token"), EN.pack_finetune("_c", CHAR_L).alias("char"))
-    path = scratch_path(spark, "sequences")
-    d.write.parquet(path)
-    return spark.read.parquet(path)
+        *BRANCHES, EXTERNAL, f"{EXTERNAL}_mask"), "sequences")
 
 
 def _training(rows):
@@ -830,7 +855,9 @@ def _vectors(seq, branches=BRANCHES):
 
 
 def _features(seq, vectors, branches=BRANCHES, mode="pool"):
-    return MD.domain_features(seq, {b: (b, vectors[b], W2V_DIM) for b in branches}, mode).drop(*BRANCHES)
+    masks = {EXTERNAL: f"{EXTERNAL}_mask"}
+    f = MD.domain_features(seq, {b: (b, vectors[b], W2V_DIM, masks.get(b)) for b in branches}, mode)
+    return f.drop(*BRANCHES, EXTERNAL, *masks.values())
 
 
 def _both_features(spark, sf):
@@ -868,6 +895,25 @@ def q_feature_lookup(spark, sf):
     return f.select("year", "label", "domain", FE.vec_text("features").alias("features"))
 
 
+@query("feature_lookup_masked", _ENC_SQL + "," + f"""
+looked as (select year, label, domain, {O.pack_finetune_sql('ids', CHAR_L)} as p from enc),
+shown as (select year, label, domain, list_filter(p, lambda i: i <> 0 and i % 3 <> 1) as p from looked),
+dims as (select *, list_transform(p, lambda i: cast(least(i, 40) as double) / 8) as a,
+                list_transform(p, lambda i: cast(i % 5 as double)) as b from shown)
+select year, label, domain, {_vt_sql("[list_max(a), list_max(b), list_avg(a), list_avg(b)]")} as features,
+       {_vt_sql("[a[1], b[1]]")} as first from dims""")
+def q_feature_lookup_masked(spark, sf):
+    """D3 under an attention mask, as for the external branch, with the same fixed vectors;
+    the mask also hides every id of remainder 1 by 3."""
+    d, v = _encoded(spark, sf)
+    table = {i: [min(i, 40) / 8, float(i % 5)] for i in v.id_to_token}
+    d = d.withColumn("p", EN.pack_finetune(EN.encode_char("domain", v), CHAR_L))
+    d = d.withColumn("m", F.transform("p", lambda x: ((x != 0) & (x % 3 != 1)).cast("int")))
+    for out, mode in (("features", "pool"), ("first", "cls")):
+        d = FE.pool_positions(d, "p", table, 2, out, mode, mask="m")
+    return d.select("year", "label", "domain", FE.vec_text("features").alias("features"), FE.vec_text("first").alias("first"))
+
+
 @query("fit_classifier")
 def q_fit_classifier(spark, sf):
     m = MD.fit_classifier(_training(_both_features(spark, sf)))
@@ -892,10 +938,10 @@ def q_forward_chain(spark, sf):
 
 @query("ablation")
 def q_ablation(spark, sf):
-    """One metrics row per variant: token, char or both branches, pooled or first
-    position. The vectors are learned once for all variants."""
+    """One metrics row per variant: token, char, both or external branch, or all three,
+    pooled or first position. The vectors are learned once for all variants."""
     seq = _sequences(spark, sf)
-    vectors = _vectors(seq)
+    vectors = _vectors(seq, (*BRANCHES, EXTERNAL))
     out = None
     for name, (branches, mode) in VARIANTS.items():
         f = _features(seq, vectors, branches, mode)
@@ -942,5 +988,5 @@ def q_epoch_batches(spark, sf):
 @query("wordpiece_vocab_basic")
 def q_wordpiece_vocab_basic(spark, sf):
     """V6: the older variant, five specials and no TLD tokens."""
-    return WP.train_wordpiece(_word_counts(spark, sf), WP_VOCAB_SIZE, WP_MIN_FREQ,
+    return WP.train_wordpiece(_word_counts(_splits(spark, sf)), WP_VOCAB_SIZE, WP_MIN_FREQ,
                               specials=["[PAD]", "[UNK]", "[CLS]", "[SEP]", "[MASK]"])

@@ -45,13 +45,14 @@ def vector_table(vectors: DataFrame) -> dict[int, list[float]]:
     return {int(r["id"]): list(r["vector"]) for r in rows}
 
 
-def domain_features(df: DataFrame, branches: dict[str, tuple[str, dict, int]], mode: str = "pool",
+def domain_features(df: DataFrame, branches: dict[str, tuple], mode: str = "pool",
                     out: str = "features") -> DataFrame:
-    """D3 + A16: per branch (ids column, vector table, dim) pool or take the first
-    position, then fuse the branches in the given order."""
+    """D3 + A16: per branch (ids column, vector table, dim[, mask column]) pool or take the
+    first position, under the mask where there is one, then fuse the branches in the given
+    order."""
     names = []
-    for name, (c, tbl, dim) in branches.items():
-        df = FE.pool_positions(df, c, tbl, dim, f"_f_{name}", mode)
+    for name, (c, tbl, dim, *mask) in branches.items():
+        df = FE.pool_positions(df, c, tbl, dim, f"_f_{name}", mode, mask=mask[0] if mask else None)
         names.append(f"_f_{name}")
     return df.withColumn(out, FE.fuse(*names)).drop(*names)
 

@@ -53,3 +53,17 @@ def test_two_branches_tell_classes_apart(spark):
     r = {x.year: x for x in MD.forward_chain(f, train_years=(2017,)).collect()}
     assert set(r) == {"2020", "2021", "overall"}
     assert r["2020"].n == 60 and r["overall"].n == 120 and r["overall"].accuracy == 1.0
+
+
+def test_masked_pooling(spark):
+    """Positions outside the mask are not read; a row without any has no features."""
+    from domainlab.operators import features as FE
+    from domainlab.plans import model as MD
+    df = spark.createDataFrame([(0, [2, 7, 3, 0], [1, 1, 1, 0]), (1, [2, 7, 9, 9], [0, 1, 0, 1]), (2, [2, 3], [0, 0]),
+                                (3, None, None)], "i int, ids array<int>, m array<int>")
+    table = {0: [9.0, 9.0], 2: [1.0, 0.0], 7: [0.0, 4.0], 3: [2.0, -1.0]}
+    got = {r.i: (r.f, r.c) for r in FE.pool_positions(
+        FE.pool_positions(df, "ids", table, 2, "f", mask="m"), "ids", table, 2, "c", "cls", mask="m").collect()}
+    assert got == {0: ([2.0, 4.0, 1.0, 1.0], [1.0, 0.0]), 1: ([0.0, 4.0, 0.0, 2.0], [0.0, 4.0]), 2: (None, None), 3: (None, None)}
+    fused = MD.domain_features(df, {"a": ("ids", table, 2), "external": ("ids", table, 2, "m")}).orderBy("i").first()
+    assert fused.features == [9.0, 9.0, 3.0, 3.0, 2.0, 4.0, 1.0, 1.0]
