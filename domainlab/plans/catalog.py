@@ -898,15 +898,15 @@ def q_feature_lookup(spark, sf):
 @query("feature_lookup_masked", _ENC_SQL + "," + f"""
 looked as (select year, label, domain, {O.pack_finetune_sql('ids', CHAR_L)} as p from enc),
 shown as (select year, label, domain, list_filter(p, lambda i: i <> 0 and i % 3 <> 1) as p from looked),
-dims as (select *, list_transform(p, lambda i: cast(least(i, 40) as double) / 8) as a,
+dims as (select *, list_transform(p, lambda i: cast(least(i, 40) as double) / 7) as a,
                 list_transform(p, lambda i: cast(i % 5 as double)) as b from shown)
 select year, label, domain, {_vt_sql("[list_max(a), list_max(b), list_avg(a), list_avg(b)]")} as features,
        {_vt_sql("[a[1], b[1]]")} as first from dims""")
 def q_feature_lookup_masked(spark, sf):
-    """D3 under an attention mask, as for the external branch, with the same fixed vectors;
+    """D3 under an attention mask, as for the external branch, with fixed vectors;
     the mask also hides every id of remainder 1 by 3."""
     d, v = _encoded(spark, sf)
-    table = {i: [min(i, 40) / 8, float(i % 5)] for i in v.id_to_token}
+    table = {i: [min(i, 40) / 7, float(i % 5)] for i in v.id_to_token}
     d = d.withColumn("p", EN.pack_finetune(EN.encode_char("domain", v), CHAR_L))
     d = d.withColumn("m", F.transform("p", lambda x: ((x != 0) & (x % 3 != 1)).cast("int")))
     for out, mode in (("features", "pool"), ("first", "cls")):
