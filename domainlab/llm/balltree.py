@@ -12,8 +12,8 @@ pair of rows becomes a Spark row unless it is among a shard's best k.
 
 Null vectors and vectors with null, NaN or infinite components take no part, nor do rows
 with a null id. Empty vectors score 0. Vectors of other lengths than the query's are no
-candidates. Rows with the query's own id are no candidates; repeated rows count once; an id
-with several vectors is several candidates and several queries. An empty table gives an
+candidates. Rows with the query's own id are no candidates; repeated rows each count as
+candidates and are one query; an id with several vectors is several queries. An empty table gives an
 empty result. Only the id and vector columns are read."""
 
 from __future__ import annotations
@@ -112,8 +112,9 @@ def _search_shard(k: int, vectors: pa.Table, queries: pa.Table) -> pa.Table:
     out = []
     if vectors.num_rows and queries.num_rows:
         x, ids = _matrix(vectors["v"], vectors.num_rows), vectors["vec_id"].to_numpy()
-        rows = np.unique(np.column_stack([ids, x]), axis=0)
-        ids, x = rows[:, 0], rows[:, 1:]
+        # an order that does not depend on how the rows came
+        order = np.lexsort((*x.T[::-1], ids))
+        ids, x = ids[order], x[order]
         q = _matrix(queries["v"], queries.num_rows)
         most = max(float(np.abs(x).max(initial=0)), 1.0) * max(float(np.abs(q).max(initial=0)), 1.0)
         # doubles are exact up to 2**53 and use the fast matrix product

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 # fixed values: HTML element classes
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -28,8 +29,11 @@ FENCE = frozenset("ul ol dl table".split())
 #: A quote opens a quoted value only right after '=', if it is closed at all; any other is a
 #: plain character. Possessive, so that no tag is gone over twice.
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)"
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)"
     r"((?:[\s/]|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>]*+))?+)*+)(?:>|\Z)", re.S)
+#: Raw text ends at its end tag, which may hold more than its name; templates may hold others.
+_RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for t in RAW}
+_TEMPLATE = re.compile(r"<(/?)template(?=[\s/>])[^>]*(?:>|\Z)", re.I)
 _ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _NAMED = ("class", "id", "role", "itemprop", "aria-label", "hidden", "aria-hidden", "style", "name")
 
@@ -71,6 +75,11 @@ def parse(page: str | None) -> list[Node]:
     stack: list[tuple[str, int]] = [("#root", 0)]
     run: list[str] = []
     state = [0, 0]  # open links, characters in links
+    # so that no end tag searches for what is not open: open blocks by tag, where they are in
+    # the stack, and of each the open inline elements in it
+    open_blocks: Counter = Counter()
+    blocks_at = [0]
+    open_inline: list[Counter] = [Counter()]
 
     def close_block() -> None:
         text = " ".join("".join(run).split()) if run else ""
@@ -90,15 +99,35 @@ def parse(page: str | None) -> list[Node]:
         """Closes the open elements from position k on."""
         if any(t not in INLINE for t, _ in stack[k:]):
             close_block()
-        state[0] -= sum(t == "a" for t, _ in stack[k:])
-        del stack[k:]
+        while len(stack) > k:
+            t, _ = stack.pop()
+            if t in INLINE:
+                open_inline[-1][t] -= 1
+                state[0] -= t == "a"
+            else:
+                open_blocks[t] -= 1
+                blocks_at.pop()
+                open_inline.pop()
+
+    def raw_end(tag: str, at: int) -> int:
+        """Where an element of raw text that begins at ``at`` ends."""
+        depth = 1
+        while tag == "template":
+            m = _TEMPLATE.search(page, at)
+            if m is None:
+                return len(page)
+            depth, at = depth + (-1 if m[1] else 1), m.end()
+            if not depth:
+                return at
+        m = _RAW_END[tag].search(page, at)
+        return m.end() if m else len(page)
 
     page = page or ""
-    at, silent = 0, ""
+    at = 0
     while True:
         m = _TOKEN.search(page, at)
         if m is None:
-            if at < len(page) and not silent:
+            if at < len(page):
                 add(page[at:])
             break
         if m.start() > at:
@@ -107,18 +136,15 @@ def parse(page: str | None) -> list[Node]:
         if m[2] is None:
             continue
         tag = m[2].lower()
-        if m[1]:  # a closing tag
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    pop_to(k)
-                    break
-                # an inline end tag does not reach out of its block
-                if tag in INLINE and stack[k][0] not in INLINE:
-                    break
+        if m[1]:  # a closing tag; an inline one does not reach out of its block
+            if open_inline[-1][tag] if tag in INLINE else open_blocks[tag]:
+                k = len(stack) - 1
+                while stack[k][0] != tag:
+                    k -= 1
+                pop_to(k)
             continue
         if tag in RAW:
-            end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
+            at = raw_end(tag, at)
             continue
         if tag == "br" or tag == "wbr":
             run.append(" ")
@@ -130,17 +156,14 @@ def parse(page: str | None) -> list[Node]:
         if tag in INLINE:
             if not m[0].endswith("/>"):
                 stack.append((tag, stack[-1][1]))
+                open_inline[-1][tag] += 1
                 state[0] += tag == "a"
             continue
         # a block: ends open paragraphs and what its kind ends
-        for k in range(len(stack) - 1, 0, -1):
-            t = stack[k][0]
-            if t == "p" or t in HEADINGS and tag in HEADINGS:
-                pop_to(k)
-                break
-            if t not in INLINE:
-                break
-        if tag in ENDS:
+        around = stack[blocks_at[-1]][0]
+        if around == "p" or around in HEADINGS and tag in HEADINGS:
+            pop_to(blocks_at[-1])
+        if tag in ENDS and any(open_blocks[t] for t in ENDS[tag]):
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] in FENCE:
                     break
@@ -152,6 +175,9 @@ def parse(page: str | None) -> list[Node]:
         up = stack[-1][1]
         nodes.append(Node(tag, attributes(m[3] or ""), up, nodes[up].depth + 1))
         if not m[0].endswith("/>"):
+            open_blocks[tag] += 1
+            blocks_at.append(len(stack))
+            open_inline.append(Counter())
             stack.append((tag, len(nodes) - 1))
     close_block()
     return nodes

@@ -132,7 +132,8 @@ class _Maker:
         opening = r.choice(_ARTICLE)
         out = []
         if r.random() < 0.8:
-            h = f"<{(t := r.choice(['h1', 'h1', 'h2']))}>{self.prose(r.randint(1, 12), True)}</{t}>"
+            title = self.link(r.randint(1, 12), True) if r.random() < 0.15 else self.prose(r.randint(1, 12), True)
+            h = f"<{(t := r.choice(['h1', 'h1', 'h2']))}>{title}</{t}>"
             out.append(h if r.random() < 0.85 else f"<header>{h}</header>")
         n = r.choice([0, 1, 1, 2, 3, 4, 6, 8, 12, 20])
         for k in range(n):
@@ -155,6 +156,11 @@ class _Maker:
                                                for _ in range(3)) + "</table>")
             elif kind < 0.93:
                 out.append(f"<pre>{self.prose(words, True)}</pre>")
+            elif kind < 0.96:
+                # paragraphs and lists that are links throughout: sources, further reading
+                out.append(r.choice([f"<p>{self.link(max(3, words // 4), True)}.</p>", f"<p>{self.link(max(3, words // 2), True)}</p>",
+                                     "<ul>" + "".join(f"<li>{self.link(r.randint(2, 9), True)}</li>" for _ in range(r.randint(2, 5))) + "</ul>",
+                                     "<ol>" + "".join(f"<li>{self.link(r.randint(2, 9), True)}</li>" for _ in range(r.randint(2, 5))) + "</ol>"]))
             else:
                 out.append(self.part(r.choice(["advert", "share", "notice", "form", "side"])))
         if r.random() < 0.1:
@@ -167,6 +173,9 @@ class _Maker:
 
     def page(self) -> str:
         r = self.r
+        if r.random() < 0.03:
+            # bare text
+            return r.choice(["", "<br>", "<html><body>"]) + self.prose(r.randint(5, 120), True)
         some = lambda kinds, p: [self.part(k) for k in kinds if r.random() < p]
         before = some(["notice"], 0.15) + some(["header"], 0.3) + some(["menu"], 0.75) + some(
             ["advert"], 0.5) + some(["form"], 0.1) + some(["hidden"], 0.05)

@@ -58,13 +58,14 @@ _TAGS = ("#root #text html body div section article main header footer nav aside
          "table tr td th blockquote pre figure figcaption address fieldset details summary dialog heading "
          "menu hgroup other").split()
 _INNER = frozenset(("article", "main", "section"))
+_OUTER = frozenset(("nav", "aside", "footer", "header", "form", "menu"))
 _LENGTH = [1, 20, 40, 80, 160, 400, 1000]
 _LINK = [0.0, 0.2, 0.5, 0.9]
 _MARK = [0.0, 0.5, 1.5, 4.5]
 FEATURES = ([f"tag:{t}" for t in _TAGS] + [f"hint:{h}" for h in HINTS]
             + [f"length:{k}" for k in range(len(_LENGTH) + 1)] + [f"link:{k}" for k in range(len(_LINK) + 1)]
             + [f"mark:{k}" for k in range(len(_MARK) + 1)] + [f"parent:{t}" for t in _TAGS]
-            + ["in:list", "only-links", "copyright", "last-tenth", "first-tenth",
+            + ["in:list", "only-links", "only-links:inner", "copyright", "last-tenth", "first-tenth",
                "header:inner", "header:outer"])
 _INDEX = {f: k for k, f in enumerate(FEATURES)}
 N_FEATURES = len(FEATURES)
@@ -92,7 +93,10 @@ def features(nodes: list[Node]) -> list[list[int]]:
             links[x.parent] += links[k]
             marks[x.parent] += marks[k]
     out, before, total = [], 0, max(1, size[0])
+    # is the nearest telling element around a node an article, or a part that goes with links
+    inner = [False] * n
     for k, x in enumerate(nodes):
+        inner[k] = x.tag in _INNER or x.tag not in _OUTER and x.parent >= 0 and inner[x.parent]
         tag = _tag(x)
         own = [_INDEX[f"tag:{tag}"], _INDEX[f"length:{np.searchsorted(_LENGTH, size[k], 'right')}"]]
         if size[k]:
@@ -101,6 +105,8 @@ def features(nodes: list[Node]) -> list[list[int]]:
             own.append(_INDEX[f"mark:{np.searchsorted(_MARK, marks[k], 'left')}"])
             if share >= 0.9:
                 own.append(_INDEX["only-links"])
+                if inner[k]:
+                    own.append(_INDEX["only-links:inner"])
         if x.parent >= 0:
             own.append(_INDEX[f"parent:{_tag(nodes[x.parent])}"])
         if tag == "header":
