@@ -359,8 +359,8 @@ def _classified(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame,
             .select("a", F.col("best.b").alias("b")))
 
     wanted = members.select("key").distinct()
-    whole = run.keep(keyed.select("key", "text").join(wanted, "key")
-                     .groupBy("key").agg(F.first("text").alias("text"))
+    # a text of each key, chosen before anything moves: copies of a text don't meet in a task
+    whole = run.keep(keyed.groupBy("key").agg(F.first("text").alias("text")).join(wanted, "key")
                      .mapInArrow(_with_units, "key binary, text string, small binary"), "whole")
     forest = run.keep(_links(best, whole), "stars")
     part = _roots(run, forest, "roots")
@@ -390,8 +390,12 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each class, with all columns: a row of the smallest id. Rows without
-    words all stay."""
+    """One row of each class, with all columns, whatever their names: a row of the smallest
+    id. Rows without words all stay."""
+    plain = [f"c{k}" for k in range(len(docs.columns))]
+    own = [F.col(p).alias(name) for p, name in zip(plain, docs.columns)]
+    id_col, text_col = (plain[docs.columns.index(c)] for c in (id_col, text_col))
+    docs = docs.toDF(*plain)
     rows, of = _classified(docs, id_col, text_col)
     # rows that stand for their class; only where they are several need any be dropped, so
     # that most texts are not dealt out again
@@ -405,4 +409,4 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     kept = j.where(F.col("_root").isNull() | (F.col(id_col).cast("long").eqNullSafe(F.col("_class")) & (F.col("_n") == 1)))
     chosen = (j.where(F.col(id_col).cast("long").eqNullSafe(F.col("_class")) & (F.col("_n") > 1))
               .dropDuplicates(["_root"]))
-    return kept.unionByName(chosen).select(*docs.columns)
+    return kept.unionByName(chosen).select(*own)

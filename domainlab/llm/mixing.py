@@ -69,20 +69,31 @@ def offset(source: Column, seed: int) -> Column:
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         source_col: str = "source", seed: int = SEED) -> DataFrame:
-    """The documents with a struct ``mix`` of size, source_size, target, copies, taken.
+    """The documents with a struct ``mix`` of size, source_size, target, copies, taken; a
+    column of that name in the documents is replaced."""
+    d, own = _mixed(docs, id_col, text_col, source_col, seed)
+    return d.select(*[c for c, name in zip(own, docs.columns) if name != "mix"], "mix")
+
+
+def _mixed(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int) -> tuple[DataFrame, list[Column]]:
+    """The documents under plain names, so that no column's name matters, with ``mix``; and
+    the documents' own columns.
 
     The place of a document in its source's order is the sum of three counts: documents
     of smaller size; of equal size in lower hash buckets; before it in its bucket. Only
     the last needs documents together, and a bucket is a small slice of one size of one
     source, however large the source or a group of copies is."""
-    d = docs.withColumn("_size", words(F.col(text_col))).withColumn("_hash", F.md5(F.concat(
+    plain = [f"c{k}" for k in range(len(docs.columns))]
+    own = [F.col(p).alias(name) for p, name in zip(plain, docs.columns)]
+    id_col, text_col, source_col = (plain[docs.columns.index(c)] for c in (id_col, text_col, source_col))
+    d = docs.toDF(*plain).withColumn("_size", words(F.col(text_col))).withColumn("_hash", F.md5(F.concat(
         F.lit(f"{seed}|"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))))
     # one plain key for null and named sources: the join and the window then share a shuffle
     d = d.withColumn("_source", F.concat(F.when(F.col(source_col).isNull(), "1").otherwise("0"),
                                          F.coalesce(F.col(source_col), F.lit(""))))
     d = d.withColumn("_bucket", F.substring("_hash", 1, 3))
     return _take(d.join(_places(d.select("_source", "_size", "_bucket")),
-                        ["_source", "_size", "_bucket"]), id_col, source_col, seed)
+                        ["_source", "_size", "_bucket"]), id_col, source_col, seed), own
 
 
 def _places(keys: DataFrame) -> DataFrame:
@@ -120,8 +131,9 @@ def _take(d: DataFrame, id_col: str, source_col: str, seed: int) -> DataFrame:
 
 def emit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
          source_col: str = "source", seed: int = SEED) -> DataFrame:
-    """The mix itself: each document as often as it is taken, with its own columns."""
-    d = mix(docs, id_col, text_col, source_col, seed)
+    """The mix itself: each document as often as it is taken, with its own columns, whatever
+    their names."""
+    d, own = _mixed(docs, id_col, text_col, source_col, seed)
     return (d.where("mix.copies > 0")
             .withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("mix.copies"))))
-            .select(*docs.columns))
+            .select(*own))

@@ -16,8 +16,10 @@ and a bucket in which one may fill is looked at again in finer buckets, and row
 it holds no more than ``ROW_BY_ROW`` rows.
 
 Null ids stand at one point of the ring and null texts count as no bytes; their rows
-overflow like any others. Priorities hash the id, the text and a row number that is fixed
-when the keys are written, so repeated rows and ties spread evenly. An empty table gives an
+overflow like any others. Priorities hash the id, the text's size and checksum and, among rows
+that agree in these, the row's number; as such rows are alike, it does not matter which has
+which number, so repeated rows spread evenly and any partitioning of the input gives the same
+result. An empty table gives an
 empty result. Only the id and text columns are read."""
 
 from __future__ import annotations
@@ -113,6 +115,21 @@ def _shard(arc: Column, priority: Column, ring: list[tuple[int, int]], cut: list
     return F.element_at(F.filter(own, lambda s: F.element_at(at, s + 1) > priority), 1)
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """Numbers rows that agree in id, size and checksum from 0 on, in ``_number``. They are
+    numbered within each input partition and shifted by the counts of the partitions before,
+    so a group of any size is never in one task."""
+    same = ["_id", "size", "text_crc32"]
+    inside = Window.partitionBy(*same, "_part").orderBy("_row")
+    earlier = Window.partitionBy(*same).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = (rows.groupBy(*same, "_part").agg(F.count(F.lit(1)).alias("_n"))
+              .withColumn("_shift", F.sum("_n").over(earlier)).where("_shift > 0")
+              .select(*[F.col(c).alias(f"_s{k}") for k, c in enumerate([*same, "_part"])], "_shift"))
+    on = [F.col(c).eqNullSafe(F.col(f"_s{k}")) for k, c in enumerate([*same, "_part"])]
+    return (rows.withColumn("_k", F.row_number().over(inside) - 1).join(shifts, on, "left")
+            .select(*same, (F.col("_k") + F.coalesce("_shift", F.lit(0))).alias("_number")))
+
+
 def assign(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text",
            nodes: int = NODES) -> DataFrame:
     """(id, size, text_crc32, shard, slot) per row. Texts are read once; the narrow keys
@@ -123,12 +140,13 @@ def assign(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: s
                        F.crc32(text).alias("text_crc32"))
     ring = points(spark, shards, nodes)
     place = F.pmod(F.xxhash64(F.lit("key"), F.col("_id")), F.lit(1 << 32))
-    h = F.xxhash64("_id", "size", "text_crc32", F.monotonically_increasing_id())
-    base = base.withColumn("arc", _arc(place, ring)).withColumn(
-        "priority", h.bitwiseAND(F.lit((1 << PRIORITY_BITS) - 1)))
+    h = F.xxhash64("_id", "size", "text_crc32", "_number")
     path = scratch_path(spark, "ring")
-    base.write.parquet(path)
-    keys = spark.read.parquet(path)
+    base.withColumns({"_part": F.spark_partition_id(), "_row": F.monotonically_increasing_id()}).write.parquet(f"{path}/rows")
+    numbered = _numbered(spark.read.parquet(f"{path}/rows"))
+    (numbered.withColumn("arc", _arc(place, ring)).withColumn("priority", h.bitwiseAND(F.lit((1 << PRIORITY_BITS) - 1)))
+     .drop("_number").write.parquet(f"{path}/keys"))
+    keys = spark.read.parquet(f"{path}/keys")
     n = keys.count()
     if not n:
         return _named(keys.withColumn("shard", F.lit(0)).withColumn("slot", F.lit(0).cast("long")), id_col)

@@ -116,6 +116,16 @@ def test_awkward_rows(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [1, 2, 3, 4, 6]
 
 
+def test_deduplicate_keeps_any_columns(spark):
+    ship_package(spark)
+    names = ["_key", "_root", "_class", "_n", "key", "c1"]
+    df = spark.createDataFrame([(1, "a b c", *"pqrstu"), (2, "a b c", *"vwxyza"), (3, "d", *"bcdefg")],
+                               "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    out = D.deduplicate(df)
+    assert out.columns == df.columns
+    assert sorted(map(tuple, out.collect())) == [(1, "a b c", *"pqrstu"), (3, "d", *"bcdefg")]
+
+
 def test_empty_table(spark):
     ship_package(spark)
     df = spark.createDataFrame([], "doc_id long, text string")
