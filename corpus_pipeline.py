@@ -2,7 +2,13 @@
 
 ``STAGES`` lists (name, function); each function takes (spark, docs, sf_dir) and returns a
 DataFrame that is written as Parquet and read again as the next one's docs. All but the
-last return the columns of documents."""
+last return the columns of documents, extra ones included, whatever their names.
+
+Null and empty texts have no words: the base rules of ``quality`` reject them, and where a
+stage meets them all the same they are no near duplicates, count as size 0 in ``mix`` and encode
+to no ids. Rows with a null id stay rows of their own; a class of near duplicates keeps one row
+of its smallest id, repeated rows included. Ties in ``mix`` go by hash and id. An empty table
+gives an empty result of the same columns. A text is handled whole, however long."""
 
 from __future__ import annotations
 
