@@ -16,7 +16,8 @@ applied to the table in order of rank, and the table is checkpointed. If more th
 
 Encoding is greedy longest-match-first per word with ``##`` continuations (a word
 with an unmatched piece, or longer than 100 characters, becomes ``[UNK]``). It is
-an Arrow-batched ``mapInPandas`` with the bounded vocabulary shipped once per worker. Each distinct white-space separated word of a batch is
+an Arrow-batched ``mapInPandas`` with the bounded vocabulary shipped once per worker; a
+word is matched in one pass over a trie with failure links. Each distinct white-space separated word of a batch is
 normalised, split and matched once, and the ids of recent words are kept in a bounded
 cache per task."""
 
@@ -227,35 +228,74 @@ def _words(s: str) -> list[str]:
     return _WORD.findall(s)
 
 
-def _encode_word(w: str, vocab: dict[str, int], unk: int) -> list[int]:
-    if len(w) > MAX_WORD_CHARS:
-        return [unk]
-    ids, start = [], 0
-    while start < len(w):
-        end, found = len(w), None
-        while start < end:
-            piece = w[start:end] if start == 0 else PREFIX + w[start:end]
-            if piece in vocab:
-                found = vocab[piece]
-                break
-            end -= 1
-        if found is None:
+class Pieces:
+    """Greedy longest match in one pass over a word: two tries, of the pieces that begin a word
+    and of those that go on in it, with failure links. Where the word leaves the trie at a
+    node, ``pops`` are the pieces that greedy matching has settled by then, and ``fail`` is the
+    node for what is left of the match; without one the word cannot be matched."""
+
+    def __init__(self, vocab: dict[str, int]):
+        self.child: list[dict[str, int]] = [{}, {}]   # the roots: 0 begins, 1 goes on
+        ends: dict[int, int] = {}
+        for token, i in vocab.items():
+            for root, piece in ((0, token), (1, token[len(PREFIX):] if token.startswith(PREFIX) else "")):
+                at = root
+                for c in piece:
+                    at = self.child[at].setdefault(c, len(self.child))
+                    if at == len(self.child):
+                        self.child.append({})
+                if piece:
+                    ends[at] = i
+        n = len(self.child)
+        self.fail: list[int | None] = [None] * n
+        self.pops: list[tuple[int, ...]] = [()] * n
+        level = [0, 1]
+        while level:
+            below = []
+            for u in level:
+                for c, v in self.child[u].items():
+                    below.append(v)
+                    if v in ends:
+                        self.fail[v], self.pops[v] = 1, (ends[v],)
+                        continue
+                    z, settled = self.fail[u], self.pops[u]
+                    while z is not None and c not in self.child[z]:
+                        settled, z = settled + self.pops[z], self.fail[z]
+                    if z is not None:
+                        self.fail[v], self.pops[v] = self.child[z][c], settled
+            level = below
+
+    def encode(self, w: str, unk: int) -> list[int]:
+        if len(w) > MAX_WORD_CHARS:
             return [unk]
-        ids.append(found)
-        start = end
-    return ids
-
-
-def encode_text(s: str | None, vocab: dict[str, int], unk: int,
+        ids: list[int] = []
+        at = 0
+        for c in w:
+            while c not in self.child[at]:
+                if self.fail[at] is None:
+                    return [unk]
+                ids += self.pops[at]
+                at = self.fail[at]
+            at = self.child[at][c]
+        while at > 1:
+            if self.fail[at] is None:
+                return [unk]
+            ids += self.pops[at]
+            at = self.fail[at]
+        return ids
+
+
+def encode_text(s: str | None, vocab: dict[str, int] | Pieces, unk: int,
                 cache: dict[str, list[int]] | None = None) -> list[int]:
     """Ids of one text (NULL: none). White space never joins words, so each part between
     white space is encoded by itself, and looked up in ``cache`` first."""
+    pieces = vocab if isinstance(vocab, Pieces) else Pieces(vocab)
     cache = {} if cache is None else cache
     out: list[int] = []
     for part in (s or "").split():
         ids = cache.get(part)
         if ids is None:
-            ids = [i for w in _words(_normalize(part)) for i in _encode_word(w, vocab, unk)]
+            ids = [i for w in _words(_normalize(part)) for i in pieces.encode(w, unk)]
             if len(cache) >= CACHE_WORDS:
                 cache.clear()
             if len(part) <= MAX_WORD_CHARS:
@@ -280,9 +320,9 @@ def wordpiece_encode(df: DataFrame, text: str, vocab: dict[str, int], out: str =
     schema = T.StructType(df.schema.fields + [T.StructField(out, T.ArrayType(T.IntegerType()))])
 
     def run(batches):
-        v, cache = bc.value, {}
+        pieces, cache = Pieces(bc.value), {}
         for pdf in batches:
-            pdf[out] = pd.Series([encode_text(x, v, unk, cache) for x in pdf[text]], index=pdf.index, dtype=object)
+            pdf[out] = pd.Series([encode_text(x, pieces, unk, cache) for x in pdf[text]], index=pdf.index, dtype=object)
             yield pdf
     return df.mapInPandas(run, schema)
 

@@ -99,3 +99,29 @@ def test_finetune_samples_hold_external_ids(spark):
         want += [0] * (L - len(want))
         assert r["ext_ids"] == " ".join(map(str, want)), r
         assert r["ext_mask"] == " ".join("1" if i else "0" for i in want)
+
+
+def test_one_pass_matching_equals_the_longest_match_first():
+    def greedy(w, vocab, unk):
+        ids, start = [], 0
+        while start < len(w):
+            for end in range(len(w), start, -1):
+                piece = w[start:end] if start == 0 else "##" + w[start:end]
+                if piece in vocab:
+                    ids.append(vocab[piece])
+                    start = end
+                    break
+            else:
+                return [unk]
+        return ids
+
+    rnd = random.Random(11)
+    for _ in range(300):
+        pieces = {("##" if rnd.random() < 0.6 else "") + "".join(rnd.choices("abc", k=rnd.randint(1, 6)))
+                  for _ in range(rnd.randint(1, 25))}
+        vocab = {p: k + 2 for k, p in enumerate(sorted(pieces))}
+        m = WP.Pieces(vocab)
+        for _ in range(60):
+            w = "".join(rnd.choices("abcd" if rnd.random() < 0.1 else "abc", k=rnd.randint(1, 30)))
+            assert m.encode(w, 1) == greedy(w, vocab, 1), (w, vocab)
+    assert m.encode("a" * 101, 1) == [1]
