@@ -58,16 +58,17 @@ def _step(s: Column, c: Column) -> Column:
     def with_digit(v):
         d, t, i = v["d"], v["t"], v["i"]
         size = (F.size(s["points"]) + 1).cast("bigint")
-        more = _state(ok=(d >= 0) & (i < MOST) & (s["w"] < MOST), i=i, n=s["n"], bias=s["bias"],
+        more = _state(ok=(i < MOST) & (s["w"] < MOST), i=i, n=s["n"], bias=s["bias"],
                       w=s["w"] * (BASE - t), k=s["k"] + BASE, start=s["start"], points=s["points"])
 
         def inserted(p):
-            return _state(ok=(d >= 0) & (p["n"] <= 0x10FFFF) & ~p["n"].between(0xD800, 0xDFFF), i=p["at"] + 1, n=p["n"],
+            return _state(ok=(p["n"] <= 0x10FFFF) & ~p["n"].between(0xD800, 0xDFFF), i=p["at"] + 1, n=p["n"],
                           bias=_adapt(i - s["start"], size, s["start"] == 0), w=F.lit(1), k=F.lit(BASE), start=p["at"] + 1,
                           points=F.concat(F.slice(s["points"], F.lit(1), p["at"].cast("int")), F.array(p["n"]),
                                           F.slice(s["points"], (p["at"] + 1).cast("int"), size.cast("int"))))
         done = _let(F.struct((s["n"] + _floor(i, size)).alias("n"), (i % size).alias("at")), inserted)
-        return F.when(d < t, done).otherwise(more)
+        dead = s.withField("ok", F.lit(False))
+        return F.when(d < 0, dead).when(d < t, done).otherwise(more)
     return F.when(~s["ok"], s).otherwise(
         _let(F.struct(digit.alias("d"), t.alias("t"), (s["i"] + digit * s["w"]).alias("i")), with_digit))
 
@@ -84,12 +85,12 @@ def decode_label(label) -> Column:
     first = _state(ok=F.lit(True), i=F.lit(0), n=F.lit(FIRST_POINT), bias=F.lit(FIRST_BIAS), w=F.lit(1), k=F.lit(BASE),
                    start=F.lit(0), points=points)
     end = F.aggregate(F.filter(F.split(rest, ""), lambda x: x != ""), first, _step)
-    code = F.array_join(F.transform(end["points"], lambda p: F.lpad(F.hex(p), 8, "0")), "")
-    text = F.decode(F.unhex(code), "UTF-32")
     whole = (rest != "") & c.rlike(r"^xn--[\x00-\x7f]*$")
+
+    def text(points):   # only of points in range: others cannot be decoded
+        return F.decode(F.unhex(F.array_join(F.transform(points, lambda p: F.lpad(F.hex(p), 8, "0")), "")), "UTF-32")
     return F.when(c.startswith(ACE) & whole, _let(
-        F.struct(end["ok"].alias("ok"), end["k"].alias("k"), text.alias("text")),
-        lambda r: F.when(r["ok"] & (r["k"] == BASE), r["text"]).otherwise(c))).otherwise(c)
+        end, lambda r: F.when(r["ok"] & (r["k"] == BASE), text(r["points"])).otherwise(c))).otherwise(c)
 
 
 def native_labels(labels) -> Column:

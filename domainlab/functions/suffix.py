@@ -138,59 +138,76 @@ class SuffixIndex:
 
 
 _HOST = r"^(?:(?:[A-Za-z0-9+.\-]*:)?//)?(?:[^/?#]*@)?([^/?#:]*)"
+#: Names that are their own host: these characters alone, no dot at the end.
+_BARE = r"^[A-Za-z0-9._-]*+(?<!\.)\z"
 
 
 def lookup_host(domain) -> Column:
     """Host part used for the lookup: scheme, path, query, fragment, user-info and
     port removed, ideographic full stops mapped to '.', whitespace and trailing root
-    dots stripped. Bare names (the common case) only pay for one regex."""
-    d = F.translate(to_col(domain), "\u3002\uff0e\uff61", "...")
+    dots stripped. Bare names (the common case) only pay for one short pattern."""
+    raw = to_col(domain)
+    d = F.translate(raw, "\u3002\uff0e\uff61", "...")
     d = F.regexp_extract(d, _HOST, 1)
-    return F.regexp_replace(d, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f.]+$", "")
+    return F.when(raw.rlike(_BARE), raw).otherwise(
+        F.regexp_replace(d, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f.]+$", ""))
+
+
+def _labels(host, count) -> Column:
+    """The first ``count`` labels of a host as text, or the last ones if it is negative."""
+    return F.call_function("substring_index", to_col(host), F.lit("."), count if isinstance(count, Column) else F.lit(count))
 
 
 def probe(df: DataFrame, host: Column, index: SuffixIndex, tag: str = "_sx",
           active: Column | None = None) -> DataFrame:
-    """Add ``{tag}_labels`` and ``{tag}_n`` plus suffix label counts for both modes,
-    ``{tag}_s_all`` and ``{tag}_s_icann``, with one broadcast join per depth.
+    """Add ``{tag}_host`` and ``{tag}_n`` (its labels) plus suffix label counts for both modes,
+    ``{tag}_s_all`` and ``{tag}_s_icann``, with one broadcast join per depth. What several
+    steps need is a column of its own, so that it is computed once per row; labels are cut
+    out of the text, no array is built.
 
     ``active`` (optional) marks rows that need a lookup; others probe with NULL."""
-    lab, n = f"{tag}_labels", f"{tag}_n"
-    df = df.withColumn(lab, F.split(host, r"\.", -1)).withColumn(n, F.size(lab))
-    keys = f"{tag}_keys"
-    low = F.lower(host)
-    written = F.split(low, r"\.", -1)
-    df = df.withColumn(keys, F.when(low.contains(PC.ACE), PC.native_labels(written)).otherwise(written))
+    h, n, keys = f"{tag}_host", f"{tag}_n", f"{tag}_keys"
+    df = df.withColumn(h, host).withColumn(n, F.size(F.split(h, r"\.", -1)))
+    low = F.lower(h)
+    df = df.withColumn(keys, F.when(low.contains(PC.ACE), F.array_join(PC.native_labels(F.split(low, r"\.", -1)), "."))
+                       .otherwise(low))
     K = index.depth
     flags_cols = []
     for k in range(1, K + 1):
         ck = f"{tag}_c{k}"
-        cand = F.when(F.col(n) >= k, F.array_join(F.slice(F.col(keys), F.col(n) - k + 1, F.lit(k)), "."))
-        if active is not None:
-            cand = F.when(active, cand)
-        df = df.withColumn(ck, cand)
+        wanted = F.col(n) >= k
+        df = df.withColumn(ck, F.when(wanted if active is None else wanted & active, _labels(keys, -k)))
         right = F.broadcast(index.lookup.select(F.col("key").alias(f"{tag}_k{k}"),
                                                 F.col("flags").alias(f"{tag}_f{k}")))
         df = df.join(right, F.col(ck) == F.col(f"{tag}_k{k}"), "left").drop(ck, f"{tag}_k{k}")
         flags_cols.append(F.coalesce(F.col(f"{tag}_f{k}"), F.lit(0)))
+    ip = (F.col(n) == 4) & F.col(h).rlike(_IPV4)
     for name, shift in (("all", ALL_MODE), ("icann", ICANN_MODE)):
-        df = df.withColumn(f"{tag}_s_{name}", _walk(flags_cols, F.col(n), shift))
-    ip = (F.col(n) == 4) & F.array_join(F.col(lab), ".").rlike(_IPV4)
-    for name in ("all", "icann"):
-        df = df.withColumn(f"{tag}_s_{name}", F.when(ip, F.lit(0)).otherwise(F.col(f"{tag}_s_{name}")))
+        m = f"{tag}_m_{name}"
+        df = df.withColumn(m, _first_outside(flags_cols, shift))
+        df = df.withColumn(f"{tag}_s_{name}", F.when(ip, F.lit(0)).otherwise(
+            _walk(flags_cols, F.col(m), F.col(n), shift))).drop(m)
     return df.drop(keys, *[f"{tag}_f{k}" for k in range(1, K + 1)])
 
 
-def _walk(flags: list[Column], n: Column, shift: int) -> Column:
+def _has(flags: list[Column], k: int, bit: int, shift: int) -> Column:   # k is 1-based
+    return flags[k - 1].bitwiseAND(bit << shift) != 0
+
+
+def _first_outside(flags: list[Column], shift: int) -> Column:
+    """The first depth whose candidate is not a trie node (K + 1 when all are)."""
+    m = F.lit(len(flags) + 1)
+    for k in range(len(flags), 0, -1):
+        m = F.when(~_has(flags, k, NODE, shift), F.lit(k)).otherwise(m)
+    return m
+
+
+def _walk(flags: list[Column], m: Column, n: Column, shift: int) -> Column:
     K = len(flags)
 
-    def has(k: int, bit: int) -> Column:  # k is 1-based
-        return flags[k - 1].bitwiseAND(bit << shift) != 0
+    def has(k: int, bit: int) -> Column:
+        return _has(flags, k, bit, shift)
 
-    # m = first depth whose candidate is not a trie node (K+1 when all are)
-    m = F.lit(K + 1)
-    for k in range(K, 0, -1):
-        m = F.when(~has(k, NODE), F.lit(k)).otherwise(m)
     # longest rule end strictly above m
     best = F.lit(0)
     for k in range(1, K + 1):
@@ -206,12 +223,11 @@ def _walk(flags: list[Column], n: Column, shift: int) -> Column:
             .otherwise(best)).cast("int")
 
 
-def _parts(labels: Column, n: Column, s: Column):
-    """(subdomain, domain, suffix labels) for a suffix of ``s`` labels."""
-    sub = F.array_join(F.slice(labels, F.lit(1), F.greatest(n - s - 1, F.lit(0))), ".")
-    dom = F.when(n - s >= 1, F.element_at(labels, F.greatest(n - s, F.lit(1)))).otherwise(F.lit(""))
-    suf = F.slice(labels, n - s + 1, s)
-    return sub, dom, suf
+def _parts(host: Column, n: Column, s: Column):
+    """(subdomain, domain, suffix) for a suffix of ``s`` labels."""
+    sub = _labels(host, F.greatest(n - s - 1, F.lit(0)))
+    dom = F.when(n - s >= 1, _labels(_labels(host, F.greatest(n - s, F.lit(1))), -1)).otherwise(F.lit(""))
+    return sub, dom, _labels(host, -s)
 
 
 def _prefix(sub: Column, dom: Column) -> Column:
@@ -224,10 +240,19 @@ def bracket(prefix: Column, suffix_labels: Column, keep_empty: bool = False) ->
     return F.concat(prefix, F.array_join(F.transform(parts, lambda p: F.concat(F.lit("[."), p, F.lit("]"))), ""))
 
 
+def bracket_text(prefix: Column, suffix: Column, any_label: Column, keep_empty: bool = False) -> Column:
+    """:func:`bracket` of a suffix given as text, of no label unless ``any_label``."""
+    whole = F.concat(prefix, F.lit("[."), F.replace(suffix, F.lit("."), F.lit("][.")), F.lit("]"))
+    if not keep_empty:
+        gaps = F.concat(F.lit("."), suffix, F.lit(".")).contains("..")
+        whole = F.when(gaps, bracket(prefix, F.split(suffix, r"\.", -1))).otherwise(whole)
+    return F.when(any_label, whole).otherwise(prefix)
+
+
 def processed(tag: str, mode: str, keep_empty: bool = False) -> Column:
-    labels, n, s = F.col(f"{tag}_labels"), F.col(f"{tag}_n"), F.col(f"{tag}_s_{mode}")
-    sub, dom, suf = _parts(labels, n, s)
-    return bracket(_prefix(sub, dom), suf, keep_empty)
+    host, n, s = F.col(f"{tag}_host"), F.col(f"{tag}_n"), F.col(f"{tag}_s_{mode}")
+    sub, dom, suf = _parts(host, n, s)
+    return bracket_text(_prefix(sub, dom), suf, s > 0, keep_empty)
 
 
 def split_suffix(df: DataFrame, domain: str, index: SuffixIndex, private: bool = True,
@@ -235,17 +260,38 @@ def split_suffix(df: DataFrame, domain: str, index: SuffixIndex, private: bool =
     """struct<subdomain, domain, suffix> column ``out``."""
     tag = "_sx"
     df = probe(df, lookup_host(F.col(domain)), index, tag)
-    labels, n = F.col(f"{tag}_labels"), F.col(f"{tag}_n")
     s = F.col(f"{tag}_s_{'all' if private else 'icann'}")
-    sub, dom, suf = _parts(labels, n, s)
+    sub, dom, suf = _parts(F.col(f"{tag}_host"), F.col(f"{tag}_n"), s)
     res = F.when(F.col(domain).isNull(), F.lit(None)).otherwise(
-        F.struct(sub.alias("subdomain"), dom.alias("domain"), F.array_join(suf, ".").alias("suffix")))
+        F.struct(sub.alias("subdomain"), dom.alias("domain"), suf.alias("suffix")))
     return df.withColumn(out, res).drop(*[c for c in df.columns if c.startswith(tag)])
 
 
 def _normalized(domain) -> Column:
     d = F.lower(to_col(domain))
-    return F.regexp_replace(d, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+    return F.when(d.rlike(_BARE), d).otherwise(F.regexp_replace(d, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", ""))
+
+
+def _wrapped(df: DataFrame, raw: Column, tag: str, out: str) -> DataFrame:
+    """T3 from a probe's columns and ``{tag}_d``, the normalised name."""
+    d, r_all, r_icann = (F.col(f"{tag}_{c}") for c in ("d", "r_all", "r_icann"))
+    first, dotted = _labels(d, 1), d.contains(".")
+    rest = F.call_function("substring", d, F.length(first) + 2)
+    two = F.col(f"{tag}_two")
+    df = df.withColumns({f"{tag}_r_all": F.when(~two, processed(tag, "all")),
+                         f"{tag}_r_icann": F.when(~two, processed(tag, "icann"))})
+    res = (F.when(raw.isNull() | (raw == ""), raw)
+           .when(two, F.concat(first, F.lit("[."), rest, F.lit("]")))
+           .when(~r_all.startswith("["), r_all)
+           .when(~r_icann.startswith("["), r_icann)
+           .otherwise(bracket_text(first, rest, dotted)))
+    return df.withColumn(out, res)
+
+
+def _with_normalized(df: DataFrame, raw: Column, tag: str) -> DataFrame:
+    """Add ``{tag}_d`` and whether it has two parts, ``{tag}_two``."""
+    df = df.withColumn(f"{tag}_d", _normalized(raw))
+    return df.withColumn(f"{tag}_two", F.size(F.split(f"{tag}_d", r"\.", -1)) == 2)
 
 
 def wrap_tld(df: DataFrame, domain: str, index: SuffixIndex, out: str | None = None) -> DataFrame:
@@ -255,20 +301,10 @@ def wrap_tld(df: DataFrame, domain: str, index: SuffixIndex, out: str | None = N
     and all later non-empty labels are wrapped. NULL and '' pass unchanged."""
     out = out or domain
     tag = "_wt"
-    d = _normalized(domain)
-    parts = F.split(d, r"\.", -1)
-    two = F.size(parts) == 2
-    df = probe(df, lookup_host(d), index, tag, active=~two)
-    r_all = processed(tag, "all")
-    r_icann = processed(tag, "icann")
-    promoted = bracket(F.element_at(parts, 1), F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))))
-    res = (F.when(to_col(domain).isNull() | (to_col(domain) == ""), to_col(domain))
-           .when(two, F.concat(F.element_at(parts, 1), F.lit("[."), F.element_at(parts, 2), F.lit("]")))
-           .when(~r_all.startswith("["), r_all)
-           .when(~r_icann.startswith("["), r_icann)
-           .otherwise(promoted))
-    return df.withColumn(out, res).drop(*[c for c in df.columns if c.startswith(tag)] +
-                                        [f"{tag}_labels", f"{tag}_n", f"{tag}_s_all", f"{tag}_s_icann"])
+    df = _with_normalized(df, F.col(domain), tag)
+    df = probe(df, lookup_host(F.col(f"{tag}_d")), index, tag, active=~F.col(f"{tag}_two"))
+    df = _wrapped(df, F.col(domain), tag, out)
+    return df.drop(*[c for c in df.columns if c.startswith(tag)])
 
 
 def wrap_pair(df: DataFrame, domain: str, index: SuffixIndex, v1_out: str, v2_out: str) -> DataFrame:
@@ -277,17 +313,8 @@ def wrap_pair(df: DataFrame, domain: str, index: SuffixIndex, v1_out: str, v2_ou
     suffix label wrapped), ``v2_out`` = :func:`wrap_tld`."""
     tag = "_wp"
     raw = F.col(domain)
-    d = _normalized(raw)
-    parts = F.split(d, r"\.", -1)
-    df = probe(df, lookup_host(raw), index, tag)
+    df = probe(_with_normalized(df, raw, tag), lookup_host(raw), index, tag)
     v1 = F.when(raw.isNull() | (raw == ""), raw).otherwise(processed(tag, "all", keep_empty=True))
-    two = F.size(parts) == 2
-    r_all, r_icann = processed(tag, "all"), processed(tag, "icann")
-    promoted = bracket(F.element_at(parts, 1), F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))))
-    v2 = (F.when(raw.isNull() | (raw == ""), raw)
-          .when(two, F.concat(F.element_at(parts, 1), F.lit("[."), F.element_at(parts, 2), F.lit("]")))
-          .when(~r_all.startswith("["), r_all)
-          .when(~r_icann.startswith("["), r_icann)
-          .otherwise(promoted))
-    df = df.withColumn(v1_out, v1).withColumn(v2_out, v2)
+    df = _wrapped(df.withColumn(f"{tag}_v1", v1), raw, tag, f"{tag}_v2")
+    df = df.withColumn(v1_out, F.col(f"{tag}_v1")).withColumn(v2_out, F.col(f"{tag}_v2"))
     return df.drop(*[c for c in df.columns if c.startswith(tag)])

@@ -42,7 +42,8 @@ PREFIX = "##"
 MAX_WORD_CHARS = 100
 MAX_VOCAB = 200_000
 CACHE_WORDS = 200_000
-MAX_SEGMENTS = 200_000
+MAX_SEGMENTS = 100_000
+MAX_PAIRS = 60_000   # what one round ranks on the driver; more rounds, the same merges
 
 
 def initial_symbols(word) -> Column:
@@ -204,7 +205,7 @@ def train_wordpiece(word_counts: DataFrame, vocab_size: int, min_frequency: int
             known.add(m)
         rounds += 1
         if len(segments) <= max_segments // 4:
-            top_k = max(2 * top_k, 1)
+            top_k = min(max(2 * top_k, 1), MAX_PAIRS)
         if len(tokens) < vocab_size:
             words = _apply(words, merges).checkpoint(eager=True)
     kinds = ["special" if i < len(specials) else "alphabet" if i < len(specials) + len(alphabet) else "merge"

@@ -985,6 +985,76 @@ def q_epoch_batches(spark, sf):
     return TL.batch_ids(x, ["_o", "domain", "year", "label"], 128, ["epoch"]).drop("_o")
 
 
+from domainlab.operators import permute as PM  # noqa: E402
+
+EPOCHS = (0, 1)
+
+
+def _permuted_sql() -> str:
+    """The permutation in SQL: numbers by one sort, then the rounds as columns that build on one
+    another; numbers beyond the rows go round again."""
+    p = PM.PRIME
+    keys = {e: PM.round_keys(EPOCH_SEED, e) for e in EPOCHS}
+    names = [f"k{i}, m{i}, c{i}" for i in range(PM.ROUNDS)]
+    values = ", ".join(f"({e}, {', '.join(str(x) for k in ks for x in k)})" for e, ks in keys.items())
+    steps = ["x // b as l0", "x % b as r0"]
+    for i in range(PM.ROUNDS):
+        here, other, size = ("l", "r", "a") if i % 2 == 0 else ("r", "l", "b")
+        steps += [f"({other}{i} + k{i}) % {p} as t{i}",
+                  f"({here}{i} + (t{i} * t{i} % {p} * m{i} + c{i}) % {p}) % {size} as {here}{i + 1}",
+                  f"{other}{i} as {other}{i + 1}"]
+
+    def once(source: str) -> str:
+        return (f"select epoch, x0, l{PM.ROUNDS} * b + r{PM.ROUNDS} as x from (select epoch, x0, b, {', '.join(steps)} "
+                f"from {source} join keys using (epoch), dims) t")
+    return O.with_(O.PREPARED, """
+kept as (select distinct domain, year, label from domains where year between 2017 and 2019)""", """
+numbered as (
+  select *, row_number() over (order by md5(concat_ws(chr(31), domain, cast(year as varchar), cast(label as varchar))),
+                                        domain, year, label) - 1 as x0 from kept)""", """
+dims as (select n, a, greatest(cast(ceil(n / a) as bigint), 1) as b
+         from (select n, greatest(cast(ceil(sqrt(n)) as bigint), 1) as a from (select count(*) as n from kept)))""", f"""
+keys(epoch, {', '.join(names)}) as (values {values})""", f"""
+walk as ({once("(select epoch, x0, x0 as x from numbered, (select epoch from keys))")}
+  union all
+  {once("(select walk.* from walk, dims where x >= n)")})""").replace("with ", "with recursive ", 1) + """
+select domain, year, label, epoch, x as place, x // 128 as batch_id
+from walk join numbered using (x0) where x < (select n from dims)"""
+
+
+@query("epoch_permuted", _permuted_sql())
+def q_epoch_permuted(spark, sf):
+    """O4 + W4 without a sort per epoch: the training rows are numbered and written once; each
+    epoch is a narrow pass in which a row computes its place and batch."""
+    d = domains(spark, sf).where(F.col("year").between(2017, 2019)).select("domain", "year", "label").distinct()
+    rows = _written(PM.number_rows(d, ["domain", "year", "label"]), "numbered")
+    n, out = rows.count(), None
+    for e in EPOCHS:
+        x = PM.permuted(PM.epoch_batches(rows, "row_no", n, EPOCH_SEED, e), "row_no", n, EPOCH_SEED, e)
+        x = x.select("domain", "year", "label", "epoch", "place", "batch_id")
+        out = x if out is None else out.unionByName(x)
+    return out
+
+
+from domainlab.operators import resume as RS  # noqa: E402
+
+
+@query("split_resumed", _SPLIT_SQL + """
+select year, label, split, count(*) as rows, case when year <= 2020 then 'first' else 'second' end as run
+from splits group by year, label, split""")
+def q_split_resumed(spark, sf):
+    """S6 taken up again: a run over the years to 2020, a run over all years that writes the
+    others alone, and a third that finds nothing to do; rows as they lie, and who wrote them."""
+    rows = _splits(spark, sf)
+    path = scratch_path(spark, "resumed")
+    parts = _written(rows.select(*RS.PARTITION_BY).distinct(), "partitions")
+    RS.write_resumable(rows, path, "first", wanted=parts.where("year <= 2020"))
+    for run in ("second", "third"):
+        RS.write_resumable(rows, path, run, wanted=parts)
+    here = RS.lying(spark, path, rows.schema)
+    return here.join(RS.manifest(spark, path, rows.schema), [*RS.PARTITION_BY, "rows"], "left")
+
+
 @query("wordpiece_vocab_basic")
 def q_wordpiece_vocab_basic(spark, sf):
     """V6: the older variant, five specials and no TLD tokens."""

@@ -64,7 +64,8 @@ def test_punycode_labels(spark):
     words = ["рф", "香港", "個人", "中国", "公司", "bücher", "münchen-ost", "ελλάς", "ไทย", "भारत", "السعودية", "한국", "ößñ",
              "ゝゞ", "a中b国c", "😀", "中" * 30, "zażółć-gęślą-jaźń", "\U00010400\U0010ffff"]
     ace = ["xn--" + w.encode("punycode").decode() for w in words]
-    odd = ["xn--", "xn--abc-", "xn---", "xn--p1a!", "xn--99999999", "xn--zzzzzzzzzzzzzzzzzzzz", "xn--ф", "com", "", "xn-p1ai"]
+    odd = ["xn--", "xn--abc-", "xn---", "xn--p1a!", "xn--99999999", "xn--zzzzzzzzzzzzzzzzzzzz", "xn--ф", "com", "", "xn-p1ai",
+           "xn--p1ai\x1cx-1[\n", "xn--a-!!!b", "xn--" + "\ud800".encode("punycode").decode(), "xn--ab-99999b"]
     df = spark.createDataFrame(list(enumerate(ace + odd)), "i int, l string")
     got = [r[0] for r in df.select("i", PC.decode_label("l").alias("d")).orderBy("i").select("d").collect()]
     assert got == words + odd
