@@ -82,7 +82,7 @@ def test_registered_vocabulary_is_not_cut(spark):
     v = catalog.QUERIES["wordpiece_vocab_basic"](spark, "/root/testdata/sf0.001")
     tokens = [r.token for r in v.orderBy("id").collect()]
     assert len(tokens) == len(set(tokens))
-    counts = {r["word"]: r["count"] for r in catalog._word_counts(spark, "/root/testdata/sf0.001").collect()}
+    counts = {r["word"]: r["count"] for r in catalog._word_counts(catalog._splits(spark, "/root/testdata/sf0.001")).collect()}
     assert tokens == _serial(counts, 32_393, 2, tokens[:5])
 
 
@@ -90,7 +90,7 @@ def test_finetune_samples_hold_external_ids(spark):
     """M5: [CLS], the name without brackets, [SEP], padding; the mask marks all but padding."""
     from domainlab.plans import catalog
     sf, L = "/root/testdata/sf0.001", catalog.SUBWORD_L
-    vocab = WP.vocab_dict(catalog._subword_vocab(spark, sf))
+    vocab = WP.vocab_dict(catalog._subword_vocab(catalog._splits(spark, sf)))
     rows = catalog.QUERIES["finetune_samples"](spark, sf).limit(50).collect()
     assert rows
     for r in rows:
