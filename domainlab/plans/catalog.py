@@ -1060,3 +1060,110 @@ def q_wordpiece_vocab_basic(spark, sf):
     """V6: the older variant, five specials and no TLD tokens."""
     return WP.train_wordpiece(_word_counts(_splits(spark, sf)), WP_VOCAB_SIZE, WP_MIN_FREQ,
                               specials=["[PAD]", "[UNK]", "[CLS]", "[SEP]", "[MASK]"])
+
+
+# ---------------------------------------------------------------- A2/A3 on buckets, J2/D3 of any size, D4/W1, ST1
+from domainlab.operators import bucketed as BK  # noqa: E402
+from domainlab.operators import lookup as LK  # noqa: E402
+from domainlab.plans import head as HD  # noqa: E402
+from domainlab.streaming import prepare as ST  # noqa: E402
+
+
+def _named_sql() -> str:
+    each = [f"select distinct '{name}' as name, domain, label from splits where year in ({', '.join(map(str, years))}) "
+            f"and split in ({', '.join(repr(x) for x in kinds)})" for name, (years, kinds) in BK.NAMED_SPLITS.items()]
+    return _SPLIT_SQL + " union all ".join(each)
+
+
+@query("assemble_named", _named_sql())
+def q_assemble_named(spark, sf):
+    """A2/A3: all nine named splits, distinct, from one pass over the table bucketed by domain."""
+    path = scratch_path(spark, "bucketed")
+    table = path.rsplit("/", 1)[1].replace("-", "_")
+    BK.write_bucketed(_splits(spark, sf), table, path)
+    return BK.all_named_splits(spark, table)
+
+
+@query("encode_char_joined", ORACLE["encode_char"])
+def q_encode_char_joined(spark, sf):
+    """K1 the way it goes for vocabularies beyond the lookup's bound."""
+    d = _prepared(spark, sf)
+    e = LK.encode_char(d, "domain", _char_vocab(_labelled(d)), "ids", bound=0)
+    return e.select("year", "label", "domain", ids_text("ids").alias("ids"))
+
+
+@query("feature_lookup_joined", ORACLE["feature_lookup"])
+def q_feature_lookup_joined(spark, sf):
+    """D3 the way it goes for vector tables beyond the lookup's bound, with the fixed vectors
+    of ``feature_lookup``."""
+    d, v = _encoded(spark, sf)
+    ids = spark.range(max(v.id_to_token) + 1).select(F.col("id").cast("int").alias("id"))
+    vectors = ids.select("id", F.array(F.least("id", F.lit(40)) / 8, (F.col("id") % 5).cast("double")).alias("vector"))
+    d = d.withColumn("p", EN.pack_finetune(EN.encode_char("domain", v), CHAR_L))
+    f = LK.pool_positions(d, "p", vectors, 2, "features", bound=0)
+    return f.select("year", "label", "domain", FE.vec_text("features").alias("features"))
+
+
+HEAD_STEPS, HEAD_INTERVAL = 30, 10
+
+
+def _head_rows(spark, sf):
+    """All prepared names with their pooled character features, written: ``fold`` is train or
+    val within the training years, test after them."""
+    p = _written(domains(spark, sf).select("year", "label", "domain", "family"), "domains")
+    s = _labelled(p)
+    v = EN.Vocab.from_table(_char_vocab(s))
+    seq = s.withColumn("char", EN.pack_finetune(EN.encode_char("domain", v), CHAR_L))
+    early = F.col("year").isin(*TRAIN_YEARS)
+    fold = F.when(~early, F.lit("test")).when(F.col("split") == "val", F.lit(HD.VAL)).otherwise(F.lit(HD.TRAIN))
+    seq = _written(seq.select("year", "label", "domain", "family", fold.alias("fold"), "char"), "sequences")
+    vectors = MD.vector_table(MD.token_vectors(seq.where(F.col("fold") == HD.TRAIN), "char", W2V_DIM))
+    f = MD.domain_features(seq, {"char": ("char", vectors, W2V_DIM)})
+    return _written(f.select("year", "label", "family", "fold", F.col("features").cast("array<float>").alias("features")),
+                    "features")
+
+
+@query("head_log")
+def q_head_log(spark, sf):
+    """The log of a fit of the two-layer head: each step's training and
+    validation loss, the mean of its interval, and whether it became the best checkpoint."""
+    log = HD.fit_head(_head_rows(spark, sf).where(F.col("fold") != "test"), steps=HEAD_STEPS).log_frame(spark)
+    best = TL.best_checkpoints(log.where(F.col("task") == HD.VAL)).select("run", "step", "task", F.lit(True).alias("best"))
+    mean = TL.interval_loss(log, HEAD_INTERVAL).select("run", "task", "interval", "mean_loss")
+    at = F.floor((F.col("step") - 1) / HEAD_INTERVAL).cast("long")
+    return (log.withColumn("interval", at).join(mean, ["run", "task", "interval"], "left")
+            .join(best, ["run", "step", "task"], "left")
+            .select("run", "step", "task", F.round("loss", 6).alias("loss"), "interval",
+                    F.round("mean_loss", 6).alias("mean_loss"), F.coalesce("best", F.lit(False)).alias("best")))
+
+
+@query("head_by_family")
+def q_head_by_family(spark, sf):
+    """Names of the later years scored by the best step of the fit, metrics by
+    family and over all."""
+    rows = _head_rows(spark, sf)
+    best = HD.fit_head(rows.where(F.col("fold") != "test"), steps=HEAD_STEPS).best
+    scored = HD.score(rows.where(F.col("fold") == "test"), best.logits)
+    return MX.metrics_by(scored, "family", overall=True)
+
+
+STREAM_EVERY, STREAM_DELAY = "1 day", "1 hour"
+
+
+@query("stream_dedup", """
+with w as (select *, time_bucket(interval '1 day', ts, timestamp '1970-01-01') as window_start from events where ts is not null),
+r as (select *, row_number() over (partition by window_start, user_id, event_type order by event_id) as rn from w)
+select window_start, user_id, event_type, event_id, value from r
+where rn = 1 and window_start + interval '1 day' <= (select max(ts) from events) - interval '1 hour'""")
+def q_stream_dedup(spark, sf):
+    """ST1 with state: the smallest event of each day, user and type, from a stream over the
+    events; days that the watermark has not closed are still open and not in it."""
+    path = f"{sf.rstrip('/')}/events.parquet"
+    events = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    zero = "timestamp_ntz'1970-01-01'"   # event times have no zone: read as UTC, whatever the session's
+    src = events.select("user_id", "event_type", "event_id", "value",
+                        F.timestamp_micros(F.expr(f"timestampdiff(microsecond, {zero}, ts)")).alias("ts"))
+    sink, ck = scratch_path(spark, "stream"), scratch_path(spark, "stream-state")
+    ST.run_dedup(src, sink, ck, ["user_id", "event_type"], "ts", STREAM_EVERY, STREAM_DELAY, ["event_id"])
+    start = F.expr(f"timestampadd(microsecond, unix_micros(window_start), {zero})").alias("window_start")
+    return spark.read.parquet(sink).select(start, "user_id", "event_type", "event_id", "value")
