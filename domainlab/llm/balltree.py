@@ -1,14 +1,17 @@
 """Exact top-k inner-product search by ball trees.
 
 Vectors are turned to whole numbers, floor(scale * x) with x as double, so that scores are
-exact. They are dealt into shards by a hash of their id; each shard builds a ball tree
-(centre and radius per node). A query takes the nodes of a shard in the order of the upper
-bound of their inner products, q.c + |q| r, and stops when the best bound left is below the
-k-th best score so far. That score is shared: one shard is searched first, and the k-th
-score each query found there is where it starts in all other shards.
-
-Queries meet the shards in blocks: every (shard, block) is a task of bounded size, and no
-pair of rows becomes a Spark row unless it is among a shard's best k.
+exact. They are dealt into shards by a hash; each shard's ball tree (centre and radius per
+node) is built once and written, in chunks, to the shared folder. A query takes the nodes of a
+shard in the order of the upper bound of their inner products, q.c + |q| r, and stops when the
+best bound left is below the k-th best score so far. That score is shared: shards are searched
+in waves of 1, 1, 2, 4, 8, ... shards, and after each wave the k-th score that a query has
+reached over all of them is where it starts in the next.
+
+Queries meet the shards in large blocks. A task is given the chunks of its tree and then the
+queries of the block in batches, so it holds one tree and one batch however many queries there
+are, and a tree is copied once per block. No pair of rows becomes a Spark row unless it is
+among a shard's best k.
 
 Null vectors and vectors with null, NaN or infinite components take no part, nor do rows
 with a null id. Empty vectors score 0. Vectors of other lengths than the query's are no
@@ -19,6 +22,8 @@ empty result. Only the id and vector columns are read."""
 from __future__ import annotations
 
 import heapq
+import io
+from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
@@ -32,8 +37,9 @@ SCALE = 1024
 K = 10
 #: Vectors in a shard and queries in a block, on average.
 SHARD_ROWS = 8192
-BLOCK_ROWS = 1024
+BLOCK_ROWS = 65_536
 LEAF_ROWS = 64
+CHUNK_BYTES = 1 << 20
 _OUT = "query_id long, query_key long, vec_id long, score long"
 
 
@@ -69,6 +75,27 @@ class BallTree:
         self.centre, self.radius = np.array(centre), np.array(radius)
         self.length = np.sqrt((self.centre ** 2).sum(axis=1))
         self.x = x[self.order]
+        self.visited = 0   # leaves that searches have scored
+
+    def to_bytes(self, ids: np.ndarray) -> bytes:
+        """The tree and the ids of its rows; ids in the order the tree was given its rows."""
+        out = io.BytesIO()
+        np.savez(out, ids=ids[self.order], x=self.x, centre=self.centre, radius=self.radius,
+                 left=self.left, right=self.right, rows=self.rows)
+        return out.getvalue()
+
+    @classmethod
+    def from_bytes(cls, data: bytes) -> tuple["BallTree", np.ndarray]:
+        """The tree and the ids in tree order."""
+        with np.load(io.BytesIO(data)) as z:
+            tree = cls.__new__(cls)
+            tree.x, tree.centre, tree.radius = z["x"], z["centre"], z["radius"]
+            tree.left, tree.right, tree.rows = z["left"].tolist(), z["right"].tolist(), z["rows"].tolist()
+            ids = z["ids"]
+        tree.order = np.arange(len(ids))
+        tree.length = np.sqrt((tree.centre ** 2).sum(axis=1))
+        tree.visited = 0
+        return tree, ids
 
     def search(self, q: np.ndarray, ids: np.ndarray, own: int, k: int, floor: int | None) -> list[tuple[int, int]]:
         """The best k (score, id) with scores of at least ``floor``; ids in tree order."""
@@ -90,6 +117,7 @@ class BallTree:
                         heapq.heappush(heap, (-bound[child], child))
                 continue
             lo, hi = self.rows[node]
+            self.visited += 1
             s = self.x[lo:hi] @ q
             keep = (s >= least) & (ids[lo:hi] != own)
             if not keep.any():
@@ -108,24 +136,59 @@ def _matrix(column: pa.ChunkedArray, rows: int) -> np.ndarray:
     return flat.to_numpy(zero_copy_only=False).reshape(rows, -1)
 
 
-def _search_shard(k: int, vectors: pa.Table, queries: pa.Table) -> pa.Table:
-    out = []
-    if vectors.num_rows and queries.num_rows:
-        x, ids = _matrix(vectors["v"], vectors.num_rows), vectors["vec_id"].to_numpy()
-        # an order that does not depend on how the rows came
-        order = np.lexsort((*x.T[::-1], ids))
-        ids, x = ids[order], x[order]
-        q = _matrix(queries["v"], queries.num_rows)
-        most = max(float(np.abs(x).max(initial=0)), 1.0) * max(float(np.abs(q).max(initial=0)), 1.0)
-        # doubles are exact up to 2**53 and use the fast matrix product
-        kind = np.float64 if most * max(1, x.shape[1]) < 2 ** 53 else np.int64
-        tree = BallTree(x.astype(kind))
-        in_order = ids[tree.order]
-        for i, key, floor, row in zip(queries["query_id"].to_pylist(), queries["query_key"].to_pylist(),
-                                      queries["floor"].to_pylist(), q.astype(kind)):
-            out += [(i, key, j, s) for s, j in tree.search(row, in_order, i, k, floor)]
-    cols = list(zip(*out)) or [[]] * 4
-    return pa.table([pa.array(c, pa.int64()) for c in cols], names=["query_id", "query_key", "vec_id", "score"])
+def _build(key: tuple, vectors: pa.Table) -> pa.Table:
+    """The shard's tree in chunks."""
+    x, ids = _matrix(vectors["v"], vectors.num_rows), vectors["vec_id"].to_numpy()
+    times = vectors["copies"].to_numpy()
+    x, ids = np.repeat(x, times, axis=0), np.repeat(ids, times)
+    # an order that does not depend on how the rows came
+    order = np.lexsort((*x.T[::-1], ids))
+    ids, x = ids[order], x[order]
+    data = BallTree(x).to_bytes(ids)
+    chunks = [data[i:i + CHUNK_BYTES] for i in range(0, len(data), CHUNK_BYTES)]
+    dim, shard = (k.as_py() for k in key)
+    return pa.table({"dim": pa.array([dim] * len(chunks), pa.int32()), "shard": pa.array([shard] * len(chunks), pa.int32()),
+                     "part": pa.array(range(len(chunks)), pa.int64()), "chunk": pa.array(chunks, pa.binary())})
+
+
+def _runs(batch: pa.RecordBatch) -> list[tuple[int, int]]:
+    """Ranges of rows of the same task and kind: a tree's chunks or queries."""
+    task = np.stack([batch[c].to_numpy() for c in ("dim", "shard", "block")]
+                    + [(batch["part"].to_numpy() < 0).astype(np.int64)])
+    cut = np.flatnonzero((task[:, 1:] != task[:, :-1]).any(axis=0)) + 1
+    return list(zip([0, *cut], [*cut, batch.num_rows]))
+
+
+def _search(k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by task; within a task the tree's chunks, backwards numbered below zero,
+    come before the queries."""
+    owner, chunks, tree, exact = None, [], None, None
+    for batch in batches:
+        out = []
+        for lo, hi in _runs(batch) if batch.num_rows else []:
+            rows = batch.slice(lo, hi - lo)
+            task = tuple(rows[c][0].as_py() for c in ("dim", "shard", "block"))
+            if task != owner:
+                owner, chunks, tree = task, [], None
+            if rows["part"][0].as_py() < 0:
+                chunks += rows["chunk"].to_pylist()
+                continue
+            if tree is None and chunks:
+                tree, ids = BallTree.from_bytes(b"".join(chunks))
+                exact, chunks = tree.x, []
+                top, real = max(float(np.abs(exact).max(initial=0)), 1.0), exact.astype(np.float64)
+            if tree is None:
+                continue   # no vectors of this length in the shard
+            q = _matrix(pa.chunked_array([rows["v"]]), rows.num_rows)
+            most = top * max(float(np.abs(q).max(initial=0)), 1.0)
+            # doubles are exact up to 2**53 and use the fast matrix product
+            tree.x = real if most * max(1, q.shape[1]) < 2 ** 53 else exact
+            for i, key, floor, row in zip(rows["query_id"].to_pylist(), rows["query_key"].to_pylist(),
+                                          rows["floor"].to_pylist(), q.astype(tree.x.dtype)):
+                out += [(i, key, j, s) for s, j in tree.search(row, ids, i, k, floor)]
+        cols = list(zip(*out)) or [[]] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols],
+                                         names=["query_id", "query_key", "vec_id", "score"])
 
 
 def whole_numbers(df: DataFrame, id_col: str, vec_col: str, scale: int = SCALE) -> DataFrame:
@@ -148,28 +211,45 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, id_col: str = "vec
     v = whole_numbers(vectors, id_col, vec_col, scale)
     q = (whole_numbers(queries, id_col, vec_col, scale).dropDuplicates(["vec_id", "v"])
          .select(F.col("vec_id").alias("query_id"), F.xxhash64("v").alias("query_key"), "v", "dim"))
+    # rows that are equal in everything are one row and its copies, of which at most k can be
+    # among the best k; so no shard grows by repeated rows
+    v = v.groupBy("vec_id", "v", "dim").agg(F.least(F.count(F.lit(1)), F.lit(k)).alias("copies"))
+    path = scratch_path(spark, "topk-vectors")
+    v.write.parquet(path)
+    v = spark.read.parquet(path)
     shards = max(1, -(-v.count() // shard_rows))
     n_blocks = max(1, -(-q.count() // block_rows))
-    v = v.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
+    v = v.withColumn("shard", F.pmod(F.xxhash64("vec_id", "v"), F.lit(shards)).cast("int"))
     q = q.withColumn("block", F.pmod(F.xxhash64("query_id", "query_key"), F.lit(n_blocks)).cast("int"))
+    trees_at = scratch_path(spark, "topk-trees")
+    v.groupBy("dim", "shard").applyInArrow(_build, "dim int, shard int, part long, chunk binary").write.parquet(trees_at)
+    trees = spark.read.parquet(trees_at)
+    n_parts = F.max("part").over(Window.partitionBy("dim", "shard"))
+    trees = trees.withColumn("part", F.col("part") - n_parts - 1)   # ... -3, -2, -1: before the queries
 
-    def search(which: DataFrame, asked: DataFrame, shard_ids: list[int]) -> DataFrame:
-        # each vector meets every block once, each query every shard once
-        a = which.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-        b = asked.withColumn("shard", F.explode(F.sequence(F.lit(shard_ids[0]), F.lit(shard_ids[-1]))))
+    def search(asked: DataFrame, first: int, last: int) -> DataFrame:
         keys = ["dim", "shard", "block"]
-        return (a.groupBy(*keys).cogroup(b.groupBy(*keys))
-                .applyInArrow(partial(_search_shard, k), _OUT))
-
-    best = Window.partitionBy("query_id", "query_key")
-    path = scratch_path(spark, "topk")
-    search(v.where("shard = 0"), q.withColumn("floor", F.lit(None).cast("long")), [0]).write.parquet(path)
-    found = spark.read.parquet(path)
-    if shards > 1:
-        floors = (found.groupBy("query_id", "query_key")
-                  .agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("floor")))
-        asked = q.join(floors, ["query_id", "query_key"], "left")
-        found = found.unionByName(search(v.where("shard > 0"), asked, [1, shards - 1]))
-    return (found.withColumn("rank", F.row_number().over(best.orderBy(F.desc("score"), "vec_id")))
-            .where(F.col("rank") <= k)
-            .select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"))
+        a = (trees.where(F.col("shard").between(first, last))
+             .withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))))
+        b = (asked.withColumn("shard", F.explode(F.sequence(F.lit(first), F.lit(last))))
+             .withColumn("part", F.lit(0).cast("long")))
+        rows = a.unionByName(b, allowMissingColumns=True)
+        tasks = (last - first + 1) * n_blocks
+        return rows.repartition(tasks, *keys).sortWithinPartitions(*keys, "part").mapInArrow(partial(_search, k), _OUT)
+
+    best = Window.partitionBy("query_id", "query_key").orderBy(F.desc("score"), "vec_id")
+    found, first, width = None, 0, 1
+    while first < shards:
+        last = min(first + width, shards) - 1
+        asked = q.withColumn("floor", F.lit(None).cast("long"))
+        if found is not None:
+            floors = (found.groupBy("query_id", "query_key")
+                      .agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("floor")))
+            asked = q.join(floors, ["query_id", "query_key"], "left")
+        wave = search(asked, first, last)
+        found = wave if found is None else found.unionByName(wave)
+        path = scratch_path(spark, "topk")
+        found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).drop("rank").write.parquet(path)
+        found = spark.read.parquet(path)
+        first, width = last + 1, max(1, last + 1)
+    return found.select("query_id", F.row_number().over(best).alias("rank"), "vec_id", "score")

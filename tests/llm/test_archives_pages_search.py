@@ -185,6 +185,28 @@ def test_top_k(spark, shard_rows, block_rows):
     assert balltree.top_k(df.limit(0), df.limit(0)).collect() == []
 
 
+def test_shared_scores_spare_leaves():
+    """Eight shards in waves of 1, 1, 2 and 4: the fewer leaves a shard costs, the later it comes."""
+    r = np.random.RandomState(4)
+    x, ids = np.floor(1024 * r.randn(8 * 2048, 6)), np.arange(8 * 2048)
+    trees = [balltree.BallTree.from_bytes(balltree.BallTree(x[s::8]).to_bytes(ids[s::8])) for s in range(8)]
+    per_shard = np.zeros(4)
+    for q in range(0, 400, 20):
+        best = []
+        for w, wave in enumerate([[0], [1], [2, 3], [4, 5, 6, 7]]):
+            floor = best[9][0] if len(best) >= 10 else None
+            for s in wave:
+                tree, own = trees[s]
+                tree.visited = 0
+                best += tree.search(x[q], own, q, 10, floor)
+                per_shard[w] += tree.visited / len(wave)
+            best = sorted(best, key=lambda t: (-t[0], t[1]))[:10]
+        score = x @ x[q]
+        score[q] = -np.inf
+        assert [i for _, i in best] == sorted(range(len(x)), key=lambda i: (-score[i], i))[:10]
+    assert per_shard[0] > per_shard[1] > per_shard[2] > per_shard[3], per_shard
+
+
 def test_pipeline(spark):
     import corpus_pipeline as C
     from domainlab.llm import dartminhash, linecrf, mixing
