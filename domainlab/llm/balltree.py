@@ -137,7 +137,7 @@ def _matrix(column: pa.ChunkedArray, rows: int) -> np.ndarray:
 
 
 def _build(key: tuple, vectors: pa.Table) -> pa.Table:
-    """The shard's tree in chunks."""
+    """The shard's tree in chunks, numbered up to -1: before the queries."""
     x, ids = _matrix(vectors["v"], vectors.num_rows), vectors["vec_id"].to_numpy()
     times = vectors["copies"].to_numpy()
     x, ids = np.repeat(x, times, axis=0), np.repeat(ids, times)
@@ -148,7 +148,7 @@ def _build(key: tuple, vectors: pa.Table) -> pa.Table:
     chunks = [data[i:i + CHUNK_BYTES] for i in range(0, len(data), CHUNK_BYTES)]
     dim, shard = (k.as_py() for k in key)
     return pa.table({"dim": pa.array([dim] * len(chunks), pa.int32()), "shard": pa.array([shard] * len(chunks), pa.int32()),
-                     "part": pa.array(range(len(chunks)), pa.int64()), "chunk": pa.array(chunks, pa.binary())})
+                     "part": pa.array(range(-len(chunks), 0), pa.int64()), "chunk": pa.array(chunks, pa.binary())})
 
 
 def _runs(batch: pa.RecordBatch) -> list[tuple[int, int]]:
@@ -160,8 +160,8 @@ def _runs(batch: pa.RecordBatch) -> list[tuple[int, int]]:
 
 
 def _search(k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by task; within a task the tree's chunks, backwards numbered below zero,
-    come before the queries."""
+    """Rows sorted by task; within a task the tree's chunks, numbered below zero, come before
+    the queries."""
     owner, chunks, tree, exact = None, [], None, None
     for batch in batches:
         out = []
@@ -224,8 +224,6 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, id_col: str = "vec
     trees_at = scratch_path(spark, "topk-trees")
     v.groupBy("dim", "shard").applyInArrow(_build, "dim int, shard int, part long, chunk binary").write.parquet(trees_at)
     trees = spark.read.parquet(trees_at)
-    n_parts = F.max("part").over(Window.partitionBy("dim", "shard"))
-    trees = trees.withColumn("part", F.col("part") - n_parts - 1)   # ... -3, -2, -1: before the queries
 
     def search(asked: DataFrame, first: int, last: int) -> DataFrame:
         keys = ["dim", "shard", "block"]
