@@ -46,7 +46,7 @@ def tld_ids(df: DataFrame, domain: str, vocab: DataFrame, out: str = "tld_ids",
     found = (each.groupBy("_list").agg(F.array_sort(F.collect_list(one))["_id"].alias("_ids"))
              .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))))
     # the partition's number, not a row's: a task that runs again deals its rows alike
-    salt = F.pmod(F.xxhash64(F.spark_partition_id(), F.to_json("_row")), F.lit(salts)).cast("int")
+    salt = F.pmod(F.xxhash64(F.spark_partition_id(), F.col("_row")[domain]), F.lit(salts)).cast("int")
     none = F.when(F.col("_list").isNotNull(), F.array().cast("array<int>"))
     return (rows.withColumn("_salt", salt).join(found, ["_list", "_salt"], "left")
             .select("_row.*", F.coalesce("_ids", none).alias(out)))
