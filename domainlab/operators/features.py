@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -40,27 +40,33 @@ def fuse(*cols) -> Column:
     return F.concat(*[to_col(c) for c in cols])
 
 
-def _reduce(ids: pd.Series, matrix: np.ndarray, mode: str, mask_pads: bool) -> pd.Series:
-    """Pools a few rows of ids at once; the matrix's last row stands for unknown ids."""
-    out = np.empty(len(ids), dtype=object)
-    rows = [None if x is None else np.asarray(x, dtype=np.int64) for x in ids]
-    if mask_pads:
-        rows = [None if r is None else r[r != 0] for r in rows]
-    at = [k for k, r in enumerate(rows) if r is not None and len(r)]
-    if at:
-        size = np.array([len(rows[k]) for k in at])
-        start = np.cumsum(size) - size
-        flat = np.concatenate([rows[k] for k in at])
-        unknown = len(matrix) - 1
-        flat = np.where((flat >= 0) & (flat < unknown), flat, unknown)
-        if mode == "cls":
-            res = matrix[flat[start]]
-        else:
-            v = matrix[flat]
-            res = np.hstack([np.maximum.reduceat(v, start), np.add.reduceat(v, start) / size[:, None]])
-        for k, vec in zip(at, res):
-            out[k] = vec
-    return pd.Series(out, index=ids.index)
+def flat_lists(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """A list array's values end to end, and each row's number of them (-1: NULL row)."""
+    if not isinstance(lists, pa.Array):
+        lists = lists.combine_chunks()
+    size = lists.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = lists.flatten().fill_null(-1)   # flatten() leaves NULL rows out
+    return flat.to_numpy(zero_copy_only=False).astype(np.int64), size
+
+
+def pool_flat(flat: np.ndarray, size: np.ndarray, matrix: np.ndarray, mode: str) -> pa.Array:
+    """Pools rows of indexes into ``matrix``, ``POOL_ROWS`` rows at a time; NULL where a row
+    has no position (``size`` below 1)."""
+    dim = matrix.shape[1] * (1 if mode == "cls" else 2)
+    some = np.flatnonzero(size > 0)
+    n = size[some]
+    start = np.cumsum(n) - n
+    out = np.empty((len(some), dim))
+    if mode == "cls":
+        out[:] = matrix[flat[start]]
+    else:
+        for k in range(0, len(some), POOL_ROWS):
+            m, s = n[k:k + POOL_ROWS], start[k:k + POOL_ROWS]
+            v = matrix[flat[s[0]:s[-1] + m[-1]]]
+            out[k:k + POOL_ROWS] = np.hstack([np.maximum.reduceat(v, s - s[0]), np.add.reduceat(v, s - s[0]) / m[:, None]])
+    ends = np.concatenate([[0], np.cumsum(np.where(size > 0, dim, 0))]).astype(np.int32)
+    null = pa.array(size < 1)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(out.ravel()), mask=null)
 
 
 def pool_positions(df: DataFrame, ids: str, table: dict[int, list[float]], dim: int, out: str,
@@ -78,12 +84,17 @@ def pool_positions(df: DataFrame, ids: str, table: dict[int, list[float]], dim:
         matrix[i] = v
     shared = df.sparkSession.sparkContext.broadcast(matrix)
 
-    @F.pandas_udf("array<double>")
-    def pooled(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<double>")
+    def pooled(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = shared.value
-        for s in batches:
-            parts = [_reduce(s.iloc[k:k + POOL_ROWS], m, mode, mask_pads) for k in range(0, len(s), POOL_ROWS)]
-            yield pd.concat(parts) if parts else s
+        unknown = len(m) - 1
+        for b in batches:
+            flat, size = flat_lists(b)
+            if mask_pads:
+                keep = flat != 0
+                row = np.repeat(np.arange(len(size)), np.maximum(size, 0))
+                flat, size = flat[keep], np.where(size < 0, -1, np.bincount(row[keep], minlength=len(size)))
+            yield pool_flat(np.where((flat >= 0) & (flat < unknown), flat, unknown), size, m, mode)
     seen = F.col(ids)
     if mask is not None:
         seen = F.filter(seen, lambda x, i: F.get(F.col(mask), i) == 1)

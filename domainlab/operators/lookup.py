@@ -12,7 +12,6 @@ from __future__ import annotations
 from functools import partial
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -67,20 +66,12 @@ def _pool_block(dim: int, mode: str, rows: pa.Table, vectors: pa.Table) -> pa.Ta
     if len(known):
         matrix[:-1] = np.array(vectors["vector"].to_pylist(), dtype=np.float64)[order]
     known = known[order]
-
-    def place(ids):
-        if ids is None:
-            return None
-        x = np.asarray(ids, dtype=np.int64)
-        at = np.searchsorted(known, x)
-        at[at == len(known)] = 0
-        return np.where(known[at] == x, at, len(known)) if len(known) else np.zeros(len(x), np.int64)
-    pooled = []
-    ids = rows["_seen"].to_pylist()
-    for k in range(0, len(ids), FE.POOL_ROWS):
-        part = pd.Series([place(x) for x in ids[k:k + FE.POOL_ROWS]], dtype=object)
-        pooled += [None if v is None else [float(e) for e in v] for v in FE._reduce(part, matrix, mode, False)]
-    return pa.table([rows["_row"], pa.array(pooled, pa.list_(pa.float64()))], names=["_row", "_pooled"])
+    flat, size = FE.flat_lists(rows["_seen"])
+    at = np.full(len(flat), len(known))
+    if len(known):
+        near = np.minimum(np.searchsorted(known, flat), len(known) - 1)
+        at = np.where(known[near] == flat, near, len(known))
+    return pa.table([rows["_row"], FE.pool_flat(at, size, matrix, mode)], names=["_row", "_pooled"])
 
 
 def pool_positions(df: DataFrame, ids: str, vectors: DataFrame, dim: int, out: str, mode: str = "pool",

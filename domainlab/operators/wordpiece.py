@@ -16,7 +16,7 @@ applied to the table in order of rank, and the table is checkpointed. If more th
 
 Encoding is greedy longest-match-first per word with ``##`` continuations (a word
 with an unmatched piece, or longer than 100 characters, becomes ``[UNK]``). It is
-an Arrow-batched ``mapInPandas`` with the bounded vocabulary shipped once per worker; a
+an Arrow-batched function of the text alone, with the bounded vocabulary shipped once per worker; a
 word is matched in one pass over a trie with failure links. Each distinct white-space separated word of a batch is
 normalised, split and matched once, and the ids of recent words are kept in a bounded
 cache per task."""
@@ -26,13 +26,12 @@ from __future__ import annotations
 import heapq
 import unicodedata
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from domainlab.functions.util import to_col
 from domainlab.operators.vocab import SPECIAL_TOKENS
@@ -296,7 +295,9 @@ def encode_text(s: str | None, vocab: dict[str, int] | Pieces, unk: int,
     for part in (s or "").split():
         ids = cache.get(part)
         if ids is None:
-            ids = [i for w in _words(_normalize(part)) for i in pieces.encode(w, unk)]
+            plain = part.lower() if part.isascii() else _normalize(part)
+            whole = plain.isascii() and plain.isalnum()   # without punctuation: one word
+            ids = [i for w in ([plain] if whole else _words(plain)) for i in pieces.encode(w, unk)]
             if len(cache) >= CACHE_WORDS:
                 cache.clear()
             if len(part) <= MAX_WORD_CHARS:
@@ -318,14 +319,13 @@ def wordpiece_encode(df: DataFrame, text: str, vocab: dict[str, int], out: str =
     spark: SparkSession = df.sparkSession
     bc = spark.sparkContext.broadcast(vocab)
     unk = vocab.get(unk_token, 1)
-    schema = T.StructType(df.schema.fields + [T.StructField(out, T.ArrayType(T.IntegerType()))])
 
-    def run(batches):
+    @F.arrow_udf("array<int>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         pieces, cache = Pieces(bc.value), {}
-        for pdf in batches:
-            pdf[out] = pd.Series([encode_text(x, pieces, unk, cache) for x in pdf[text]], index=pdf.index, dtype=object)
-            yield pdf
-    return df.mapInPandas(run, schema)
+        for b in batches:
+            yield pa.array([encode_text(x, pieces, unk, cache) for x in b.to_pylist()], pa.list_(pa.int32()))
+    return df.withColumn(out, run(text))
 
 
 def encode_external(df: DataFrame, domain: str, vocab: dict[str, int], L: int,

@@ -68,8 +68,9 @@ class Head:
         return cls(r["dim"], r["hidden"], np.array(r["weights"]), r["step"])
 
 
-def loss_and_gradient(head: Head, x: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray]:
-    """Sums over the rows (not means): cross-entropy, and its gradient by the flat weights."""
+def loss_and_gradient(head: Head, x: np.ndarray, y: np.ndarray, n: np.ndarray | None = None) -> tuple[float, np.ndarray]:
+    """Sums over the rows (not means): cross-entropy, and its gradient by the flat weights.
+    ``n``: how many rows each one stands for."""
     w1, b1, w2, b2 = head.layers()
     a = x @ w1 + b1
     h = np.maximum(a, 0)
@@ -77,9 +78,12 @@ def loss_and_gradient(head: Head, x: np.ndarray, y: np.ndarray) -> tuple[float,
     z = z - z.max(axis=1, keepdims=True)
     e = np.exp(z)
     total = e.sum(axis=1, keepdims=True)
-    loss = float((np.log(total[:, 0]) - z[np.arange(len(y)), y]).sum())
+    each = np.log(total[:, 0]) - z[np.arange(len(y)), y]
+    loss = float((each if n is None else each * n).sum())
     dz = e / total
     dz[np.arange(len(y)), y] -= 1
+    if n is not None:
+        dz *= n[:, None]
     da = (dz @ w2.T) * (a > 0)
     return loss, np.concatenate([(x.T @ da).ravel(), da.sum(axis=0), (h.T @ dz).ravel(), dz.sum(axis=0)])
 
@@ -89,7 +93,7 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
 
 
 def step_sums(rows: DataFrame, head: Head) -> np.ndarray:
-    """One pass over ``(fold, label, features)``: validation loss, validation rows, validation
+    """One pass over ``(fold, label, features[, n])``: validation loss, validation rows, validation
     rows classified right, training loss, training rows, then the training gradient."""
     shared = rows.sparkSession.sparkContext.broadcast(head)
 
@@ -99,19 +103,21 @@ def step_sums(rows: DataFrame, head: Head) -> np.ndarray:
         for b in batches:
             if not b.num_rows:
                 continue
-            fold = np.array(b.column(0).to_pylist()) == VAL
+            fold = b.column(0).to_numpy(zero_copy_only=False).astype(bool)
             y, x = b.column(1).to_numpy(zero_copy_only=False).astype(np.int64), _matrix(b.column(2), h.dim)
+            n = b.column(3).to_numpy(zero_copy_only=False).astype(np.int64)
             if fold.any():
-                right = int((h.logits(x[fold]).argmax(axis=1) == y[fold]).sum())
-                got[:3] += loss_and_gradient(h, x[fold], y[fold])[0], int(fold.sum()), right
+                right = int(n[fold][h.logits(x[fold]).argmax(axis=1) == y[fold]].sum())
+                got[:3] += loss_and_gradient(h, x[fold], y[fold], n[fold])[0], int(n[fold].sum()), right
             if not fold.all():
-                loss, gradient = loss_and_gradient(h, x[~fold], y[~fold])
-                got[3:5] += loss, int((~fold).sum())
+                loss, gradient = loss_and_gradient(h, x[~fold], y[~fold], n[~fold])
+                got[3:5] += loss, int(n[~fold].sum())
                 got[5:] += gradient
         part = TaskContext.get().partitionId() % GROUPS
         yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([got], pa.list_(pa.float64()))],
                                          names=["part", "sums"])
-    per_task = rows.select("fold", "label", "features").mapInArrow(run, "part int, sums array<double>")
+    n = F.col("n") if "n" in rows.columns else F.lit(1).cast("long")
+    per_task = rows.select(F.col("fold") == VAL, "label", "features", n).mapInArrow(run, "part int, sums array<double>")
     summed = Summarizer.metrics("sum").summary(array_to_vector("sums"))
     per_group = per_task.groupBy("part").agg(vector_to_array(summed["sum"]).alias("sums"))
     return np.sum([r["sums"] for r in sorted(per_group.collect(), key=lambda r: r["part"])], axis=0)
@@ -129,13 +135,16 @@ class Fit:
 
 
 def fit_head(rows: DataFrame, width: int = 16, steps: int = 30, rate: float = 0.05, seed: int = 42,
-             run: str = "head", features: str = "features", label: str = "label", fold: str = "fold") -> Fit:
+             run: str = "head", features: str = "features", label: str = "label", fold: str = "fold",
+             weight: str | None = None) -> Fit:
     """Fit on the rows whose ``fold`` is ``train`` and keep the step with the lowest mean
     validation loss (without validation rows: the lowest training loss). ``rows`` is read
-    ``steps`` times: pass a written table."""
+    ``steps`` times: pass a written table. ``weight``: a column with how many rows each one
+    stands for."""
     good = F.col(features).isNotNull() & F.col(label).isin(0, 1) & F.col(fold).isin(TRAIN, VAL)
     rows = rows.where(good).select(F.col(fold).alias("fold"), F.col(label).alias("label"),
-                                   F.col(features).alias("features"))
+                                   F.col(features).alias("features"),
+                                   (F.lit(1) if weight is None else F.col(weight)).cast("long").alias("n"))
     first = rows.where(F.col("fold") == TRAIN).select(F.size("features")).first()
     if first is None:
         raise ValueError("no training rows")
