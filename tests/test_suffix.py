@@ -71,6 +71,18 @@ def test_punycode_labels(spark):
     assert got == words + odd
 
 
+def test_labels_are_decoded_only_for_native_rules(spark):
+    """No step decodes where no rule has a native label, and names are wrapped alike; with such
+    rules decoding is one Arrow step, not a fold over characters."""
+    df = spark.createDataFrame([("a.b.xn--p1ai",), ("a.xn--p1ai.co.uk",), ("a.b.xn--zz--",)], "d string")
+    plain = S.wrap_tld(df, "d", S.SuffixIndex.mini(spark), out="w")
+    idn = S.wrap_tld(df, "d", S.SuffixIndex(S.rules_frame(spark, [*S.MINI_RULES_ICANN, "рф", "xn--zz--"])), out="w")
+    plans = [x._jdf.queryExecution().executedPlan().toString() for x in (plain, idn)]
+    assert "xn--" not in plans[0] and "ArrowEvalPython" in plans[1] and "aggregate(" not in plans[1]
+    assert sorted(r.w for r in plain.collect()) == ["a.b.xn--p1ai", "a.b.xn--zz--", "a.xn--p1ai[.co][.uk]"]
+    assert sorted(r.w for r in idn.collect()) == ["a.b[.xn--p1ai]", "a.b[.xn--zz--]", "a.xn--p1ai[.co][.uk]"]
+
+
 def test_internationalised_suffixes(spark):
     """Rules and names match in either form; results keep the name's own labels."""
     idx = S.SuffixIndex(S.rules_frame(spark, S.MINI_RULES_ICANN + S.IDN_RULES))
