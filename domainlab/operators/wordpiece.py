@@ -13,13 +13,13 @@ as the pair at the same place does now. What lies across a cut thus never counts
 already could add up two pairs; a round ends after it. The round's merges are then
 applied to the table in order of rank, and the table is checkpointed. If more than
 ``max_segments`` segments come out, fewer pairs are taken (at the least one merge).
+In the table symbols are numbers; tasks cut and merge a batch of words at a time with numpy.
 
 Encoding is greedy longest-match-first per word with ``##`` continuations (a word
 with an unmatched piece, or longer than 100 characters, becomes ``[UNK]``). It is
 an Arrow-batched function of the text alone, with the bounded vocabulary shipped once per worker; a
-word is matched in one pass over a trie with failure links. Each distinct white-space separated word of a batch is
-normalised, split and matched once, and the ids of recent words are kept in a bounded
-cache per task."""
+word is matched in one pass over a trie with failure links, and the ids of recent words are
+kept in a bounded cache per task."""
 
 from __future__ import annotations
 
@@ -28,12 +28,14 @@ import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from domainlab.functions.util import to_col
+from domainlab.operators.features import flat_lists
 from domainlab.operators.vocab import SPECIAL_TOKENS
 from domainlab.session import checkpoint_dir
 
@@ -43,6 +45,7 @@ MAX_VOCAB = 200_000
 CACHE_WORDS = 200_000
 MAX_SEGMENTS = 100_000
 MAX_PAIRS = 60_000   # what one round ranks on the driver; more rounds, the same merges
+MAX_GROWTH = 8       # times as many pairs as the round before, while segments are few
 
 
 def initial_symbols(word) -> Column:
@@ -64,26 +67,59 @@ def pair_counts(words: DataFrame) -> DataFrame:
     return ex.groupBy(F.col("p.l").alias("left"), F.col("p.r").alias("right")).agg(F.sum("n").alias("count"))
 
 
-def _segments(words: DataFrame, hot: set[tuple[str, str]]) -> DataFrame:
+def _numbered(words: DataFrame, ids: dict[str, int]) -> DataFrame:
+    """``(symbols, n)`` of ``(word, n)``: the initial symbols as numbers; words of one symbol have
+    no pair and are left out."""
+    bc = words.sparkSession.sparkContext.broadcast(ids)
+
+    def run(batches):
+        first = {s: i for s, i in bc.value.items() if len(s) == 1}
+        later = {s.removeprefix(PREFIX): i for s, i in bc.value.items() if len(s) > 1}
+        for b in batches:
+            out = [[first[w[0]], *(later[c] for c in w[1:])] if w else [] for w in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.int32())), b.column(1)], names=["symbols", "n"])
+    done = words.select("word", "n").mapInArrow(run, "symbols array<int>, n long")
+    return done.where(F.size("symbols") > 1)
+
+
+def _codes(flat: np.ndarray) -> np.ndarray:
+    """One number for each pair of neighbours."""
+    return (flat[:-1] << 32) | flat[1:]
+
+
+def _found(codes: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each code's place in the sorted ``table``, and whether it is there."""
+    at = np.minimum(np.searchsorted(table, codes), len(table) - 1)
+    return at, table[at] == codes
+
+
+def _rows_of(size: np.ndarray) -> np.ndarray:
+    return np.repeat(np.arange(len(size)), size)
+
+
+def _lists(flat: np.ndarray, size: np.ndarray, n: pa.Array) -> pa.RecordBatch:
+    ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+    lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.astype(np.int32)))
+    return pa.RecordBatch.from_arrays([lists, n], names=["symbols", "n"])
+
+
+def _segments(words: DataFrame, hot: set[tuple[int, int]]) -> DataFrame:
     """``(symbols, n)``: the words cut at every pair that is not hot, equal pieces summed."""
-    bc = words.sparkSession.sparkContext.broadcast(hot)
+    bc = words.sparkSession.sparkContext.broadcast(np.array(sorted((l << 32) | r for l, r in hot), np.int64))
 
     def run(batches):
-        hot = bc.value
+        table = bc.value
         for b in batches:
-            got: Counter = Counter()
-            for s, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                lo = 0
-                for i in range(1, len(s)):
-                    if (s[i - 1], s[i]) not in hot:
-                        if i - lo > 1:
-                            got[tuple(s[lo:i])] += n
-                        lo = i
-                if len(s) - lo > 1:
-                    got[tuple(s[lo:])] += n
-            yield pa.RecordBatch.from_arrays([pa.array([list(k) for k in got], pa.list_(pa.string())),
-                                              pa.array(list(got.values()), pa.int64())], names=["symbols", "n"])
-    parts = words.select("symbols", "n").mapInArrow(run, "symbols array<string>, n long")
+            flat, size = flat_lists(b.column(0))
+            if not len(flat):
+                continue
+            row = _rows_of(size)
+            joined = _found(_codes(flat), table)[1] & (row[:-1] == row[1:])
+            start = np.flatnonzero(np.concatenate([[True], ~joined]))
+            length = np.diff(np.append(start, len(flat)))
+            some = length > 1
+            yield _lists(flat[np.repeat(some, length)], length[some], b.column(1).take(pa.array(row[start[some]])))
+    parts = words.select("symbols", "n").mapInArrow(run, "symbols array<int>, n long")
     return parts.groupBy("symbols").agg(F.sum("n").alias("n"))
 
 
@@ -145,27 +181,68 @@ def _merge_serially(segments: list[tuple[list[str], int]], stop: int, room: int,
     return merges
 
 
-def _apply(words: DataFrame, merges: list[tuple[str, str]]) -> DataFrame:
-    """The words after these merges in turn; words of one symbol are done and left out."""
-    bc = words.sparkSession.sparkContext.broadcast({p: k for k, p in enumerate(merges)})
+def _merge_ranked(flat: np.ndarray, size: np.ndarray, table: np.ndarray, rank: np.ndarray,
+                  made: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All words of a batch side by side: each one's pair of the lowest rank is merged, from the
+    left, until none of its pairs has a rank. ``table``: the sorted codes of the pairs, ``rank``
+    theirs, ``made``: the symbol that each rank makes. Every word has a symbol at least."""
+    flat, none = flat.copy(), len(made)
+    row = _rows_of(size)
+    start = np.cumsum(size) - size
+    while len(flat):
+        at, known = _found(_codes(flat), table)
+        r = np.append(np.where(known & (row[:-1] == row[1:]), rank[at], none), none)
+        best = np.minimum.reduceat(r, start)
+        hit = (r == best[row]) & (r < none)
+        if not hit.any():
+            break
+        # of a run of equal symbols every other pair
+        place = np.arange(len(r))
+        begins = hit & ~np.concatenate([[False], hit[:-1]])
+        hit &= (place - np.maximum.accumulate(np.where(begins, place, 0))) % 2 == 0
+        at = np.flatnonzero(hit)
+        flat[at] = made[r[at]]
+        left = np.ones(len(flat), bool)
+        left[at + 1] = False
+        flat, row = flat[left], row[left]
+        size = np.bincount(row, minlength=len(size))
+        start = np.cumsum(size) - size
+    return flat, size
+
+
+def _apply(words: DataFrame, merges: list[tuple[int, int, int]]) -> DataFrame:
+    """The words after these merges ``(left, right, made)`` in turn; words of one symbol are done
+    and left out."""
+    order = {(l << 32) | r: k for k, (l, r, _) in enumerate(merges)}
+    table = np.array(sorted(order), np.int64)
+    rank = np.array([order[c] for c in table.tolist()], np.int64)
+    bc = words.sparkSession.sparkContext.broadcast((table, rank, np.array([m for *_, m in merges], np.int64)))
 
     def run(batches):
-        rank = bc.value
         for b in batches:
-            out = []
-            for s in b.column(0).to_pylist():
-                while len(s) > 1:
-                    p = min(zip(s, s[1:]), key=lambda x: rank.get(x, len(rank)))
-                    if p not in rank:
-                        break
-                    s = _merge(s, *p, merged_symbol(*p))
-                out.append(s)
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.string())), b.column(1)],
-                                             names=["symbols", "n"])
-    done = words.select("symbols", "n").mapInArrow(run, "symbols array<string>, n long")
+            flat, size = flat_lists(b.column(0))
+            if len(flat):
+                yield _lists(*_merge_ranked(flat, size, *bc.value), b.column(1))
+    done = words.select("symbols", "n").mapInArrow(run, "symbols array<int>, n long")
     return done.where(F.size("symbols") > 1)
 
 
+def _ranking(words: DataFrame, floor: int, k: int) -> list[tuple[tuple[int, int], int]]:
+    """The ``k`` pairs of the highest counts; which of several equal ones come last is open."""
+    top = pair_counts(words).where(F.col("count") >= floor).orderBy(F.desc("count")).limit(k)
+    return [((r["left"], r["right"]), int(r["count"])) for r in top.collect()]
+
+
+def _first_pair(words: DataFrame, count: int, text: list[str]) -> tuple[str, str]:
+    """Of the pairs of this count the first one by its symbols."""
+    names = words.sparkSession.createDataFrame(list(enumerate(text)), "id int, name string")
+    pairs = pair_counts(words).where(F.col("count") == count)
+    for side in ("left", "right"):
+        pairs = pairs.join(names.select(F.col("id").alias(side), F.col("name").alias(f"{side}_name")), side)
+    first = pairs.orderBy("left_name", "right_name").first()
+    return first["left_name"], first["right_name"]
+
+
 def train_wordpiece(word_counts: DataFrame, vocab_size: int, min_frequency: int = 2,
                     specials: list[str] | None = None, top_k: int = 20_000, max_rounds: int | None = None,
                     max_segments: int = MAX_SEGMENTS) -> DataFrame:
@@ -174,39 +251,46 @@ def train_wordpiece(word_counts: DataFrame, vocab_size: int, min_frequency: int
     spark = word_counts.sparkSession
     checkpoint_dir(spark)
     specials = list(SPECIAL_TOKENS if specials is None else specials)
-    words = word_counts.select(initial_symbols("word").alias("symbols"), F.col("count").cast("long").alias("n"))
-    words = words.checkpoint(eager=True)
+    words = word_counts.select("word", F.col("count").cast("long").alias("n")).checkpoint(eager=True)
     # alphabet: every character, plus the continuation forms that occur
-    syms = words.select(F.explode("symbols").alias("t")).distinct()
+    syms = words.select(F.explode(initial_symbols("word")).alias("t")).distinct()
     alphabet = sorted({t for r in syms.collect() for t in (r[0], r[0].removeprefix(PREFIX))})
     tokens = specials + [a for a in alphabet if a not in specials]
     known = set(tokens)
+    text = list(alphabet)   # the symbols by number
+    ids = {t: i for i, t in enumerate(text)}
+    words = _numbered(words, ids).checkpoint(eager=True)
     floor = max(min_frequency, 1)
     rounds = 0
     while len(tokens) < vocab_size and (max_rounds is None or rounds < max_rounds):
-        ranked = [((r["left"], r["right"]), int(r["count"])) for r in
-                  pair_counts(words).where(F.col("count") >= floor)
-                  .orderBy(F.desc("count"), "left", "right").limit(top_k + 1).collect()]
+        ranked = _ranking(words, floor, top_k + 1)
         if not ranked:
             break
         while True:   # the longest top of the ranking whose segments are few enough
             stop = ranked[top_k][1] if len(ranked) > top_k else floor - 1
             hot = {p for p, c in ranked if c > stop}
-            segments = [(r["symbols"], int(r["n"])) for r in
+            segments = [([text[i] for i in r["symbols"]], int(r["n"])) for r in
                         _segments(words, hot).limit(max_segments + 1).collect()] if hot else []
             if len(segments) <= max_segments:
                 break
             top_k = min(top_k, len(hot)) // 4
-        merges = _merge_serially(segments, stop, vocab_size - len(tokens), known) if hot else [ranked[0][0]]
+        merges = (_merge_serially(segments, stop, vocab_size - len(tokens), known) if hot
+                  else [_first_pair(words, ranked[0][1], text)])
+        made = []
         for l, r in merges:
             m = merged_symbol(l, r)
             tokens.append(m)
             known.add(m)
+            if m not in ids:
+                ids[m] = len(text)
+                text.append(m)
+            made.append((ids[l], ids[r], ids[m]))
         rounds += 1
         if len(segments) <= max_segments // 4:
-            top_k = min(max(2 * top_k, 1), MAX_PAIRS)
+            room = max_segments // (4 * max(len(segments), 1))
+            top_k = min(max(min(max(room, 2), MAX_GROWTH) * top_k, 1), MAX_PAIRS)
         if len(tokens) < vocab_size:
-            words = _apply(words, merges).checkpoint(eager=True)
+            words = _apply(words, made).checkpoint(eager=True)
     kinds = ["special" if i < len(specials) else "alphabet" if i < len(specials) + len(alphabet) else "merge"
              for i in range(len(tokens))]
     return spark.createDataFrame([(t, i, k) for i, (t, k) in enumerate(zip(tokens, kinds))],
@@ -288,21 +372,23 @@ class Pieces:
 def encode_text(s: str | None, vocab: dict[str, int] | Pieces, unk: int,
                 cache: dict[str, list[int]] | None = None) -> list[int]:
     """Ids of one text (NULL: none). White space never joins words, so each part between
-    white space is encoded by itself, and looked up in ``cache`` first."""
+    white space is encoded by itself. Each word (a part without punctuation is one) is looked up
+    in ``cache`` first: names seldom recur, their words do."""
     pieces = vocab if isinstance(vocab, Pieces) else Pieces(vocab)
     cache = {} if cache is None else cache
     out: list[int] = []
     for part in (s or "").split():
-        ids = cache.get(part)
-        if ids is None:
-            plain = part.lower() if part.isascii() else _normalize(part)
-            whole = plain.isascii() and plain.isalnum()   # without punctuation: one word
-            ids = [i for w in ([plain] if whole else _words(plain)) for i in pieces.encode(w, unk)]
-            if len(cache) >= CACHE_WORDS:
-                cache.clear()
-            if len(part) <= MAX_WORD_CHARS:
-                cache[part] = ids
-        out.extend(ids)
+        plain = part.lower() if part.isascii() else _normalize(part)
+        whole = plain.isascii() and plain.isalnum()   # without punctuation: one word
+        for w in ([plain] if whole else _words(plain)):
+            ids = cache.get(w)
+            if ids is None:
+                ids = pieces.encode(w, unk)
+                if len(cache) >= CACHE_WORDS:
+                    cache.clear()
+                if len(w) <= MAX_WORD_CHARS:
+                    cache[w] = ids
+            out.extend(ids)
     return out
 
 
